@@ -52,7 +52,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def partitions(df: DataFrame, bytes_each: int = PARTITION_BYTES) -> int:
     """Shuffle partitions that keep ``bytes_each`` of input apiece, never fewer than the session asks for."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    size = int(stats.sizeInBytes().toString())
+    size = int(str(stats.sizeInBytes()))
     asked = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(asked, min(200_000, math.ceil(size / bytes_each)) if size < 1 << 60 else asked)
 

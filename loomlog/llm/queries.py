@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii
+from . import packing, pii, substring_dedup, suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_suffix_array_dedup": suffix_array_dedup.op2_suffix_array_dedup,
     "op5_pii": pii.op5_pii,
     "op10_packing": packing.op10_packing,
 }
