@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, substring_dedup, suffix_array_dedup
+from . import decontamination, packing, pii, quality, secrets, substring_dedup, suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_suffix_array_dedup": suffix_array_dedup.op2_suffix_array_dedup,
     "op5_pii": pii.op5_pii,
+    "op6_quality": quality.op6_quality,
+    "op8_secrets": secrets.op8_secrets,
+    "op9_decontamination": decontamination.op9_decontamination,
     "op10_packing": packing.op10_packing,
 }
 ORACLES: dict[str, str] = {}
