@@ -30,7 +30,10 @@ SEPARATOR = 255  # no byte of UTF-8
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffix array of bytes by prefix doubling; only suffixes that still tie are sorted again."""
+    """Suffix array of bytes by prefix doubling; only suffixes that still tie are sorted again.
+
+    The end of the text counts as separators without end, which is larger than all that a separator starts.
+    """
     n = len(text)
     padded = np.concatenate((text, np.full(8, SEPARATOR, dtype=np.uint8))).astype(np.uint64)
     key = np.zeros(n, dtype=np.uint64)
@@ -41,7 +44,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     opens = np.ones(n, dtype=bool)
     opens[1:] = key[1:] != key[:-1]
     rank = np.empty(n + 1, dtype=np.int64)
-    rank[n] = 0
+    rank[n] = n + 1
     rank[order] = np.flatnonzero(opens)[np.cumsum(opens) - 1] + 1
     slots, h = np.arange(n), 8
     while True:
