@@ -110,18 +110,24 @@ class Benchmark:
             good = good[stop:]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each stretch of a row of ``docs`` (doc_id, text) that repeats an item of ``benchmark`` (item_id, text)."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame) -> Iterator:
+    """Broadcasts of the benchmark, block by block."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.length(F.trim("text")) > 0)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = math.ceil(size / BLOCK_BYTES)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         got = part.orderBy("item_id", "text").collect()  # at most about BLOCK_BYTES of text
-        held = spark.sparkContext.broadcast(Benchmark([r.item_id for r in got], [r.text for r in got]))
+        yield spark.sparkContext.broadcast(Benchmark([r.item_id for r in got], [r.text for r in got]))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row for each stretch of a row of ``docs`` (doc_id, text) that repeats an item of ``benchmark`` (item_id, text)."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = None
+    for held in _blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             known = held.value
@@ -138,5 +144,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 
 
+def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text repeats no item of ``benchmark``, with all their columns."""
+    for held in _blocks(benchmark):
+
+        @F.pandas_udf("boolean")
+        def clean(texts, held=held):
+            ok = np.ones(len(texts), dtype=bool)
+            for i, words, first in _words(pa.array(texts, pa.string())):
+                for d, *_ in held.value.leaks(words, first):
+                    ok[i + d] = False
+            return type(texts)(ok)
+
+        docs = docs.filter(clean(F.col("text").cast("string")))
+    return docs
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

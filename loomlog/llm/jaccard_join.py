@@ -462,5 +462,13 @@ def join_documents(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PE
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(root["place"] == common.NULL_ID, F.lit(None)).otherwise(root["place"]).alias("component_id"), (root == node).alias("first"), "place", "check")
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one of each component stays: the first of ``join_documents``."""
+    first = join_documents(docs, **options).filter("first").select(F.col("place").alias("_p"), F.col("check").alias("_c")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(common.NULL_ID)).alias("_p"), F.xxhash64(text).bitwiseAND(0xFFFFFFFF).alias("_c"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    return rows.join(first, ["_p", "_c"], "left_semi").groupBy("_p", "_c").agg(F.first("_row").alias("_row")).select("_row.*")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(common.documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, packing, pii, quality, secrets, substring_dedup, suffix_array_dedup
+from . import decontamination, jaccard_join, licenses, packing, pii, quality, secrets, substring_dedup, suffix_array_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_suffix_array_dedup": suffix_array_dedup.op2_suffix_array_dedup,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op5_pii": pii.op5_pii,
     "op6_quality": quality.op6_quality,
+    "op7_licenses": licenses.op7_licenses,
     "op8_secrets": secrets.op8_secrets,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_packing": packing.op10_packing,
