@@ -5,11 +5,12 @@
 2. Two sets that overlap enough share one of their first few shingles in any fixed order. Frequent shingles
    come last in that order, so common passages do not bring unlike documents together. Shingle by shingle
    the documents meet in tiles, banded by size: only sizes that allow the threshold are paired.
-3. In a small tile pairs are listed once, and the bit counts of their bitmaps bound the overlap from above;
-   what passes is compared exactly, in groups around one of the two. A larger tile is cut into blocks of
-   ``BLOCK`` documents by size, and each pair of blocks is a task that holds bitmaps and sorted arrays:
-   pairs that are connected already are skipped, then bounded by bit counts, then intersected exactly.
-   It returns a spanning forest, never all pairs.
+3. In a small tile pairs are listed once, and the bit counts of their bitmaps bound the overlap from above.
+   What passes forms groups around the least document that it leads to. A larger tile is a group by its
+   least document, so that the tiles of one cluster meet in one; where it has more than ``BLOCK`` documents
+   it is cut into blocks by size, and each pair of blocks is a group. A group is compared where its bitmaps
+   and sorted arrays are: pairs that are connected already are skipped, then bounded by bit counts, then
+   intersected exactly. It returns a spanning forest, never all pairs.
 4. Components of the links, by alternating star contractions.
 
 The order of step 2 only affects speed; the result is exact for any order.
@@ -32,7 +33,7 @@ from . import common, repeats
 
 SHINGLE = 4
 PERCENT = 85
-SMALL_TILE = 48
+SMALL_TILE = 128
 BLOCK = 4096
 HOT_LOCAL = 3
 HOT_LEAST = 24
@@ -44,7 +45,7 @@ _PAIR = np.dtype([("doc", "<i8"), ("check", "<u4"), ("doc2", "<i8"), ("check2",
 _ASK = np.dtype([("doc", "<i8"), ("check", "<u4"), ("start", "<i4"), ("group", "<u8"), ("side", "u1")])
 _HEAD = np.dtype([("group", "<u8"), ("doc", "<i8"), ("check", "<u4"), ("n", "<i4"), ("side", "u1")])
 TOKENS, PAIRS, ASKED, ARRAYS = 0, 1, 2, 3
-HUB, SPOKE, LEFT, RIGHT, ALL = 0, 1, 2, 3, 4
+LEFT, RIGHT, ALL = 0, 1, 2
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -224,6 +225,13 @@ def _tiles(percent: int, buckets: int, small: int, block: int) -> Callable:
         for t in np.flatnonzero(size > small):
             tile = rows[cuts[t] : cuts[t + 1]]
             number = np.arange(len(tile)) // block
+            if len(tile) <= block:
+                first = np.lexsort((tile["check"], tile["doc"]))[:1]
+                a = np.zeros(len(tile), dtype=_ASK)
+                a["doc"], a["check"], a["side"] = tile["doc"], tile["check"], ALL
+                a["group"] = around(tile["doc"][first], tile["check"][first])
+                asked.append(a)
+                continue
             token = int(tile["token"][0])
             for i in range(int(number[-1]) + 1):
                 for j in range(i, int(number[-1]) + 1):
@@ -236,7 +244,7 @@ def _tiles(percent: int, buckets: int, small: int, block: int) -> Callable:
                         a["doc"], a["check"], a["group"], a["side"] = part["doc"], part["check"], group, side
                         asked.append(a)
         if asked:
-            a = np.concatenate(asked)
+            a = np.unique(np.concatenate(asked))
             out.put(ASKED, a["doc"].astype(np.uint64), a)
         if out.rows:
             yield out.take()
@@ -244,6 +252,11 @@ def _tiles(percent: int, buckets: int, small: int, block: int) -> Callable:
     return run
 
 
+def around(doc: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """The group around a document."""
+    return common.mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + check.astype(np.uint64))
+
+
 def _list_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = [repeats.unpack(x.as_py(), _PAIR) for b in batches for x in b.column(2)]
     if held:
@@ -271,19 +284,15 @@ def _bounded(percent: int) -> Callable:
     return run
 
 
-def _ask_pairs(buckets: int) -> Callable:
-    """Surviving pairs to memberships: a group around the first of the two."""
+def _ask_groups(buckets: int) -> Callable:
+    """(place, check, least document of the group) to memberships."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = repeats._Outbox(buckets)
         for b in batches:
-            c = {n: np.asarray(b.column(i)) for i, n in enumerate(_PAIR.names)}
-            group = common.mix(c["doc"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + c["check"].astype(np.uint64))
-            a = np.zeros(2 * b.num_rows, dtype=_ASK)
-            a["doc"], a["check"] = np.concatenate((c["doc"], c["doc2"])), np.concatenate((c["check"], c["check2"]))
-            a["group"] = np.tile(group, 2)
-            a["side"] = np.repeat([HUB, SPOKE], b.num_rows)
-            a = np.unique(a)
+            place, check, to, to_check = (np.asarray(b.column(i)) for i in range(4))
+            a = np.zeros(b.num_rows, dtype=_ASK)
+            a["doc"], a["check"], a["group"], a["side"] = place, check, around(to, to_check), ALL
             out.put(ASKED, a["doc"].astype(np.uint64), a)
             if out.rows:
                 yield out.take()
@@ -385,11 +394,7 @@ def _verify(percent: int) -> Callable:
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(h["group"]) != 0) + 1, [len(h)]))
         links: list[tuple[int, int]] = []
         for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if h["side"][a] == HUB:
-                for j in range(a + 1, z):
-                    if h["side"][j] == SPOKE and overlap(arrays[at[a]], arrays[at[j]]) >= needed(int(h["n"][a]), int(h["n"][j]), percent):
-                        links.append((a, j))
-            elif z - a > 1:
+            if z - a > 1:
                 links += [(a + i, a + j) for i, j in linked_in_tile(h["n"][a:z], [arrays[x] for x in at[a:z]], h["side"][a:z], percent)]
         if links:
             i, j = np.array(links).T
@@ -448,8 +453,12 @@ def join_documents(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PE
     bits = lambda *names: sized.select(*(F.col(c).alias(x) for c, x in zip(("place", "check", "n", "bits"), names, strict=True)))
     with_bits = reps.select(F.col("a.r").alias("doc"), F.col("a.rc").alias("check"), F.col("b.r").alias("doc2"), F.col("b.rc").alias("check2")).join(bits("doc", "check", "n", "bits"), ["doc", "check"]).join(bits("doc2", "check2", "n2", "bits2"), ["doc2", "check2"])
     left = with_bits.mapInArrow(_bounded(percent), "doc bigint, check bigint, doc2 bigint, check2 bigint")
-    # exact comparison
-    asked = left.mapInArrow(_ask_pairs(parts), repeats.BLOB_SCHEMA).unionByName(tiled.filter(F.col("kind") == ASKED))
+    left = common.checkpointed(left.select(F.struct(F.col("doc").alias("place"), "check").alias("a"), F.struct(F.col("doc2").alias("place"), F.col("check2").alias("check")).alias("b")))
+    # exact comparison: both documents of a pair go to the least document that the first is paired with
+    least_of = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("to"))
+    members = left.join(least_of, "a")
+    members = members.select(F.col("a").alias("m"), "to").unionByName(members.select(F.col("b").alias("m"), "to")).distinct()
+    asked = members.select("m.place", "m.check", F.col("to.place").alias("to"), F.col("to.check").alias("to_check")).mapInArrow(_ask_groups(parts), repeats.BLOB_SCHEMA).unionByName(tiled.filter(F.col("kind") == ASKED))
     gathered = asked.repartition(parts, "bucket").mapInArrow(repeats._gather({ASKED: _ASK}), "place bigint, check bigint, body binary")
     arrays = rows.select("place", "check", "text").join(gathered, ["place", "check"]).select("place", "check", "text", "body").mapInArrow(_arrays(shingle, parts), repeats.BLOB_SCHEMA)
     links = arrays.repartition(parts, "bucket").mapInArrow(_verify(percent), "doc bigint, check bigint, doc2 bigint, check2 bigint")
