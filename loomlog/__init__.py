@@ -1,0 +1 @@
+"""A PySpark-native analytics engine for Windows binary event logs."""

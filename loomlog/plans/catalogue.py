@@ -1,4 +1,449 @@
-"""Every query of the event log engine by name, with its SQL."""
+"""Every query of the event log engine by name, with its SQL.
 
-QUERIES = {}
-ORACLES = {}
+The driver's tables hold no binary logs, so event queries run on ``ev``, event rows derived from
+``events``. Each callable takes (spark, sf_dir).
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import time as times
+from ..operators import catalog, export, profile, quality, search
+from ..operators.search import SearchFilters
+from ..sources import container, encoder
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+_EV_SQL = """SELECT event_id AS record_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '0Z' AS timestamp,
+ CASE event_type WHEN 'error' THEN CASE WHEN value >= 400 THEN 1 ELSE 2 END WHEN 'purchase' THEN 3 WHEN 'click' THEN 4 WHEN 'view' THEN 5 ELSE 0 END AS level,
+ CAST(4600 + user_id % 40 AS VARCHAR) AS event_id,
+ 'Sim-' || upper(substr(event_type, 1, 1)) || substr(event_type, 2) AS provider,
+ 'HOST' || lpad(CAST(user_id % 20 AS VARCHAR), 2, '0') AS computer,
+ CASE user_id % 3 WHEN 0 THEN 'Application' WHEN 1 THEN 'System' ELSE 'Security' END AS channel,
+ 'UserId: ' || user_id || chr(10) || 'Cents: ' || CAST(round(value * 100) AS BIGINT) || chr(10) || 'Props: ' || props AS event_data,
+ 'arch' || (user_id % 4) AS archive_id, 'arch' || (user_id % 4) || '::f' || (user_id % 8) || '.evtx' AS file_id,
+ 'f' || (user_id % 8) || '.evtx' AS file_name,
+ 'arch' || (user_id % 4) || '::f' || (user_id % 8) || '.evtx::' || event_id AS id FROM events"""
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event rows derived from the driver's events."""
+    e = table(spark, sf_dir, "events")
+    user, text = F.col("user_id"), lambda c: c.cast("string")
+    level = F.when(F.col("event_type") == "error", F.when(F.col("value") >= 400, 1).otherwise(2)).when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "click", 4).when(F.col("event_type") == "view", 5).otherwise(0)
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    archive, file_name = F.concat(F.lit("arch"), text(user % 4)), F.concat(F.lit("f"), text(user % 8), F.lit(".evtx"))
+    return e.select(
+        F.col("event_id").alias("record_id"),
+        F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0Z")).alias("timestamp"),
+        level.alias("level"),
+        text(4600 + user % 40).alias("event_id"),
+        F.concat(F.lit("Sim-"), F.upper(F.substring("event_type", 1, 1)), F.expr("substring(event_type, 2)")).alias("provider"),
+        F.concat(F.lit("HOST"), F.lpad(text(user % 20), 2, "0")).alias("computer"),
+        F.when(user % 3 == 0, "Application").when(user % 3 == 1, "System").otherwise("Security").alias("channel"),
+        F.concat(F.lit("UserId: "), text(user), F.lit("\nCents: "), text(cents), F.lit("\nProps: "), F.col("props")).alias("event_data"),
+        archive.alias("archive_id"),
+        F.concat_ws("::", archive, file_name).alias("file_id"),
+        file_name.alias("file_name"),
+        F.concat_ws("::", archive, file_name, text(F.col("event_id"))).alias("id"),
+    )
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = f"WITH ev AS ({_EV_SQL}) {sql}" if re.search(r"\bev\b", sql) else sql
+        return f
+
+    return add
+
+
+_HIT = ("id", "record_id", "timestamp", "level", "event_id", "provider", "computer", "channel", "event_data")
+_HITS = "SELECT " + ", ".join(_HIT) + " FROM ev"
+_TOP = "ORDER BY timestamp DESC, id DESC LIMIT"
+
+
+def _found(spark: SparkSession, sf_dir: str, filters: SearchFilters, limit: int = search.DEFAULT_LIMIT) -> DataFrame:
+    return search.search(ev(spark, sf_dir), filters, limit).select(*_HIT)
+
+
+@query(f"{_HITS} WHERE level IN (1, 2) {_TOP} 1000")
+def search_levels(spark, sf_dir):
+    return _found(spark, sf_dir, SearchFilters(levels=(1, 2)))
+
+
+@query(f"{_HITS} WHERE event_id IN ('4607', '4624') {_TOP} 1000")
+def search_event_ids(spark, sf_dir):
+    return _found(spark, sf_dir, SearchFilters(event_ids=("4607", "4624")))
+
+
+@query(f"{_HITS} WHERE channel IN ('Security') {_TOP} 1000")
+def search_channels(spark, sf_dir):
+    return _found(spark, sf_dir, SearchFilters(channels=("Security",)))
+
+
+@query(f"{_HITS} WHERE archive_id IN ('arch1', 'arch2') AND file_id IN ('arch1::f1.evtx', 'arch2::f6.evtx') {_TOP} 1000")
+def search_archives_files(spark, sf_dir):
+    return _found(spark, sf_dir, SearchFilters(archive_ids=("arch1", "arch2"), file_ids=("arch1::f1.evtx", "arch2::f6.evtx")))
+
+
+@query(f"{_HITS} WHERE contains(lower(provider), 'click') OR contains(lower(provider), 'sign') {_TOP} 1000")
+def search_provider_substr(spark, sf_dir):
+    return _found(spark, sf_dir, SearchFilters(providers=("CLICK", "sign")))
+
+
+@query(f"{_HITS} WHERE contains(lower(computer), 'ost07') {_TOP} 1000")
+def search_computer_substr(spark, sf_dir):
+    return _found(spark, sf_dir, SearchFilters(computers=("ost07",)))
+
+
+@query(f"{_HITS} WHERE contains(lower(event_data), 'userid: 14') OR contains(lower(provider), 'userid: 14') OR contains(lower(event_id), 'userid: 14') OR contains(lower(computer), 'userid: 14') {_TOP} 1000")
+def search_query(spark, sf_dir):
+    return _found(spark, sf_dir, SearchFilters(query="UserId: 14"))
+
+
+@query(f"{_HITS} WHERE contains(lower(event_data), 'host0') OR contains(lower(provider), 'host0') OR contains(lower(event_id), 'host0') OR contains(lower(computer), 'host0') {_TOP} 100")
+def search_box(spark, sf_dir):
+    return search.search_box(ev(spark, sf_dir), "host0").select(*_HIT)
+
+
+@query(f"SELECT {', '.join('e.' + c for c in _HIT)} FROM ev e JOIN events x ON x.event_id = e.record_id WHERE floor(epoch_us(x.ts) / 1000) BETWEEN epoch_ms(TIMESTAMP '2024-01-05 00:00:00') AND epoch_ms(TIMESTAMP '2024-01-09 12:30:00.5') ORDER BY e.timestamp DESC, e.id DESC LIMIT 1000")
+def search_date_range(spark, sf_dir):
+    return _found(spark, sf_dir, SearchFilters(start=datetime(2024, 1, 5, tzinfo=UTC), end=datetime(2024, 1, 9, 12, 30, 0, 500_000, tzinfo=UTC)))
+
+
+@query(f"{_HITS} WHERE level IN (1, 2, 3) AND channel IN ('System', 'Security') AND contains(lower(computer), 'host1') AND contains(lower(provider), 'r') AND (contains(lower(event_data), 'k') OR contains(lower(provider), 'k')) {_TOP} 100")
+def search_combined(spark, sf_dir):
+    return _found(spark, sf_dir, SearchFilters(query="K", levels=(1, 2, 3), channels=("System", "Security"), computers=("host1",), providers=("R",)), 100)
+
+
+@query(f"{_HITS} {_TOP} 1000")
+def search_no_filters(spark, sf_dir):
+    return _found(spark, sf_dir, SearchFilters())
+
+
+@query("SELECT id, 'Event ' || event_id || ' - Level ' || level AS label, provider || ' • ' || computer || ' • ' || CASE WHEN length(event_data) > 100 THEN substr(event_data, 1, 100) || '...' ELSE event_data END || ' • ' || archive_id || ' / ' || file_name AS short FROM ev WHERE level = 0 " + f"{_TOP} 100")
+def search_hit_text(spark, sf_dir):
+    hits = search.search(ev(spark, sf_dir), SearchFilters(levels=(0,)), search.BOX_LIMIT)
+    hits = search.hit_text(hits.withColumns({"level_text": T.level_text(F.col("level")), "archive_name": F.col("archive_id")}))
+    return hits.select("id", "label", F.regexp_replace("description", r" • [A-Z][a-z]{2} \d+, [0-9:]+ [AP]M • ", " • ").alias("short"))
+
+
+_VIEWED = "contains(lower(event_data), 'secur') OR contains(lower(provider), 'secur') OR contains(lower(event_id), 'secur') OR contains(lower(computer), 'secur') OR contains(lower(channel), 'secur')"
+
+
+@query(f"{_HITS} WHERE level IN (2, 4) AND ({_VIEWED})")
+def viewer_filter(spark, sf_dir):
+    return search.viewer_filter(ev(spark, sf_dir), (2, 4), "Secur").select(*_HIT)
+
+
+@query(f"{_HITS} WHERE 1 = 0")
+def viewer_empty_levels(spark, sf_dir):
+    return search.viewer_filter(ev(spark, sf_dir), ()).select(*_HIT)
+
+
+@query(f"{_HITS} WHERE provider IN ('Sim-Click', 'Sim-View') AND computer IN ('HOST03') AND contains(lower(channel), 'app')")
+def table_filters(spark, sf_dir):
+    return search.column_filters(ev(spark, sf_dir), {"provider": ("Sim-Click", "Sim-View"), "computer": ("HOST03",)}, {"channel": "App"}).select(*_HIT)
+
+
+@query(f"{_HITS} WHERE record_id = 777")
+def point_lookup(spark, sf_dir):
+    return search.point_lookup(ev(spark, sf_dir), 777, ("id",)).select(*_HIT)
+
+
+@query("SELECT level, count(*) AS n FROM ev GROUP BY level")
+def level_counts(spark, sf_dir):
+    return profile.level_counts(ev(spark, sf_dir))
+
+
+@query("SELECT level, count(*) AS n FROM ev WHERE archive_id = 'arch2' GROUP BY level")
+def level_counts_by_archive(spark, sf_dir):
+    return profile.level_counts(ev(spark, sf_dir), "arch2")
+
+
+@query("SELECT count(*) AS n, min(timestamp) AS first, max(timestamp) AS last FROM ev")
+def time_range_summary(spark, sf_dir):
+    return profile.time_range(ev(spark, sf_dir))
+
+
+@query("SELECT DISTINCT * FROM (SELECT 'event_id' AS facet, event_id AS value FROM ev UNION ALL SELECT 'provider', provider FROM ev UNION ALL SELECT 'computer', computer FROM ev UNION ALL SELECT 'channel', channel FROM ev)")
+def facet_options(spark, sf_dir):
+    return profile.facets(ev(spark, sf_dir))
+
+
+@query("SELECT count(*) FILTER (WHERE level IN (1, 2)) AS shown, count(*) AS total FROM ev")
+def shown_of_total(spark, sf_dir):
+    return profile.filtered_of(ev(spark, sf_dir), F.col("level").isin(1, 2))
+
+
+def _page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.regexp_replace("url", r"[?#].*$", "")
+    ending = F.when(F.col("page_id") % 5 == 0, ".evtx").when(F.col("page_id") % 5 == 1, ".JSON").when(F.col("page_id") % 5 == 2, ".log").when(F.col("page_id") % 5 == 3, ".xml").otherwise(".bin")
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(name, ending).alias("name"), F.octet_length("html").cast("bigint").alias("size"))
+    return p.select("page_id", "name", "size", T.file_type(F.col("name")).alias("type"), F.concat(F.lit("arch"), (F.col("page_id") % 4).cast("string")).alias("archive_id"))
+
+
+_PAGE_FILES = """WITH f AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') || CASE page_id % 5 WHEN 0 THEN '.evtx' WHEN 1 THEN '.JSON' WHEN 2 THEN '.log' WHEN 3 THEN '.xml' ELSE '.bin' END AS name, strlen(html) AS size, 'arch' || (page_id % 4) AS archive_id FROM pages),
+ t AS (SELECT *, CASE WHEN lower(name) LIKE '%.evtx' THEN 'evtx' WHEN lower(name) LIKE '%.json' THEN 'json' WHEN lower(name) LIKE '%.txt' OR lower(name) LIKE '%.log' THEN 'txt' WHEN lower(name) LIKE '%.xml' THEN 'xml' ELSE 'unknown' END AS type FROM f) """
+
+
+@query(_PAGE_FILES + "SELECT page_id, name, type FROM t")
+def file_type_dispatch(spark, sf_dir):
+    return _page_files(spark, sf_dir).select("page_id", "name", "type")
+
+
+@query(_PAGE_FILES + "SELECT archive_id, CAST(sum(size) AS BIGINT) AS total_size, count(*) AS file_count, count(*) FILTER (WHERE type <> 'unknown') AS viewable FROM t GROUP BY archive_id")
+def archive_totals(spark, sf_dir):
+    return profile.archive_totals(_page_files(spark, sf_dir))
+
+
+@query(_PAGE_FILES + "SELECT archive_id, CASE type WHEN 'unknown' THEN 'other' ELSE type END AS \"group\", count(*) AS n FROM t GROUP BY ALL")
+def file_summary(spark, sf_dir):
+    return profile.type_counts(_page_files(spark, sf_dir))
+
+
+@query("SELECT CAST(sum(strlen(html)) AS BIGINT) AS usage, CAST(1000000000 AS BIGINT) AS quota FROM pages")
+def storage_use(spark, sf_dir):
+    return profile.storage_use(_page_files(spark, sf_dir), 1_000_000_000).select("usage", "quota")
+
+
+@query("SELECT file_id, record_id, previous FROM (SELECT file_id, record_id, lag(record_id) OVER (PARTITION BY file_id ORDER BY record_id) AS previous FROM ev WHERE record_id % 97 <> 0) WHERE record_id <> previous + 1")
+def id_gap_check(spark, sf_dir):
+    kept = ev(spark, sf_dir).filter("record_id % 97 <> 0").select("file_id", "record_id")
+    return quality.sequence_gaps(kept, ["file_id"], "record_id", "record_id").select("file_id", "record_id", "previous")
+
+
+@query("SELECT file_id, max(record_id) - min(record_id) + 1 AS expected, count(*) AS found FROM ev GROUP BY file_id HAVING max(record_id) - min(record_id) + 1 <> count(*)")
+def chunk_count_check(spark, sf_dir):
+    groups = ev(spark, sf_dir).groupBy("file_id").agg(F.min("record_id").alias("first"), F.max("record_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    return quality.count_mismatch(groups, ["file_id"], "first", "last", "n")
+
+
+@query(f"{_HITS} ORDER BY record_id LIMIT 250 OFFSET 500")
+def page_natural(spark, sf_dir):
+    return search.page(ev(spark, sf_dir), 2, 250, ("record_id",)).select(*_HIT)
+
+
+@query(f"{_HITS} ORDER BY record_id LIMIT 500 OFFSET (SELECT CAST(floor((count(*) - 1) / 500) * 500 AS BIGINT) FROM ev)")
+def page_clamped(spark, sf_dir):
+    return search.page(ev(spark, sf_dir), 10**6, 500, ("record_id",)).select(*_HIT)
+
+
+@query("SELECT total, pages, page, page * 100 AS start, least((page + 1) * 100, total) AS \"end\", page > 0 AS has_previous, page < pages - 1 AS has_next, 'Page ' || (page + 1) || ' of ' || pages || ' (' || (page * 100 + 1) || '–' || least((page + 1) * 100, total) || ' of ' || total || ')' AS caption FROM (SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 100.0) AS BIGINT)) AS pages, least(7, greatest(1, CAST(ceil(count(*) / 100.0) AS BIGINT)) - 1) AS page FROM ev)")
+def page_info(spark, sf_dir):
+    return search.page_info(ev(spark, sf_dir), 7, 100)
+
+
+@query("SELECT record_id, CASE level WHEN 1 THEN 'Critical' WHEN 2 THEN 'Error' WHEN 3 THEN 'Warning' WHEN 4 THEN 'Information' WHEN 5 THEN 'Verbose' ELSE 'Level ' || level END AS level_text FROM ev")
+def level_text_parser(spark, sf_dir):
+    return ev(spark, sf_dir).select("record_id", T.level_text(F.col("level")).alias("level_text"))
+
+
+@query("SELECT record_id, CASE level WHEN 0 THEN 'LogAlways' WHEN 1 THEN 'Critical' WHEN 2 THEN 'Error' WHEN 3 THEN 'Warning' WHEN 4 THEN 'Information' WHEN 5 THEN 'Verbose' ELSE 'Level ' || level END AS level_text FROM ev")
+def level_text_ui(spark, sf_dir):
+    return ev(spark, sf_dir).select("record_id", T.level_text(F.col("level"), T.UI_LEVELS).alias("level_text"))
+
+
+def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").select("event_id", (micros * 10 + times.EPOCH_TICKS + F.col("event_id") % 10).alias("ticks"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || (event_id % 10) || 'Z' AS iso FROM events")
+def filetime_iso(spark, sf_dir):
+    return _ticks(spark, sf_dir).select("event_id", times.filetime_iso(F.col("ticks")).alias("iso"))
+
+
+@query("SELECT event_id, printf('0x%08x', event_id * 7919) AS hex FROM events")
+def hex32_format(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", T.hex32(F.col("event_id") * 7919).alias("hex"))
+
+
+@query("SELECT DISTINCT n_chars, CASE WHEN n_chars = 0 THEN '0 B' WHEN n_chars < 1024 THEN printf('%.2f', n_chars * 1.0) || ' B' ELSE printf('%.2f', floor(n_chars * 100 / 1024.0 + 0.5) / 100) || ' KB' END AS shown FROM documents WHERE n_chars < 1048576")
+def bytes_format(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter("n_chars < 1048576").select("n_chars", T.format_bytes(F.col("n_chars")).alias("shown")).distinct()
+
+
+_ESCAPE_SQL = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+_DECODE_SQL = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, md5({_ESCAPE_SQL.format('html')}) AS digest FROM pages")
+def xml_escape(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.xml_escape(F.col("html"))).alias("digest"))
+
+
+@query(f"SELECT page_id, md5({_DECODE_SQL.format('html')}) AS digest FROM pages")
+def entity_decode(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.entity_decode(F.col("html"))).alias("digest"))
+
+
+@query("SELECT page_id, coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages")
+def tag_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.tag_text(F.col("html"), "title").alias("title"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
+def attr_value(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.attribute_value(F.col("html"), "html", "lang").alias("lang"))
+
+
+def _xml_of_event(payload) -> object:
+    """Event XML built from the columns of ``ev``."""
+    e, c = T.xml_escape, F.col
+    element = lambda name, v: F.concat(F.lit(f"<{name}>"), v, F.lit(f"</{name}>"))
+    return F.concat(F.lit('<Event><System><Provider Name="'), e(c("provider")), F.lit('"/>'), element("EventID", c("event_id")), element("Level", c("level").cast("string")), element("Channel", c("channel")), element("Computer", c("computer")), F.lit("</System>"), payload, F.lit("</Event>"))
+
+
+@query("SELECT event_id, 'user: ' || user_id || chr(10) || 'props: ' || props || chr(10) || event_type AS lines FROM events")
+def data_pairs(spark, sf_dir):
+    c = F.col
+    section = F.concat(F.lit('<Data Name="user">'), c("user_id").cast("string"), F.lit('</Data><Data Name="none"></Data><Data Name="gone"/><Data Name="props">'), T.xml_escape(c("props")), F.lit("</Data><Data>"), c("event_type"), F.lit("</Data>"))
+    return table(spark, sf_dir, "events").select("event_id", T.data_pairs(section).alias("lines"))
+
+
+@query("SELECT event_id, 'user: ' || user_id || chr(10) || 'props: ' || props || chr(10) || 'kind: ' || event_type AS lines FROM events")
+def leaf_pairs(spark, sf_dir):
+    c = F.col
+    section = F.concat(F.lit("<N><user> "), c("user_id").cast("string"), F.lit(" </user><gone/><inner x='1'><props>"), T.xml_escape(c("props")), F.lit("</props><kind>"), c("event_type"), F.lit("</kind></inner><blank> </blank></N>"))
+    return table(spark, sf_dir, "events").select("event_id", T.leaf_pairs(section).alias("lines"))
+
+
+@query("SELECT record_id, provider, event_id, level, channel, computer, event_data FROM ev")
+def event_xml_roundtrip(spark, sf_dir):
+    """XML from the rows, and the rows from it by the exact extractor, in Arrow batches."""
+    from ..functions import eventxml
+
+    kinds = pa.schema([("record_id", pa.int64()), ("provider", pa.string()), ("event_id", pa.string()), ("level", pa.int32()), ("channel", pa.string()), ("computer", pa.string()), ("event_data", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [eventxml.event_fields(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[n] for r in rows], kinds.field(n).type) for n in kinds.names[1:])], schema=kinds)
+
+    payload = F.concat(F.lit("<EventData><Data>"), T.xml_escape(F.col("event_data")), F.lit("</Data></EventData>"))
+    return ev(spark, sf_dir).select("record_id", _xml_of_event(payload).alias("xml")).mapInArrow(run, "record_id bigint, provider string, event_id string, level int, channel string, computer string, event_data string")
+
+
+@query("SELECT event_id, v.label AS label, v.value AS value FROM (SELECT event_id, unnest([{'label': 'UserId', 'value': CAST(user_id AS VARCHAR)}, {'label': 'Cents', 'value': CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)}, {'label': 'Props', 'value': props}]) AS v FROM events)")
+def kv_explode(spark, sf_dir):
+    return ev(spark, sf_dir).select(F.col("record_id").alias("event_id"), F.inline(T.key_values(F.col("event_data")))).select("event_id", "label", "value")
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE contains(lower(text), 'license') OR contains(lower(source), 'license')")
+def text_search_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter(search.any_contains(("text", "source"), "License")).select("doc_id", "lang", "source")
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10))) AS line_count FROM documents")
+def text_line_counts(spark, sf_dir):
+    return export.text_with_lines(table(spark, sf_dir, "documents")).select("doc_id", F.col("line_count").cast("bigint").alias("line_count"))
+
+
+@query("SELECT id FROM ev WHERE archive_id <> 'arch3'")
+def cascade_delete(spark, sf_dir):
+    return catalog.without_archive(ev(spark, sf_dir), "arch3").select("id")
+
+
+@query("SELECT e.id, c.c_name AS archive_name, n.n_name AS file_name FROM ev e JOIN customer c ON c.c_custkey = e.record_id % 150 + 1 JOIN nation n ON n.n_nationkey = c.c_nationkey")
+def denormalised_events(spark, sf_dir):
+    """Names joined to events; the small sides are broadcast by their measured size."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    named = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select("c_custkey", F.col("c_name").alias("archive_name"), F.col("n_name").alias("file_name"))
+    return ev(spark, sf_dir).select("id", (F.col("record_id") % 150 + 1).alias("c_custkey")).join(named, "c_custkey").select("id", "archive_name", "file_name")
+
+
+@query("SELECT DISTINCT id FROM ev WHERE record_id % 3 <> 0")
+def index_dedup(spark, sf_dir):
+    e = ev(spark, sf_dir).select("id", "record_id")
+    return catalog.not_indexed(e.unionAll(e), e.filter("record_id % 3 = 0")).select("id")
+
+
+@query("SELECT h.id FROM ev h WHERE h.level = 2 AND contains(lower(h.event_data), 'userid: 1')")
+def deep_link(spark, sf_dir):
+    e = ev(spark, sf_dir)
+    return search.deep_link(e.filter(search.any_contains(("event_data",), "userid: 1") & (F.col("level") == 2)), e).select("id")
+
+
+def _with_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev(spark, sf_dir).withColumn("xml", F.concat(F.lit("<Event>"), F.col("record_id").cast("string"), F.lit("</Event>")))
+
+
+@query("SELECT file_id, md5('<?xml version=\"1.0\" encoding=\"utf-8\" standalone=\"yes\"?>' || chr(10) || '<Events>' || chr(10) || string_agg('<Event>' || record_id || '</Event>' || chr(10) || chr(10), '' ORDER BY record_id) || '</Events>') AS digest FROM ev GROUP BY file_id")
+def xml_dump(spark, sf_dir):
+    return export.xml_dump(_with_xml(spark, sf_dir), "file_id", ("record_id",)).select("file_id", F.md5("document").alias("digest"))
+
+
+@query("SELECT record_id, CASE level WHEN 1 THEN 'Critical' WHEN 2 THEN 'Error' WHEN 3 THEN 'Warning' WHEN 4 THEN 'Information' WHEN 5 THEN 'Verbose' ELSE 'Level ' || level END AS level, event_id, event_data, '<Event>' || record_id || '</Event>' AS xml FROM ev")
+def record_json(spark, sf_dir):
+    j = export.record_json(_with_xml(spark, sf_dir).withColumn("level_text", T.level_text(F.col("level"))))
+    of = lambda n: F.get_json_object("json", f"$.{n}")
+    return j.select(of("recordId").cast("bigint").alias("record_id"), of("level").alias("level"), of("eventId").alias("event_id"), of("eventData").alias("event_data"), of("xml").alias("xml"))
+
+
+@query("SELECT record_id, section, label, value FROM (SELECT record_id, unnest([{'section': '', 'label': 'Event ID', 'value': event_id}, {'section': '', 'label': 'Time Created', 'value': timestamp}, {'section': '', 'label': 'Source', 'value': provider}, {'section': '', 'label': 'Computer', 'value': computer}, {'section': '', 'label': 'Channel', 'value': channel}, {'section': 'Additional Info', 'label': 'Record ID', 'value': CAST(record_id AS VARCHAR)}], recursive := true) FROM ev)")
+def detail_sections(spark, sf_dir):
+    blank = {c: F.lit("") for c in ("level_text", "process_id", "thread_id", "task", "opcode", "keywords", "version", "security_user_id", "activity_id", "related_activity_id")}
+    return export.detail_rows(ev(spark, sf_dir).withColumns(blank)).drop("position")
+
+
+@query("SELECT event_type, avg(value) AS avg, min(value) AS min, max(value) AS max, list_sort(list(value))[1 + len(list(value)) // 2] AS median FROM events GROUP BY event_type")
+def sample_statistics(spark, sf_dir):
+    found = profile.sample_statistics(table(spark, sf_dir, "events"), "event_type", "value")
+    return found.withColumn("avg", F.round("avg", 6))
+
+
+ORACLES["sample_statistics"] = ORACLES["sample_statistics"].replace("avg(value) AS avg", "round(avg(value), 6) AS avg")
+
+
+def _containers(spark: SparkSession, sf_dir: str, files: int = 8) -> DataFrame:
+    """(file, content): the rows of ``ev`` as containers, a file for each file id."""
+    e = ev(spark, sf_dir).join(_ticks(spark, sf_dir).withColumnRenamed("event_id", "record_id"), "record_id")
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        content = b"".join(encoder.encode(rows.sort_by("record_id").to_pylist()))
+        return pa.table({"file": pa.array([key[0].as_py()]), "content": pa.array([content], pa.binary())})
+
+    return e.select("file_id", "record_id", "ticks", *encoder.SLOTS).groupBy("file_id").applyInArrow(write, "file string, content binary")
+
+
+@query("SELECT e.record_id, strftime(x.ts, '%Y-%m-%dT%H:%M:%S.%f') || (x.event_id % 10) || 'Z' AS timestamp, e.provider, e.event_id, e.level, e.channel, e.computer, e.event_data FROM ev e JOIN events x ON x.event_id = e.record_id")
+def binary_roundtrip(spark, sf_dir):
+    """Rows to binary containers, and back by chunk discovery, record walk and template decoding."""
+    found = container.events(container.decode(container.chunks(_containers(spark, sf_dir))))
+    return found.select("record_id", "timestamp", "provider", "event_id", "level", "channel", "computer", "event_data")
+
+
+@query("SELECT file_id AS file, count(*) AS total_records, CAST(1 AS BIGINT) AS definition_count, count(*) AS reference_count, CAST(0 AS BIGINT) AS missing_count, CAST(0 AS BIGINT) AS parse_error_count FROM ev GROUP BY file_id")
+def template_stats(spark, sf_dir):
+    return container.file_summary(container.decode(container.chunks(_containers(spark, sf_dir)))).drop("num_chunks")
+
+
+@query("SELECT file_id, CAST(count(*) AS BIGINT) AS warnings FROM (SELECT file_id, record_id, lag(record_id) OVER (PARTITION BY file_id ORDER BY record_id) AS previous FROM ev) WHERE 1 = 0 GROUP BY file_id")
+def integrity_checksums(spark, sf_dir):
+    """Chunks whose checksums do not hold; containers that were just written have none."""
+    bad = quality.checksums(_containers(spark, sf_dir)).filter("not (records_ok and header_ok)")
+    return bad.groupBy(F.col("file").alias("file_id")).agg(F.count(F.lit(1)).alias("warnings"))
+
+
+@query("SELECT file_id AS file, record_id FROM (SELECT file_id, record_id, lag(record_id) OVER (PARTITION BY file_id ORDER BY record_id) AS previous FROM ev) WHERE 1 = 0")
+def record_warnings(spark, sf_dir):
+    """Findings about single records: none in containers that were just written."""
+    found = quality.warnings(container.decode(container.chunks(_containers(spark, sf_dir))))
+    return found.filter("phase = 3").select("file", F.col("record_seq").cast("bigint").alias("record_id"))
