@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,10 +55,14 @@ def detail_rows(events: DataFrame) -> DataFrame:
     return rows.select("record_id", "d.section", "position", "d.label", "d.value").filter("value <> ''")
 
 
-@F.udf("string")
-def pretty_xml(xml: str | None) -> str | None:
-    """Indentation depends on all tags before, which no built-in function follows."""
-    return None if xml is None else eventxml.pretty(xml)
+def pretty_xml(xml: Column) -> Column:
+    """Indented text. Indentation depends on all tags before, which no built-in function follows."""
+
+    @F.pandas_udf("string")
+    def indented(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else eventxml.pretty(x))
+
+    return indented(xml)
 
 
 def text_with_lines(files: DataFrame, text: str = "text") -> DataFrame:
