@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BASE_KINDS = ("assign", "access", "hex")
+KINDS = (*BASE_KINDS, *(f"decoded_{k}" for k in BASE_KINDS))
 MAX_INFLATED = 16 << 20
 MIN_RUN = 24
 
@@ -150,7 +151,7 @@ def _unwrapped(layer: Layer, long_run: bool) -> Iterator[Layer]:
 
 
 def spans(text: str) -> list[tuple[str, int, int]]:
-    """All findings as (kind, start, end) in code points of ``text``: the base ones, then those of deeper layers."""
+    """All findings as (kind, start, end) in code points of ``text``, by start and then by kind, deeper layers last."""
     first = Layer(text, None, None)
     run = _long_run(text)
     found = scan(text, run)
@@ -171,7 +172,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             if (kind, *place) not in held:
                 deeper[(f"decoded_{kind}", *place)] = None
         work += _unwrapped(layer, run)
-    return found + sorted(deeper, key=lambda x: (x[1], x[0], x[2]))
+    return sorted([*found, *deeper], key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
