@@ -69,3 +69,8 @@ def sample_statistics(samples: DataFrame, by: str, value: str) -> DataFrame:
 def long_tasks(trace: DataFrame, least_ms: float = 50.0) -> DataFrame:
     """Of a trace (name, dur in microseconds), the tasks over ``least_ms``, longest first."""
     return trace.select("name", (F.col("dur") / 1000.0).alias("ms")).filter(F.col("ms") > least_ms).orderBy(F.desc("ms"), "name")
+
+
+def scripting_time(trace: DataFrame, names: tuple[str, ...] = ("FunctionCall", "EvaluateScript")) -> DataFrame:
+    """Milliseconds of a trace's tasks of these names."""
+    return trace.filter(F.col("name").isin(*names)).agg(F.coalesce(F.sum(F.col("dur") / 1000.0), F.lit(0.0)).alias("ms"))

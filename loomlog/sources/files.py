@@ -77,3 +77,8 @@ def json_files(members: DataFrame) -> DataFrame:
 def log_files(members: DataFrame) -> DataFrame:
     """Containers among the members, as (file, content)."""
     return members.filter("type = 'evtx' and content is not null").select(F.concat_ws("::", "archive", "name").alias("file"), "content")
+
+
+def file_list(stored: DataFrame) -> DataFrame:
+    """What an archive's page lists: name, size, compressed_size (the size itself once stored), type."""
+    return stored.select("name", "size", F.col("size").alias("compressed_size"), "type")

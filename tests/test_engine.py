@@ -199,3 +199,32 @@ def test_exports(spark, tmp_path):
     assert e.select(export.pretty_xml(F.col("xml")).alias("p")).first().p.splitlines()[1] == "  <System>"
     assert e.select(*export.FULL_VIEW).columns[0] == "record_id" and e.select(*export.DEFAULT_VIEW).count() == 3
     assert search.page(e, 0, 50).count() == 3 and search.sort_table(e, "level_text").first().level == 0
+
+
+def test_sql_functions(spark):
+    from loomlog.functions import register, values
+
+    assert "event_data_kv" in register.register(spark)
+    row = spark.sql("SELECT guid_text(X'AABBCCDD112233445566778899AABBCC') g, sid_text(X'010100000000000512000000') s, sid_text(X'0105000000000005') e, filetime_ticks(X'879696ED8A49DA01') t, filetime_iso(133500000001234567) i, hex32(60000) h, xml_escape('a<b') x").first()
+    assert tuple(row) == ("{ddccbbaa-2211-4433-5566-778899AABBCC}", "S-1-5-18", "S-1-5", int.from_bytes(bytes.fromhex("879696ED8A49DA01"), "little"), values.filetime_text(133500000001234567), "0x0000ea60", "a&lt;b")
+    lines = spark.sql("SELECT k.label, k.value FROM VALUES ('A b:  1\\nplain\\nC: x') AS t(s), LATERAL event_data_kv(s) AS k").collect()
+    assert [tuple(r) for r in lines] == [("A b", "1"), ("C", "x")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from loomlog.__main__ import main
+
+    log(tmp_path / "a.evtx", range(1, 4))
+    main(["dump", str(tmp_path), "-o", "xml"])
+    assert capsys.readouterr().out.count("</Event>") == 3
+    main(["dump", str(tmp_path)])
+    assert len(capsys.readouterr().out.strip().splitlines()) == 3
+
+
+def test_traces_and_storage(spark):
+    trace = spark.createDataFrame([("FunctionCall", 70_000), ("Paint", 60_000), ("EvaluateScript", 1_000)], "name string, dur bigint")
+    assert [r.name for r in profile.long_tasks(trace).collect()] == ["FunctionCall", "Paint"]
+    assert profile.scripting_time(trace).first().ms == 71.0
+    stored = spark.createDataFrame([("a", "evtx", 10, "x")], "name string, type string, size bigint, archive_id string")
+    assert tuple(files.file_list(stored).first()) == ("a", 10, 10, "evtx")
+    assert profile.storage_use(stored, 40).first().usage_percent == 25.0
