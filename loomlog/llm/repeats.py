@@ -278,7 +278,7 @@ def _gather(kinds: dict[int, np.dtype]) -> Callable:
 
 
 def _fetch(reader: Reader, length: int, buckets: int) -> Callable:
-    """Step 3, over (place, check, text, wanted): contested contexts with their units, as one record for each flush and group."""
+    """Step 3, over (place, check, text, wanted, doc_id): contested contexts with their units, as one record for each flush and group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, heads, bodies, size = _Outbox(buckets), [], [], 0
@@ -439,8 +439,8 @@ def repeated_spans(docs: DataFrame, reader: Reader, unit: np.dtype, later: Calla
     decided = common.checkpointed(cut.repartition(n, "bucket").mapInArrow(_decide(length, n, budget), BLOB_SCHEMA))
     schema = "place bigint, check bigint, body binary"
     asked = decided.filter(F.col("kind") == FETCH).repartition(n, "bucket").mapInArrow(_gather({FETCH: WANTED}), schema)
-    distinct = rows.select("place", "check", "text")
-    wanted = distinct.join(asked, ["place", "check"]).select("place", "check", "text", "body").mapInArrow(_fetch(reader, length, n), BLOB_SCHEMA)
+    # both joins take the same columns, so that the texts are shuffled once
+    wanted = rows.join(asked, ["place", "check"]).select("place", "check", "text", "body", "doc_id").mapInArrow(_fetch(reader, length, n), BLOB_SCHEMA)
     indexed = wanted.repartition(n, "bucket").mapInArrow(_index(later, length, unit, n, chunk_units), BLOB_SCHEMA)
     spans = decided.filter(F.col("kind") == REPEAT).unionByName(indexed).repartition(n, "bucket").mapInArrow(_gather({REPEAT: SPAN}), schema)
     return rows.join(spans, ["place", "check"], "left")
