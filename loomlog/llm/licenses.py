@@ -205,7 +205,9 @@ def find_licenses(docs: DataFrame, *, training_documents: int = TRAINING_DOCUMEN
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.char_length(F.trim(x)) > 0)
-    sample = rows.select(F.xxhash64("doc_id", "text").alias("h"), F.transform(F.slice(lines, 1, PARAGRAPHS_EACH), lambda x: F.substring(x, 1, 400)).alias("p")).orderBy("h").limit(training_documents)
+    mark = F.xxhash64("doc_id", "text")
+    least = rows.select(mark.alias("h")).orderBy("h").limit(training_documents).agg(F.max("h")).first()[0]
+    sample = rows.filter(mark <= F.lit(least)).select(F.transform(F.slice(lines, 1, PARAGRAPHS_EACH), lambda x: F.substring(x, 1, 400)).alias("p"))
     corpus = sorted(p for r in sample.collect() for p in (r.p or []))
     model, _ = train(corpus)
     held = spark.sparkContext.broadcast(model)
