@@ -23,7 +23,7 @@ from . import common
 ROUNDS = 9
 KEEP_EVERY = 3
 DAMPING = 0.85
-THRESHOLD = 1.0
+THRESHOLD = 2.0
 PARENT_WEIGHT = 0.1
 
 
@@ -67,9 +67,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, *, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, rank) from ``edges`` (src, dst, w) and ``seeds`` (host, weight); hosts that are not reached have no row."""
-    total = seeds.agg(F.sum("weight")).first()[0]
+def page_rank(edges: DataFrame, seeds: DataFrame, *, rounds: int = ROUNDS, damping: float = DAMPING, total: float | None = None) -> DataFrame:
+    """(host, rank) from ``edges`` (src, dst, w) and ``seeds`` (host, weight); hosts that are not reached have no row.
+
+    Ranks add up to the seeds' share of ``total``, by default all of it.
+    """
+    total = seeds.agg(F.sum("weight")).first()[0] if total is None else total
     out = edges.groupBy("src").agg(F.sum("w").alias("all_w"))
     steps = common.checkpointed(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("all_w")).alias("share")))
     start = seeds.select("host", (F.col("weight") / F.lit(float(total or 1))).alias("rank"))
@@ -90,8 +93,9 @@ def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, threshold:
     told = told.select("page_id", "host", "path", "html", rule.alias("rule"), allow.alias("allow"))
     edges = common.checkpointed(host_edges(told))
     seeds = common.checkpointed(told.filter("allow is not null and host <> ''").groupBy("host", "allow").agg(F.count(F.lit(1)).cast("double").alias("weight")))
-    trust = page_rank(edges, seeds.filter("allow").select("host", "weight"))
-    distrust = page_rank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), seeds.filter("not allow").select("host", "weight"))
+    total = seeds.agg(F.sum("weight")).first()[0] or 1.0  # one scale for trust and distrust
+    trust = page_rank(edges, seeds.filter("allow").select("host", "weight"), total=total)
+    distrust = page_rank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), seeds.filter("not allow").select("host", "weight"), total=total)
     scores = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full")
     found = told.drop("html").join(scores, "host", "left")
     good, bad = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
