@@ -102,7 +102,7 @@ def _describe(k: int) -> Callable:
                 key[d], bits[d] = both.tobytes(), bitmap(s).tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n), pa.array(key, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "place", "check", "n", "key", "bits"])
 
-    return run
+    return common.trimmed(run)
 
 
 def _frequent(k: int) -> Callable:
@@ -126,7 +126,7 @@ def _frequent(k: int) -> Callable:
         if held:
             yield flush()
 
-    return run
+    return common.trimmed(run)
 
 
 class Order:
@@ -179,7 +179,7 @@ def _prefixes(order, k: int, percent: int, buckets: int) -> Callable:
             out.put(TOKENS, rows["token"], rows)
             yield out.take()
 
-    return run
+    return common.trimmed(run)
 
 
 def _tiles(percent: int, buckets: int, small: int, block: int) -> Callable:
@@ -249,7 +249,7 @@ def _tiles(percent: int, buckets: int, small: int, block: int) -> Callable:
         if out.rows:
             yield out.take()
 
-    return run
+    return common.trimmed(run)
 
 
 def around(doc: np.ndarray, check: np.ndarray) -> np.ndarray:
@@ -281,7 +281,7 @@ def _bounded(percent: int) -> Callable:
                 keep[i] = (n[i] + n2[i] - differ) // 2 >= needed(int(n[i]), int(n2[i]), percent)
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in _PAIR.names], names=list(_PAIR.names)).filter(pa.array(keep))
 
-    return run
+    return common.trimmed(run)
 
 
 def _ask_groups(buckets: int) -> Callable:
@@ -297,7 +297,7 @@ def _ask_groups(buckets: int) -> Callable:
             if out.rows:
                 yield out.take()
 
-    return run
+    return common.trimmed(run)
 
 
 def _arrays(k: int, buckets: int) -> Callable:
@@ -335,7 +335,7 @@ def _arrays(k: int, buckets: int) -> Callable:
             flush()
             yield out.take()
 
-    return run
+    return common.trimmed(run)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -400,7 +400,7 @@ def _verify(percent: int) -> Callable:
             i, j = np.array(links).T
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.int64)) for c in (h["doc"][i], h["check"][i], h["doc"][j], h["check"][j])], names=list(_PAIR.names))
 
-    return run
+    return common.trimmed(run)
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
@@ -431,6 +431,7 @@ def join_documents(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PE
     repeated rows are all first or none.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     parts = common.partitions(docs)
     rows = repeats.keyed(docs)
     told = common.checkpointed(rows.mapInArrow(_describe(shingle), "doc_id bigint, place bigint, check bigint, n bigint, key binary, bits binary"))

@@ -212,7 +212,7 @@ def _cut(reader: Reader, length: int, k: int, buckets: int) -> Callable:
         if out.rows:
             yield out.take()
 
-    return run
+    return common.trimmed(run)
 
 
 def _decide(length: int, buckets: int, budget: int) -> Callable:
@@ -250,7 +250,7 @@ def _decide(length: int, buckets: int, budget: int) -> Callable:
         if out.rows:
             yield out.take()
 
-    return run
+    return common.trimmed(run)
 
 
 def _gather(kinds: dict[int, np.dtype]) -> Callable:
@@ -274,7 +274,7 @@ def _gather(kinds: dict[int, np.dtype]) -> Callable:
                 bodies = [rows[(cuts[j - 1] if j else 0) : ends[j]].tobytes() for j in range(i, min(i + 10_000, len(heads)))]
                 yield pa.RecordBatch.from_arrays([pa.array(heads["doc"][i : i + 10_000]), pa.array(heads["check"][i : i + 10_000].astype(np.int64)), pa.array(bodies, pa.binary())], names=["place", "check", "body"])
 
-    return run
+    return common.trimmed(run)
 
 
 def _fetch(reader: Reader, length: int, buckets: int) -> Callable:
@@ -343,7 +343,7 @@ def _fetch(reader: Reader, length: int, buckets: int) -> Callable:
             if out.rows:
                 yield out.take()
 
-    return run
+    return common.trimmed(run)
 
 
 class Contested(NamedTuple):
@@ -405,7 +405,7 @@ def _index(later: Callable[[Contested, int], np.ndarray], length: int, unit: np.
                 yield out.take()
             begin = end
 
-    return run
+    return common.trimmed(run)
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -433,6 +433,7 @@ def places(group: Contested) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def repeated_spans(docs: DataFrame, reader: Reader, unit: np.dtype, later: Callable, *, length: int, k: int, chunk_units: int, budget: int = GROUP_BUDGET) -> DataFrame:
     """``keyed(docs)`` with ``body``: the packed spans (``SPAN``) of units in windows that start earlier too, or null."""
+    common.small_batches(docs.sparkSession)
     n = common.partitions(docs)
     rows = keyed(docs)
     cut = rows.select("place", "check", "text").mapInArrow(_cut(reader, length, k, n), BLOB_SCHEMA)

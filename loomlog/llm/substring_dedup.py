@@ -13,6 +13,7 @@ rows give repeated results; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -77,8 +78,12 @@ def later_windows(group: repeats.Contested, length: int) -> np.ndarray:
     return (doc != doc[head]) | (start != start[head])
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, body) to the result; kept words are copied from the text's own bytes."""
+_RESULT = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
+
+
+def _finish(texts: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, body) to the result, with the kept text or without; kept words are copied from the text's own bytes."""
+    kinds = dict(list(_RESULT.items())[: None if texts else -1])
     for b in batches:
         out: list[tuple] = []
         ids = b.column(0).to_pylist()
@@ -98,16 +103,16 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gone = int(sums[z] - sums[a])
                 words = [raw[starts[w] : ends[w]] for w in range(a, z)] if not gone else [raw[starts[w] : ends[w]] for w in (np.flatnonzero(keep[a:z]) + a).tolist()]
                 text = b" ".join(words)
-                out.append((ids[d], z - a, gone, hashlib.sha256(text).hexdigest(), text.decode()))
+                out.append((ids[d], z - a, gone, hashlib.sha256(text).hexdigest(), *([text.decode()] * texts)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
-def dedup_words(docs: DataFrame, *, window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text."""
+def dedup_words(docs: DataFrame, *, window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS, texts: bool = True) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, kept_text."""
     found = repeats.repeated_spans(docs, repeats.word_units, np.dtype("<u8"), later_windows, length=window, k=anchor, chunk_units=CHUNK_UNITS)
-    return found.select("doc_id", "text", "body").mapInArrow(_finish, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    return found.select("doc_id", "text", "body").mapInArrow(functools.partial(_finish, texts), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_words(common.documents(spark, sf_dir)).drop("kept_text")
+    return dedup_words(common.documents(spark, sf_dir), texts=False)

@@ -14,6 +14,7 @@ bytes, so what is kept need not be UTF-8.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -138,8 +139,9 @@ def later_windows(group: repeats.Contested, length: int) -> np.ndarray:
 _RESULT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, body) to the result."""
+def _finish(texts: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, body) to the result, with the kept bytes or without."""
+    kinds = dict(list(_RESULT.items())[: None if texts else -1])
     for b in batches:
         out: list[tuple] = []
         for doc_id, text, body in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2), strict=True):
@@ -150,16 +152,16 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append(raw[at:s])
                 at = e
             kept = b"".join((*parts, raw[at:]))
-            out.append((doc_id, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
+            out.append((doc_id, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept)[: len(kinds)])
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _RESULT.values(), strict=True)], names=list(_RESULT))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
-def dedup_bytes(docs: DataFrame, *, window: int = WINDOW_BYTES, anchor: int = ANCHOR_BYTES) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept."""
+def dedup_bytes(docs: DataFrame, *, window: int = WINDOW_BYTES, anchor: int = ANCHOR_BYTES, texts: bool = True) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, kept."""
     found = repeats.repeated_spans(docs, repeats.byte_units, np.dtype("u1"), later_windows, length=window, k=anchor, chunk_units=CHUNK_UNITS)
-    return found.select("doc_id", "text", "body").mapInArrow(_finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return found.select("doc_id", "text", "body").mapInArrow(functools.partial(_finish, texts), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * texts)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_bytes(common.documents(spark, sf_dir)).drop("kept")
+    return dedup_bytes(common.documents(spark, sf_dir), texts=False)
