@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import eventxml
 from ..functions.text import hex32
 
-XML_HEAD = '<?xml version="1.0" encoding="utf-8" standalone="yes"?>\n<Events>\n'
+XML_HEAD = '<?xml version="1.0" encoding="utf-8"?>\n<Events>\n'
 XML_TAIL = "</Events>"
 RECORD_FIELDS = ("record_id", "timestamp", "event_id", "level_text", "provider", "computer", "channel", "event_data", "xml")
 _JSON_NAMES = ("recordId", "timestamp", "eventId", "level", "provider", "computer", "channel", "eventData", "xml")

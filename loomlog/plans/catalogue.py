@@ -385,7 +385,7 @@ def _with_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev(spark, sf_dir).withColumn("xml", F.concat(F.lit("<Event>"), F.col("record_id").cast("string"), F.lit("</Event>")))
 
 
-@query("SELECT file_id, md5('<?xml version=\"1.0\" encoding=\"utf-8\" standalone=\"yes\"?>' || chr(10) || '<Events>' || chr(10) || string_agg('<Event>' || record_id || '</Event>' || chr(10) || chr(10), '' ORDER BY record_id) || '</Events>') AS digest FROM ev GROUP BY file_id")
+@query("SELECT file_id, md5('<?xml version=\"1.0\" encoding=\"utf-8\"?>' || chr(10) || '<Events>' || chr(10) || string_agg('<Event>' || record_id || '</Event>' || chr(10) || chr(10), '' ORDER BY record_id) || '</Events>') AS digest FROM ev GROUP BY file_id")
 def xml_dump(spark, sf_dir):
     return export.xml_dump(_with_xml(spark, sf_dir), "file_id", ("record_id",)).select("file_id", F.md5("document").alias("digest"))
 
