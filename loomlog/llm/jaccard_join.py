@@ -38,7 +38,7 @@ BLOCK = 4096
 HOT_LOCAL = 3
 HOT_LEAST = 24
 HOT_SHARE = 1e-4
-FLUSH_TOKENS = 400_000
+FLUSH_TOKENS = 200_000
 
 _TOKEN = np.dtype([("token", "<u8"), ("doc", "<i8"), ("check", "<u4"), ("n", "<i4")])
 _PAIR = np.dtype([("doc", "<i8"), ("check", "<u4"), ("doc2", "<i8"), ("check2", "<u4")])
@@ -327,7 +327,7 @@ def _arrays(k: int, buckets: int) -> Callable:
                 heads["group"], heads["side"], heads["doc"], heads["check"], heads["n"] = asked["group"], asked["side"], place[d], check[d], len(s)
                 held.append((heads, s))
                 size += s.nbytes
-                if size >= 8 << 20:
+                if size >= 4 << 20:
                     flush()
                     held, size = [], 0
                     yield out.take()
