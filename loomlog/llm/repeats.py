@@ -15,6 +15,9 @@ A place is (doc_id, start); a null doc_id counts as the largest. Rows of equal d
 when their starts are equal, and neither is earlier then. Rows are told apart by doc_id and a checksum
 of their text, so repeated rows get the same result.
 
+A document of more than ``PIECE_BYTES`` is read in pieces that overlap by a window less one unit, so memory does
+not follow its length. Where a context is cut does not matter: equal windows still share their anchor.
+
 Tasks exchange blobs of packed arrays; every group of equal things is cut down to one a flush before a
 shuffle, so a passage that a third of all documents hold costs one record for each flush.
 """
@@ -32,7 +35,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-FLUSH_ROWS = 400_000
+FLUSH_ROWS = 200_000
+PIECE_BYTES = 4 << 20
 GROUP_BUDGET = 20_000
 _POSITION = np.uint64((1 << 28) - 1)
 
@@ -66,6 +70,29 @@ def byte_units(data: np.ndarray, offsets: np.ndarray) -> Units:
     return Units(common.BYTE_VALUES[data], offsets, data)
 
 
+def stretches(reader: Reader, data: np.ndarray, offsets: np.ndarray, length: int, piece: int) -> Iterator[tuple[Units, int]]:
+    """Units of a slice, and where they start in their document; more than one stretch only for a single long document."""
+    if len(offsets) > 2 or len(data) <= piece:
+        yield reader(data, offsets), 0
+        return
+    at = base = 0
+    held = Units(*(np.zeros(0, dtype=x.dtype) for x in reader(data[:0], np.zeros(2, dtype=np.int64))))
+    while at < len(data):
+        end = min(at + piece, len(data))
+        if reader is word_units and end < len(data):  # between words
+            gaps = np.flatnonzero(common.IS_SEPARATOR[data[at:end]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:
+                later = np.flatnonzero(common.IS_SEPARATOR[data[end:]])
+                end = end + int(later[0]) + 1 if len(later) else len(data)
+        units = reader(data[at:end], np.array([0, end - at]))
+        values, raw = np.concatenate((held.values, units.values)), np.concatenate((held.raw, units.raw))
+        yield Units(values, np.array([0, len(values)]), raw), base
+        keep = max(0, len(values) - (length - 1))
+        held, base, at = Units(values[keep:], units.offsets, raw[keep:]), base + keep, end
+
+
 def pack(a: np.ndarray) -> bytes:
     """Columns one after the other, compressed."""
     return zstandard.compress(len(a).to_bytes(4, "little") + b"".join(np.ascontiguousarray(a[n]).tobytes() for n in a.dtype.names), 1)
@@ -170,7 +197,7 @@ def earliest(rows: np.ndarray, keys: tuple[str, ...]) -> tuple[np.ndarray, np.nd
     return rows, opens, (rows["doc"] == rows["doc"][head]) & (rows["start"] == rows["start"][head])
 
 
-def _cut(reader: Reader, length: int, k: int, buckets: int) -> Callable:
+def _cut(reader: Reader, length: int, k: int, buckets: int, piece: int) -> Callable:
     """Step 1, over (place, check, text)."""
 
     def flush(held: list[np.ndarray], out: _Outbox) -> None:
@@ -195,18 +222,19 @@ def _cut(reader: Reader, length: int, k: int, buckets: int) -> Callable:
         out, held, count = _Outbox(buckets), [], 0
         for b in batches:
             place, check = (np.asarray(b.column(i)) for i in (0, 1))
-            for i, _, data, offsets in common.text_slices(b.column(2)):
-                anchor, context, first, windows, doc = contexts(units := reader(data, offsets), length, k)
-                rows = np.empty(len(anchor), dtype=PLACED)
-                rows["anchor"], rows["context"], rows["windows"] = anchor, context, windows
-                rows["doc"], rows["check"], rows["start"] = place[i + doc], check[i + doc], first - units.offsets[doc]
-                held.append(rows)
-                count += len(rows)
-                if count >= FLUSH_ROWS:
-                    flush(held, out)
-                    held, count = [], 0
-                    if out.rows:
-                        yield out.take()
+            for i, _, data, offsets in common.text_slices(b.column(2), min(common.SLICE_BYTES, piece)):
+                for units, base in stretches(reader, data, offsets, length, piece):
+                    anchor, context, first, windows, doc = contexts(units, length, k)
+                    rows = np.empty(len(anchor), dtype=PLACED)
+                    rows["anchor"], rows["context"], rows["windows"] = anchor, context, windows
+                    rows["doc"], rows["check"], rows["start"] = place[i + doc], check[i + doc], first - units.offsets[doc] + base
+                    held.append(rows)
+                    count += len(rows)
+                    if count >= FLUSH_ROWS:
+                        flush(held, out)
+                        held, count = [], 0
+                        if out.rows:
+                            yield out.take()
         if count:
             flush(held, out)
         if out.rows:
@@ -277,7 +305,7 @@ def _gather(kinds: dict[int, np.dtype]) -> Callable:
     return common.trimmed(run)
 
 
-def _fetch(reader: Reader, length: int, buckets: int) -> Callable:
+def _fetch(reader: Reader, length: int, buckets: int, piece: int) -> Callable:
     """Step 3, over (place, check, text, wanted, doc_id): contested contexts with their units, as one record for each flush and group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,20 +352,25 @@ def _fetch(reader: Reader, length: int, buckets: int) -> Callable:
 
         for b in batches:
             place, check = (np.asarray(b.column(i)) for i in (0, 1))
-            for i, j, data, offsets in common.text_slices(b.column(2)):
-                units = reader(data, offsets)
-                for d in range(i, j):
-                    rows = np.frombuffer(b.column(3)[d].as_py(), dtype=WANTED)
-                    at = units.offsets[d - i] + rows["start"].astype(np.int64)
-                    lengths = rows["windows"].astype(np.int64) + (length - 1)
-                    pick = np.repeat(at - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-                    heads.append(rows)
-                    bodies.append(units.raw[pick])
-                    size += bodies[-1].nbytes
-                    if size >= 4 * common.SLICE_BYTES:
-                        flush()
-                        heads, bodies, size = [], [], 0
-                        yield out.take()
+            for i, j, data, offsets in common.text_slices(b.column(2), min(common.SLICE_BYTES, piece)):
+                reached = 0
+                for units, base in stretches(reader, data, offsets, length, piece):
+                    for d in range(i, j):
+                        rows = np.frombuffer(b.column(3)[d].as_py(), dtype=WANTED)
+                        ends = rows["start"].astype(np.int64) + rows["windows"] + (length - 1)
+                        if j - i == 1:  # a context is in the stretch that reaches its end
+                            rows = rows[(ends > reached) & (ends <= base + len(units.values))]
+                        at = units.offsets[d - i] + rows["start"].astype(np.int64) - base
+                        lengths = rows["windows"].astype(np.int64) + (length - 1)
+                        pick = np.repeat(at - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+                        heads.append(rows)
+                        bodies.append(units.raw[pick])
+                        size += bodies[-1].nbytes
+                        if size >= 4 << 20:
+                            flush()
+                            heads, bodies, size = [], [], 0
+                            yield out.take()
+                    reached = base + len(units.values)
         if heads:
             flush()
             if out.rows:
@@ -431,17 +464,17 @@ def places(group: Contested) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(group.at, each) + shift, np.repeat(group.head["doc"], each), np.repeat(group.head["start"].astype(np.int64), each) + shift
 
 
-def repeated_spans(docs: DataFrame, reader: Reader, unit: np.dtype, later: Callable, *, length: int, k: int, chunk_units: int, budget: int = GROUP_BUDGET) -> DataFrame:
+def repeated_spans(docs: DataFrame, reader: Reader, unit: np.dtype, later: Callable, *, length: int, k: int, chunk_units: int, budget: int = GROUP_BUDGET, piece: int = PIECE_BYTES) -> DataFrame:
     """``keyed(docs)`` with ``body``: the packed spans (``SPAN``) of units in windows that start earlier too, or null."""
     common.small_batches(docs.sparkSession)
     n = common.partitions(docs)
     rows = keyed(docs)
-    cut = rows.select("place", "check", "text").mapInArrow(_cut(reader, length, k, n), BLOB_SCHEMA)
+    cut = rows.select("place", "check", "text").mapInArrow(_cut(reader, length, k, n, piece), BLOB_SCHEMA)
     decided = common.checkpointed(cut.repartition(n, "bucket").mapInArrow(_decide(length, n, budget), BLOB_SCHEMA))
     schema = "place bigint, check bigint, body binary"
     asked = decided.filter(F.col("kind") == FETCH).repartition(n, "bucket").mapInArrow(_gather({FETCH: WANTED}), schema)
     # both joins take the same columns, so that the texts are shuffled once
-    wanted = rows.join(asked, ["place", "check"]).select("place", "check", "text", "body", "doc_id").mapInArrow(_fetch(reader, length, n), BLOB_SCHEMA)
+    wanted = rows.join(asked, ["place", "check"]).select("place", "check", "text", "body", "doc_id").mapInArrow(_fetch(reader, length, n, piece), BLOB_SCHEMA)
     indexed = wanted.repartition(n, "bucket").mapInArrow(_index(later, length, unit, n, chunk_units), BLOB_SCHEMA)
     spans = decided.filter(F.col("kind") == REPEAT).unionByName(indexed).repartition(n, "bucket").mapInArrow(_gather({REPEAT: SPAN}), schema)
     return rows.join(spans, ["place", "check"], "left")

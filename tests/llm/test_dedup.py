@@ -68,9 +68,10 @@ def corpus(seed, n=120):
     return rows
 
 
-@pytest.fixture(params=[20_000, 1], ids=["whole groups", "split groups"])
+@pytest.fixture(params=[{}, {"budget": 1}, {"piece": 300}], ids=["whole groups", "split groups", "documents in pieces"])
 def budget(request, monkeypatch):
-    monkeypatch.setitem(repeats.repeated_spans.__kwdefaults__, "budget", request.param)
+    for name, value in request.param.items():
+        monkeypatch.setitem(repeats.repeated_spans.__kwdefaults__, name, value)
 
 
 def test_words_equal_brute_force(spark, docs_of, budget):
@@ -95,6 +96,25 @@ def test_small_windows(spark, docs_of):
     assert got(suffix_array_dedup.dedup_bytes(docs_of(rows), window=24, anchor=8), "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected_bytes(rows, 24)
 
 
+@pytest.mark.parametrize("piece", [150, 700])
+def test_long_documents_are_read_in_pieces(piece):
+    rng = random.Random(piece)
+    vocabulary = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 9))) for _ in range(30)]
+    data = np.frombuffer(" ".join(rng.choice(vocabulary) for _ in range(900)).encode() + b" " + b"z" * 2000 + b" end", dtype=np.uint8)
+    offsets = np.array([0, len(data)])
+    for reader, length, k in ((repeats.word_units, 20, 8), (repeats.byte_units, 100, 32)):
+        whole = reader(data, offsets)
+        covered, before = np.zeros(len(whole.values), dtype=int), 0
+        for units, base in repeats.stretches(reader, data, offsets, length, piece):
+            assert np.array_equal(units.values, whole.values[base : base + len(units.values)])
+            _, _, first, windows, _ = repeats.contexts(units, length, k)
+            for s, n in zip(first + base, windows, strict=True):
+                covered[s : s + n] += 1
+                assert before < s + n + length - 1 <= base + len(units.values)
+            before = base + len(units.values)
+        assert before == len(whole.values) and covered[: len(covered) - length + 1].tolist() == [1] * (len(covered) - length + 1)
+
+
 def test_kept_texts_and_clashing_columns(spark):
     text = " ".join(map(str, range(30)))
     df = spark.createDataFrame([(1, text, "p", 1, b"b"), (2, f"{text} end", "p", 2, b"c")], "doc_id bigint, text string, place string, check int, body binary")
