@@ -21,7 +21,7 @@ def filetime_iso(ticks: Column) -> Column:
     seconds = F.floor(whole / F.lit(10_000_000).cast("decimal(20,0)")).cast("bigint") - 11644473600
     fraction = F.lpad(F.pmod(whole, F.lit(10_000_000).cast("decimal(20,0)")).cast("bigint").cast("string"), 7, "0")
     cycle = 12622780800  # seconds in 400 years
-    late = F.greatest(F.lit(0), F.expr("0") + F.floor((seconds - 253402300800) / F.lit(float(cycle))).cast("bigint") + 1)
+    late = F.greatest(F.lit(0), F.floor((seconds - 253402300800) / F.lit(float(cycle))).cast("bigint") + 1)
     at = F.timestamp_seconds(F.when(seconds < 253402300800, seconds).otherwise(seconds - late * cycle))
     year = F.year(at) + F.when(seconds < 253402300800, F.lit(0).cast("bigint")).otherwise(late * 400)
     year_text = F.when(year < 1000, F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string"))

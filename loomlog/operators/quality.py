@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..sources import container
 
-COLUMNS = ("file", "chunk_index", "phase", "record_seq", "check_id", "message")
 
 
 def sequence_gaps(rows: DataFrame, partition: list[str], order: str, value: str) -> DataFrame:

@@ -68,8 +68,7 @@ def chunks(files: DataFrame) -> DataFrame:
     last = F.length("content") - CHUNK_SIZE
     checked = F.when(F.substring("content", 1, len(FILE_MAGIC)) == F.lit(FILE_MAGIC), F.when(last >= header, F.sequence(header, last, F.lit(CHUNK_SIZE))).otherwise(F.array().cast("array<int>")))
     checked = F.coalesce(checked, F.raise_error(F.concat(F.lit("not a binary log: "), F.col("file"))).cast("array<int>"))
-    magic = lambda at: F.expr("substring(content, 1, 0)") if at is None else F.substring(F.col("content"), at + 1, F.lit(len(CHUNK_MAGIC)))
-    starts = F.filter(checked, lambda at: magic(at) == F.lit(CHUNK_MAGIC))
+    starts = F.filter(checked, lambda at: F.substring(F.col("content"), at + 1, F.lit(len(CHUNK_MAGIC))) == F.lit(CHUNK_MAGIC))
     cut = F.transform(starts, lambda at: F.struct(at.cast("bigint").alias("chunk_start"), F.substring(F.col("content"), at + 1, F.lit(CHUNK_SIZE)).alias("chunk")))
     return files.select("file", F.posexplode(cut).alias("chunk_index", "c")).select("file", "chunk_index", "c.chunk_start", "c.chunk")
 
@@ -98,8 +97,8 @@ def decode_chunk(chunk: bytes) -> dict:
         text, _ = xml.event(record, begin, end)
         events.append({"record_seq": seq, "record_id": record, "ticks": ticks, "xml": text} | eventxml.event_fields(text))
     flags, checksum = struct.unpack_from("<II", chunk, 120)
-    names = [x.split(" ")[0] for x in _HEADER.split(", ") if not x.startswith("0")]
-    header = dict(zip([n for n in names if n], (*numbers, flags, checksum, list(struct.unpack_from("<64I", chunk, 128)), list(heads)), strict=True))
+    names = [x.split(" ")[0] for x in _HEADER.split(", ")]
+    header = dict(zip(names, (*numbers, flags, checksum, list(struct.unpack_from("<64I", chunk, 128)), list(heads)), strict=True))
     audit = xml.audit
     return {
         "header": header,
@@ -136,7 +135,7 @@ def decode(cut: DataFrame, *, parallelism: int | None = None) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
-    schema = StructType.fromDDL(DECODED) if hasattr(StructType, "fromDDL") else None
+    schema = StructType.fromDDL(DECODED)
     kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
