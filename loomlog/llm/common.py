@@ -16,7 +16,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 PARTITION_BYTES = 32 << 20

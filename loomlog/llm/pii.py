@@ -27,13 +27,13 @@ from . import common
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url_user", "iban", "account")
 
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]++")
 _IBAN = re.compile(r"([A-Z]{2})[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_GAP = re.compile(r":? ?")
 _USERINFO = re.compile(r"[^\s/?#@]{1,256}@")
 _ACCOUNT = re.compile(r"(?:s|t)?(?: ?(?:no|number|nr|num)\b\.?)? ?[:#=]? ?([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.I)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -108,9 +108,8 @@ class Finder:
                 if at >= account_seen and (m := _ACCOUNT.match(text, last + 1)):
                     found["account"].append(m.span(1))
                     account_seen = m.end()
-            elif m := re.compile(r":? ?").match(text, last + 1):
-                if (m := _IBAN.match(text, m.end())) and iban_valid(m[0]):
-                    found["iban"].append(m.span())
+            elif (m := _IBAN.match(text, _GAP.match(text, last + 1).end())) and iban_valid(m[0]):
+                found["iban"].append(m.span())
         return [(k, *s) for k in KINDS for s in found[k]]
 
 
@@ -123,30 +122,14 @@ def join_spans(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def _mapped(docs: DataFrame, extra: list[str], schema: str, row) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder()
-        for b in batches:
-            kept = [b.column(i) for i in range(b.num_columns - 1)]
-            texts = b.column(b.num_columns - 1)
-            outs = [row(finder, t.as_py() or "") for t in texts]
-            if outs:
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c) for c in zip(*outs, strict=True))], names=[*(f"c{i}" for i in range(len(kept))), *(f"x{i}" for i in range(len(outs[0])))])
-
-    return docs.select(*extra, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
-
-
 def find_pii(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id and ``spans``, an array of (kind, start, end) in code points."""
 
-    def row(finder: Finder, text: str) -> tuple:
-        return ([{"kind": k, "start": s, "end": e} for k, s, e in finder.spans(text)],)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            spans = pa.array([row(finder, t.as_py() or "")[0] for t in b.column(1)], kind)
+            spans = pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in finder.spans(t.as_py() or "")] for t in b.column(1)], kind)
             yield pa.RecordBatch.from_arrays([b.column(0), spans], names=["doc_id", "spans"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint>>")

@@ -175,7 +175,7 @@ class _Outbox:
 
 
 def _by_document(rows: np.ndarray) -> np.ndarray:
-    return rows["doc"].view(np.uint64) if rows["doc"].flags.c_contiguous else rows["doc"].astype(np.uint64)
+    return rows["doc"].astype(np.uint64)
 
 
 def spans_of(rows: np.ndarray, length: int) -> np.ndarray:
