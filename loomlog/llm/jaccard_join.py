@@ -436,7 +436,8 @@ def join_documents(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PE
     rows = repeats.keyed(docs)
     told = common.checkpointed(rows.mapInArrow(_describe(shingle), "doc_id bigint, place bigint, check bigint, n bigint, key binary, bits binary"))
     node = F.struct("place", "check")
-    classes = told.filter("n > 0").groupBy("key").agg(F.min(node).alias("rep"))
+    # kept on its own, so that the join below has shuffles on both sides, which Spark can split where a key is hot
+    classes = common.checkpointed(told.filter("n > 0").groupBy("key").agg(F.min(node).alias("rep")))
     # the order of shingles
     least = max(HOT_LEAST, HOT_SHARE * told.count())
     frequent = rows.select("text").mapInArrow(_frequent(shingle), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
