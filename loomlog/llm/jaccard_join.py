@@ -464,11 +464,12 @@ def join_documents(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PE
     gathered = asked.repartition(parts, "bucket").mapInArrow(repeats._gather({ASKED: _ASK}), "place bigint, check bigint, body binary")
     arrays = rows.select("place", "check", "text").join(gathered, ["place", "check"]).select("place", "check", "text", "body").mapInArrow(_arrays(shingle, parts), repeats.BLOB_SCHEMA)
     links = arrays.repartition(parts, "bucket").mapInArrow(_verify(percent), "doc bigint, check bigint, doc2 bigint, check2 bigint")
-    # components over places; members of larger tiles are joined to their class again
+    # components over representatives, so that copies add no links; members of larger tiles are named by theirs
+    edges = links.join(of("doc", "check", "r", "rc"), ["doc", "check"]).join(of("doc2", "check2", "r2", "rc2"), ["doc2", "check2"])
     at = lambda a, b: F.struct(F.col(a).alias("place"), F.col(b).alias("check"))
-    edges = links.select(at("doc", "check").alias("u"), at("doc2", "check2").alias("v"))
-    linked = components(edges.unionByName(rep_of.select(at("place", "check").alias("u"), F.col("rep").alias("v")).filter("u <> v")))
-    found = told.join(linked.select(F.col("node.place").alias("place"), F.col("node.check").alias("check"), "root"), ["place", "check"], "left")
+    linked = components(edges.select(at("r", "rc").alias("u"), at("r2", "rc2").alias("v")))
+    rooted = classes.join(linked, classes["rep"] == linked["node"], "left").select("key", F.coalesce("root", "rep").alias("root"))
+    found = told.join(rooted, "key", "left")
     root = F.coalesce("root", node)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(root["place"] == common.NULL_ID, F.lit(None)).otherwise(root["place"]).alias("component_id"), (root == node).alias("first"), "place", "check")
 
