@@ -64,12 +64,17 @@ def chunks(files: DataFrame) -> DataFrame:
     Only whole chunks with the chunk's magic count; others are skipped, and indexes stay dense. A file
     without the file's magic fails the query.
     """
-    header = little_endian(F.col("content"), 40, 2).cast("int")
-    last = F.length("content") - CHUNK_SIZE
-    checked = F.when(F.substring("content", 1, len(FILE_MAGIC)) == F.lit(FILE_MAGIC), F.when(last >= header, F.sequence(header, last, F.lit(CHUNK_SIZE))).otherwise(F.array().cast("array<int>")))
-    checked = F.coalesce(checked, F.raise_error(F.concat(F.lit("not a binary log: "), F.col("file"))).cast("array<int>"))
-    starts = F.filter(checked, lambda at: F.substring(F.col("content"), at + 1, F.lit(len(CHUNK_MAGIC))) == F.lit(CHUNK_MAGIC))
-    cut = F.transform(starts, lambda at: F.struct(at.cast("bigint").alias("chunk_start"), F.substring(F.col("content"), at + 1, F.lit(CHUNK_SIZE)).alias("chunk")))
+
+    def pieces(content: Column) -> Column:
+        header = little_endian(content, 40, 2).cast("int")
+        last = F.length(content) - CHUNK_SIZE
+        places = F.when(last >= header, F.sequence(header, last, F.lit(CHUNK_SIZE))).otherwise(F.array().cast("array<int>"))
+        checked = F.coalesce(F.when(F.substring(content, 1, len(FILE_MAGIC)) == F.lit(FILE_MAGIC), places), F.raise_error(F.concat(F.lit("not a binary log: "), F.col("file"))).cast("array<int>"))
+        starts = F.filter(checked, lambda at: F.substring(content, at + 1, F.lit(len(CHUNK_MAGIC))) == F.lit(CHUNK_MAGIC))
+        return F.transform(starts, lambda at: F.struct(at.cast("bigint").alias("chunk_start"), F.substring(content, at + 1, F.lit(CHUNK_SIZE)).alias("chunk")))
+
+    # the content as a lambda's variable is read from its row once; as a column it would be copied for every chunk
+    cut = F.element_at(F.transform(F.array("content"), pieces), 1)
     return files.select("file", F.posexplode(cut).alias("chunk_index", "c")).select("file", "chunk_index", "c.chunk_start", "c.chunk")
 
 
