@@ -11,15 +11,19 @@ _LAST_NATIVE = 2650467743999999999  # ticks at the end of 9999
 
 def filetime_timestamp(ticks: Column) -> Column:
     """A count of 100 ns since 1601 as a timestamp in microseconds; null for zero and after 9999."""
-    t = ticks.cast("bigint")
-    return F.when((ticks > 0) & (ticks <= _LAST_NATIVE), F.timestamp_micros(F.floor((t - EPOCH_TICKS) / F.lit(10).cast("decimal(20,0)")).cast("bigint")))
+    t = ticks.cast("bigint") - EPOCH_TICKS
+    micros = F.call_function("div", t - F.pmod(t, F.lit(10).cast("bigint")), F.lit(10).cast("bigint"))
+    return F.when((ticks > 0) & (ticks <= _LAST_NATIVE), F.timestamp_micros(micros))
 
 
 def filetime_iso(ticks: Column) -> Column:
     """ISO text with seven digits; empty for zero. Years after 9999 are written with all their digits."""
-    whole = ticks.cast("decimal(20,0)")
-    seconds = F.floor(whole / F.lit(10_000_000).cast("decimal(20,0)")).cast("bigint") - 11644473600
-    fraction = F.lpad(F.pmod(whole, F.lit(10_000_000).cast("decimal(20,0)")).cast("bigint").cast("string"), 7, "0")
+    whole, wide = ticks.cast("decimal(20,0)"), F.lit(10_000_000).cast("decimal(20,0)")
+    small = whole <= F.lit((1 << 63) - 1).cast("decimal(20,0)")  # in 64 bits, which is much faster
+    short = whole.cast("bigint")
+    seconds = F.when(small, F.call_function("div", short, F.lit(10_000_000).cast("bigint"))).otherwise(F.floor(whole / wide).cast("bigint")) - 11644473600
+    rest = F.when(small, F.pmod(short, F.lit(10_000_000).cast("bigint"))).otherwise(F.pmod(whole, wide).cast("bigint"))
+    fraction = F.lpad(rest.cast("string"), 7, "0")
     cycle = 12622780800  # seconds in 400 years
     late = F.greatest(F.lit(0), F.floor((seconds - 253402300800) / F.lit(float(cycle))).cast("bigint") + 1)
     at = F.timestamp_seconds(F.when(seconds < 253402300800, seconds).otherwise(seconds - late * cycle))
