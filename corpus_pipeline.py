@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept:
 
 1. quality: documents that the quality rules reject go;
-2. near_duplicates: one document of each group of near-duplicates stays, the least by doc_id;
+2. near_duplicates: one document of each group of near-duplicates stays, the least by doc_id; texts whose
+   sets of five-word shingles overlap by 80 per cent or more are near-duplicates;
 3. decontamination: documents that repeat a benchmark item go;
 4. pii: personal data in texts is replaced by its kind, and n_chars follows;
 5. packing: token pieces in windows.
@@ -23,12 +24,17 @@ from pyspark.sql import functions as F
 from loomlog.llm import common, decontamination, jaccard_join, packing, pii, quality
 
 
+#: The stage's own rule for near-duplicates; op3_jaccard_join keeps the rule of its contract.
+SHINGLE = 5
+PERCENT = 80
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, shingle=SHINGLE, percent=PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

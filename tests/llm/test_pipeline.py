@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -55,6 +56,30 @@ def test_stages_equal_brute_force_on_the_table(spark):
     assert {r.doc_id: r.text for r in fourth.collect()} == {r.doc_id: pii.redact_text(r.text, finder.spans(r.text)) for r in second.collect()}
 
 
+def test_near_duplicates_equal_a_brute_force_over_five_words(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(0, 120, 4):
+        base = [f"w{k}x{i}" for i in range(200)]
+        rows.append((k, " ".join(base)))
+        for j in (1, 2, 3):  # appended words and scattered substitutions on both sides of 0.8
+            near = base + [f"n{k}x{j}x{i}" for i in range(rng.randint(30, 60))] if j < 3 else [f"s{k}" if rng.random() < 0.02 else w for w in base]
+            rows.append((k + j, " ".join(near)))
+    rows += [(500, " ".join(f"q{i}" for i in range(200))), (501, " ".join(f"q{i}" for i in range(240)))]  # 196 of 236 shingles
+    sets = {i: {tuple(w[p : p + 5]) for p in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    least = {i: i for i in sets}
+    for _ in range(4):  # components of at most four documents
+        for a in sets:
+            for b in sets:
+                x = len(sets[a] & sets[b])
+                if x and 100 * x >= 80 * len(sets[a] | sets[b]):
+                    least[a] = min(least[a], least[b])
+    want = set(least.values())
+    assert 500 in want and 501 not in want
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()} == want
+
+
 def test_queries_are_registered(spark):
     names = set(__spark_entry__.queries())
     assert {f"op{n}" for n in range(1, 11)} <= {re.match(r"[a-z]+\d*", n)[0] for n in names} and "pipeline" in names
