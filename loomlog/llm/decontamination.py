@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced seeds.
 
-Words are compared with A-Z lower-cased. Fixed masks pick eight of eleven neighbouring words; the hash of
-the picked words is a seed. Seeds of the documents are looked up among those of the benchmark, and around
+Words are compared with A-Z lower-cased. Fixed masks pick seven of up to eleven neighbouring words; the hash of
+the picked words is a seed. Wherever two words of eleven are substituted, one mask still fits between them, so every
+stretch that the rule below calls a leak has a seed in each of its windows. Seeds of the documents are looked up among those of the benchmark, and around
 each hit the document and the item are laid side by side: a stretch of ``MIN_WORDS`` words (the whole item
 where it is shorter) with at least ``MIN_IDENTITY`` of its words equal is a leak, whatever words were substituted.
 
@@ -9,7 +10,7 @@ The benchmark is a query set against all rows: it is taken in blocks of at most
 each broadcast once and matched in one scan of the documents.
 
 Cases: null or blank texts and items match nothing; null ids are kept; repeated rows give repeated
-findings; items of fewer words than a mask are sought whole; empty tables give an empty result; other columns are ignored.
+findings; items of fewer than ``SPAN`` words are sought whole; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Fixed masks; 1: the word counts, 0: it is ignored.
-MASKS = ("11011010111", "11101011011", "10110111011")
+#: Fixed masks; 1: the word counts, 0: it is ignored. Together they fit around any two words of ``SPAN``.
+MASKS = ("11101111", "110111011", "1111010011", "11000011111", "111110101", "10101001111", "10011110011")
+SPAN = max(map(len, MASKS))
 MIN_WORDS = 13
 MIN_IDENTITY = 0.8
 BLOCK_BYTES = 32 << 20
@@ -60,11 +62,10 @@ class Benchmark:
         self.ids, self.items = ids, []
         for _, words, first in _words(pa.array(texts, pa.string())):
             self.items += [words[a:z] for a, z in zip(first[:-1], first[1:], strict=True)]
-        span = len(MASKS[0])
-        masks = dict.fromkeys([*MASKS, *("1" * n for n in sorted({len(w) for w in self.items if 0 < len(w) < span}))])
+        masks = dict.fromkeys([*MASKS, *("1" * n for n in sorted({len(w) for w in self.items if 0 < len(w) < SPAN}))])
         self.tables = []
         for mask in masks:
-            mine = [(j, w) for j, w in enumerate(self.items) if (len(w) == len(mask) if mask not in MASKS else len(w) >= span)]
+            mine = [(j, w) for j, w in enumerate(self.items) if (len(w) == len(mask) if mask not in MASKS else len(w) >= SPAN)]
             if not mine:
                 continue
             found = [seeds(w, mask) for _, w in mine]

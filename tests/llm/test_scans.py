@@ -2,8 +2,10 @@ import base64
 import gzip
 import hashlib
 import re
+from itertools import combinations
 from urllib.parse import quote
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -142,6 +144,27 @@ def test_leaks_equal_brute_force(spark):
     assert {(d, i) for d, i, *_ in leaks(spark, docs, items)} == planted
 
 
+def leaks_of(item, passage):
+    held = decontamination.Benchmark([1], [" ".join(item)])
+    return [x for _, words, first in decontamination._words(pa.array([" ".join(["pre", *passage, "post"])])) for x in held.leaks(words, first)]
+
+
+@pytest.mark.parametrize("n", [11, 12, 13])
+def test_leaks_with_any_two_words_substituted(n):
+    item = [f"v{i}" for i in range(n)]
+    for a, b in combinations(range(n), 2):
+        found = leaks_of(item, ["XX" if i in (a, b) else w for i, w in enumerate(item)])
+        assert [x[4] for x in found] == [n - 2], (a, b)
+
+
+@pytest.mark.parametrize("n", [20, 50, 100])
+@pytest.mark.parametrize("at", range(10))
+def test_leaks_with_neighbours_substituted_in_every_ten(n, at):
+    item = [f"v{i}" for i in range(n)]
+    passage = ["XX" if i % 10 in (at, (at + 1) % 10) else w for i, w in enumerate(item)]
+    assert leaks_of(item, passage)
+
+
 def test_leaks_in_blocks_and_without_items(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 60)
     items = [(k, f"{ITEM} {k}", "") for k in range(5)]
