@@ -31,7 +31,9 @@ from . import common
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, *(f"decoded_{k}" for k in BASE_KINDS))
 MAX_INFLATED = 16 << 20
-MIN_RUN = 24
+MIN_HEX = 24
+#: Ten bytes, the least that a finding takes: 24 equal hex digits, compressed. Plain, the shortest is ``token=abcdef``.
+MIN_BASE64 = 14
 
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _either = lambda s: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in s)
@@ -40,9 +42,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _PERCENT = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_RUN)
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
 _IN_BASE64 = bytes(120 if chr(i) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-" else 32 for i in range(256))
-_RUN = b"x" * MIN_RUN
 
 
 class Layer(NamedTuple):
@@ -56,21 +57,23 @@ class Layer(NamedTuple):
         return min(self.starts[start:end]), max(self.ends[start:end])
 
 
-def scan(text: str, long_run: bool) -> list[tuple[str, int, int]]:
-    """Findings of one layer by the base patterns; ``long_run``: whether it has a run that could be hex."""
+def scan(text: str, longest: int) -> list[tuple[str, int, int]]:
+    """Findings of one layer by the base patterns; ``longest``: see ``_long_run``."""
     found = []
     lower = text.lower()
     if any(w in lower for w in _WORDS):
         found += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         found += [("access", *m.span()) for m in _ACCESS.finditer(text)]
-    if long_run:
+    if longest >= MIN_HEX:
         found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     return sorted(found, key=lambda x: (x[1], BASE_KINDS.index(x[0])))
 
 
-def _long_run(text: str) -> bool:
-    return _RUN in text.encode("utf-8", "replace").translate(_IN_BASE64)
+def _long_run(text: str) -> int:
+    """``MIN_HEX`` where the text has a run of base64 letters that long, else ``MIN_BASE64`` where it has one of those, else 0."""
+    letters = text.encode("utf-8", "replace").translate(_IN_BASE64)
+    return next((n for n in (MIN_HEX, MIN_BASE64) if b"x" * n in letters), 0)
 
 
 def _readable(raw: bytes) -> str | None:
@@ -91,7 +94,7 @@ def _inflated(raw: bytes) -> bytes | None:
     return None
 
 
-def _unwrapped(layer: Layer, long_run: bool) -> Iterator[Layer]:
+def _unwrapped(layer: Layer, longest: int) -> Iterator[Layer]:
     text = layer.text
     whole = lambda t, s, e: Layer(t, [layer.original(s, e)[0]] * len(t), [layer.original(s, e)[1]] * len(t))
     if "%" in text:
@@ -136,7 +139,7 @@ def _unwrapped(layer: Layer, long_run: bool) -> Iterator[Layer]:
                 at = m.end()
         if (plain := "".join(out)) != text:
             yield Layer(plain, starts, ends)
-    if long_run:
+    if longest:
         for m in _BASE64.finditer(text):
             body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
             if len(body) % 4 == 1:

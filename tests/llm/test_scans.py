@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import re
+import zlib
 from itertools import combinations
 from urllib.parse import quote
 
@@ -85,6 +86,15 @@ def test_secrets_in_layers_map_to_the_original(hidden):
     assert all(at <= s < e <= at + len(hidden) for _, s, e in deep)
 
 
+@pytest.mark.parametrize("raw", [b"password=hunter2", b"token=abcdef1", b"token=abcdef", zlib.compress(b"a" * 24, 9)])
+@pytest.mark.parametrize("pad", [True, False])
+def test_secrets_in_short_base64(raw, pad):
+    hidden = base64.b64encode(raw).decode()
+    hidden = hidden if pad else hidden.rstrip("=")
+    got = secrets.spans(f"at {hidden} end")
+    assert [x[1:] for x in got] == [(3, 3 + len(hidden))] and got[0][0] in ("decoded_assign", "decoded_hex")
+
+
 def test_secrets_spans_of_escapes_are_exact():
     text = "x %41KIAABCDEFGHIJKLMNOP y"
     assert secrets.spans(text) == [("decoded_access", 2, 24)]
