@@ -1,7 +1,8 @@
 """Secrets, also inside nested encodings.
 
 A worklist starts with the text itself. Each layer is scanned; its percent escapes, Unicode escapes,
-base64 runs and compressed blobs are unwrapped into new layers, until nothing new appears. A layer
+base64 runs and compressed blobs (all their members, compressed again or not) are unwrapped into new
+layers, until nothing new appears; bytes that are no UTF-8 are replaced and the rest is read. A layer
 that was seen before is not entered again, so cycles end. Every layer carries, for each of its
 characters, the stretch of the original text that it came from, and findings are mapped back by it.
 
@@ -9,17 +10,18 @@ Kinds: ``assign``, ``access`` and ``hex`` follow the base patterns exactly; the
 ``decoded_assign``, ``decoded_access`` and ``decoded_hex`` for findings in deeper layers.
 
 Cases: null and empty texts have no spans; a null doc_id is kept; repeated rows give repeated rows; an
-empty table gives an empty result; other columns are ignored. A compressed blob is unwrapped up to
-``MAX_INFLATED`` bytes, which bounds memory against decompression bombs.
+empty table gives an empty result; other columns are ignored. A compressed blob is inflated
+and read whole in pieces of about ``BLOCK`` bytes; a piece grows only where no byte allows a cut (a line break, a comma, ...).
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -30,7 +32,7 @@ from . import common
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, *(f"decoded_{k}" for k in BASE_KINDS))
-MAX_INFLATED = 16 << 20
+BLOCK = 4 << 20
 MIN_HEX = 24
 #: Ten bytes, the least that a finding takes: 24 equal hex digits, compressed. Plain, the shortest is ``token=abcdef``.
 MIN_BASE64 = 14
@@ -40,21 +42,22 @@ _either = lambda s: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in s
 _ASSIGN = re.compile("(" + "|".join([*map(_either, _WORDS[:4]), _either("api") + "_?" + _either("key")]) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_PERCENT = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
+_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
+#: Bytes that occur in no finding and no encoding become 0, the others 1.
+_CUTS = bytes(chr(i) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"' :%\\" for i in range(256))
 _IN_BASE64 = bytes(120 if chr(i) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-" else 32 for i in range(256))
 
 
 class Layer(NamedTuple):
     text: str
-    starts: list[int] | None  # of each character in the original; None: the original itself
-    ends: list[int] | None
+    starts: Sequence[int]  # of each character in the original
+    ends: Sequence[int]
+    place: tuple[int, int] | None = None  # of all characters alike, in place of starts and ends
 
     def original(self, start: int, end: int) -> tuple[int, int]:
-        if self.starts is None or self.ends is None:
-            return start, end
-        return min(self.starts[start:end]), max(self.ends[start:end])
+        return self.place or (min(self.starts[start:end]), max(self.ends[start:end]))
 
 
 def scan(text: str, longest: int) -> list[tuple[str, int, int]]:
@@ -76,69 +79,113 @@ def _long_run(text: str) -> int:
     return next((n for n in (MIN_HEX, MIN_BASE64) if b"x" * n in letters), 0)
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if len(text) >= 6 and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+def _packed(head: bytes) -> bool:
+    return head[:2] == b"\x1f\x8b" or head[:1] == b"\x78"
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-        d = zlib.decompressobj(47)
+def _inflated(blocks: Iterable[bytes]) -> Iterator[bytes]:
+    """All members of a compressed stream, in blocks; of a broken one, what comes before the break."""
+    d = zlib.decompressobj(47)
+    for data in blocks:
+        while True:
+            before = d.copy()
+            try:
+                out = d.decompress(data, BLOCK)
+            except zlib.error:
+                for i in range(len(data)):
+                    try:
+                        yield before.decompress(data[i : i + 1])
+                    except zlib.error:
+                        return
+                return
+            if out:
+                yield out
+            if d.eof:
+                data, d = d.unused_data.lstrip(b"\0"), zlib.decompressobj(47)
+            else:
+                data = d.unconsumed_tail
+                if len(out) == BLOCK:  # more may wait inside
+                    continue
+            if not data:
+                break
+
+
+def _layers(raw: bytes, place: tuple[int, int]) -> Iterator[Layer]:
+    """``raw`` as text and, as long as it is compressed, what it inflates to, cut where no finding or encoding can reach across.
+
+    Each turn inflates anew from ``raw``, so no inflated stream is ever held whole.
+    """
+    yield Layer(raw.decode("utf-8", "replace"), (), (), place)
+    seen, mark, head, depth = set(), hashlib.blake2b(raw).digest(), raw[:2], 0
+    while _packed(head) and mark not in seen:
+        seen.add(mark)
+        depth += 1
+        stream: Iterable[bytes] = [raw]
+        for _ in range(depth):
+            stream = _inflated(stream)
+        told, head, held, size = hashlib.blake2b(), b"", [], 0
+        for out in stream:
+            told.update(out)
+            head = head if len(head) > 1 else head + out[:2]
+            cut = out.translate(_CUTS).rfind(b"\0") + 1 if size + len(out) >= BLOCK else 0
+            if cut:
+                yield Layer(b"".join([*held, out[:cut]]).decode("utf-8", "replace"), (), (), place)
+                held, size, out = [], 0, out[cut:]
+            held.append(out)
+            size += len(out)
+        yield Layer(b"".join(held).decode("utf-8", "replace"), (), (), place)
+        mark = told.digest()
+
+
+def _characters(raw: bytes) -> Iterator[tuple[str, int]]:
+    """Characters of ``raw`` and how many bytes each takes; a byte that fits nothing is one replacement character."""
+    at = 0
+    while at < len(raw):
+        lead = raw[at]
+        n = 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
         try:
-            return d.decompress(raw, MAX_INFLATED)
-        except zlib.error:
-            return None
-    return None
+            c = raw[at : at + n].decode("utf-8")
+        except UnicodeDecodeError:
+            c, n = "\ufffd", 1
+        yield c, n
+        at += n
+
+
+def _replaced(layer: Layer, pattern: re.Pattern, decoded: Callable[[re.Match], Iterable[tuple[str, int]]]) -> Layer | None:
+    """The whole layer with every match of ``pattern`` decoded into characters, each taking so many letters of the match."""
+    out: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    at = 0
+    for m in [*pattern.finditer(layer.text), None]:
+        stop = m.start() if m else len(layer.text)
+        out.append(layer.text[at:stop])
+        if not layer.place:
+            starts += layer.starts[at:stop]
+            ends += layer.ends[at:stop]
+        if m:
+            at = m.start()
+            for c, n in decoded(m):
+                out.append(c)
+                if not layer.place:
+                    s, e = layer.original(at, at + n)
+                    starts.append(s)
+                    ends.append(e)
+                at += n
+    plain = "".join(out)
+    return Layer(plain, starts, ends, layer.place) if plain != layer.text else None
 
 
 def _unwrapped(layer: Layer, longest: int) -> Iterator[Layer]:
     text = layer.text
-    whole = lambda t, s, e: Layer(t, [layer.original(s, e)[0]] * len(t), [layer.original(s, e)[1]] * len(t))
     if "%" in text:
-        for m in _PERCENT.finditer(text):
-            raw, places, i = bytearray(), [], m.start()
-            while i < m.end():
-                if text[i] == "%" and re.match(r"[0-9A-Fa-f]{2}", text[i + 1 : i + 3]) and i + 3 <= m.end():
-                    raw.append(int(text[i + 1 : i + 3], 16))
-                    places.append((i, i + 3))
-                    i += 3
-                else:
-                    piece = text[i].encode("utf-8", "replace")
-                    raw += piece
-                    places += [(i, i + 1)] * len(piece)
-                    i += 1
-            try:
-                plain = bytes(raw).decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            starts, ends, at = [], [], 0
-            for c in plain:
-                k = len(c.encode("utf-8"))
-                s, e = layer.original(places[at][0], places[at + k - 1][1])
-                starts.append(s)
-                ends.append(e)
-                at += k
-            yield Layer(plain, starts, ends)
+        found = _replaced(layer, _PERCENT, lambda m: ((c, 3 * n) for c, n in _characters(bytes.fromhex(m[0].replace("%", "")))))
+        if found:
+            yield found
     if "\\u" in text or "\\x" in text:
-        out, starts, ends, at = [], [], [], 0
-        for m in [*_ESCAPE.finditer(text), None]:
-            stop = m.start() if m else len(text)
-            for i in range(at, stop):
-                s, e = layer.original(i, i + 1)
-                out.append(text[i])
-                starts.append(s)
-                ends.append(e)
-            if m:
-                s, e = layer.original(*m.span())
-                out.append(chr(int(m[1] or m[2], 16)))
-                starts.append(s)
-                ends.append(e)
-                at = m.end()
-        if (plain := "".join(out)) != text:
-            yield Layer(plain, starts, ends)
+        found = _replaced(layer, _ESCAPE, lambda m: [(chr(int(m[1] or m[2], 16)), len(m[0]))])
+        if found:
+            yield found
     if longest:
         for m in _BASE64.finditer(text):
             body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
@@ -148,24 +195,25 @@ def _unwrapped(layer: Layer, longest: int) -> Iterator[Layer]:
                 raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
             except (binascii.Error, ValueError):
                 continue
-            for candidate in (raw, _inflated(raw)):
-                if candidate and (plain := _readable(candidate)):
-                    yield whole(plain, *m.span())
+            yield from _layers(raw, layer.original(*m.span()))
 
 
 def spans(text: str) -> list[tuple[str, int, int]]:
     """All findings as (kind, start, end) in code points of ``text``, by start and then by kind, deeper layers last."""
-    first = Layer(text, None, None)
+    first = Layer(text, range(len(text)), range(1, len(text) + 1))
     run = _long_run(text)
     found = scan(text, run)
     if not run and "%" not in text and "\\" not in text:
         return found
     seen, held = {hash(text)}, set(found)
     deeper: dict[tuple[str, int, int], None] = {}
-    work = list(_unwrapped(first, run))
+    work = [_unwrapped(first, run)]
     while work:
-        layer = work.pop()
-        mark = hash((layer.text, layer.starts[0] if layer.starts else 0))
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        mark = hash((layer.text, layer.place or tuple(layer.starts[:1])))
         if not layer.text or mark in seen:
             continue
         seen.add(mark)
@@ -174,7 +222,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             place = layer.original(s, e)
             if (kind, *place) not in held:
                 deeper[(f"decoded_{kind}", *place)] = None
-        work += _unwrapped(layer, run)
+        work.append(_unwrapped(layer, run))
     return sorted([*found, *deeper], key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -95,6 +95,47 @@ def test_secrets_in_short_base64(raw, pad):
     assert [x[1:] for x in got] == [(3, 3 + len(hidden))] and got[0][0] in ("decoded_assign", "decoded_hex")
 
 
+b64 = lambda raw: base64.b64encode(raw).decode()
+TOLD = f"the key {KEY}, told".encode()
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        b64(gzip.compress(gzip.compress(TOLD))),
+        b64(zlib.compress(gzip.compress(zlib.compress(TOLD)))),
+        b64(gzip.compress(b"first") + gzip.compress(b"second") + gzip.compress(TOLD)),
+        b64(gzip.compress(b"caf\xe9 \xff" + TOLD)),
+        b64(gzip.compress(TOLD)[:-8] + b"12345678"),
+        b64(b"\xef\xbb\xbf\xc2\xa0\x00" + TOLD),
+        b64(b"\xe9 one byte amiss " + TOLD),
+        b64(gzip.compress(b"ab, " * (5 << 20) + "é".encode() * 9 + TOLD)),
+        b64(gzip.compress(b64(gzip.compress(b"\xff" + TOLD)).encode())),
+    ],
+)
+def test_secrets_behind_any_bytes(hidden):
+    assert ("decoded_access", 3, 3 + len(hidden)) in secrets.spans(f"at {hidden} end")
+
+
+@pytest.mark.parametrize("text", ["password %3D hunter22", "x%E9 y password%3Dhunter22", "password%E9 'token' %3A %22abcdef1"])
+def test_secrets_in_percent_escapes_across_blanks(text):
+    got = secrets.spans(text)
+    start = text.index("password") if "'token'" not in text else text.index("token")
+    assert ("decoded_assign", start, len(text)) in got
+
+
+@pytest.mark.parametrize("block", [1, 7, 30, 64, 1000])
+def test_secrets_in_inflated_pieces_equal_those_of_the_whole(monkeypatch, block):
+    import random
+
+    monkeypatch.setattr(secrets, "BLOCK", block)
+    rng = random.Random(block)
+    for secret in ("password   =   hunter22", "token%20%20%3D%20abcdef1", KEY, "0123456789abcdef" * 9, b64(b"x" * 90 + TOLD), "\\u0070assword=hunter22"):
+        told = "".join(rng.choice("ab ,\n(é") for _ in range(200)) + "," + secret + "\n" + "".join(rng.choice("ab ,\n(é") for _ in range(200))
+        hidden = b64(gzip.compress(told.encode()))
+        assert len(secrets.spans(hidden)) == 1
+
+
 def test_secrets_spans_of_escapes_are_exact():
     text = "x %41KIAABCDEFGHIJKLMNOP y"
     assert secrets.spans(text) == [("decoded_access", 2, 24)]
