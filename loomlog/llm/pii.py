@@ -5,7 +5,7 @@ cue a deterministic local parser expands to the left and right, bounds the candi
 Work is linear in the text: a parser never looks again at what a longer candidate has consumed.
 
 Kinds: ``email``, ``ip``, ``card``, ``phone`` follow the base patterns exactly. Added by the method:
-``url_user`` (credentials before the host of a scheme), ``iban`` (country code and length checked,
+``url_user`` (credentials before the host of a scheme), ``iban`` (cut to the length of its country,
 modulo 97) and ``account`` (a number of 6 to 17 digits behind an account cue).
 
 Cases: null and empty texts have no spans; a null doc_id is kept; repeated rows give repeated rows; an
@@ -33,9 +33,35 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]++")
 _IBAN = re.compile(r"([A-Z]{2})[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_LETTER = re.compile(r" ?[A-Z0-9]")
 _GAP = re.compile(r":? ?")
-_USERINFO = re.compile(r"[^\s/?#@]{1,256}@")
+_USERINFO = re.compile(r"[^\s/?#@]++@")
 _ACCOUNT = re.compile(r"(?:s|t)?(?: ?(?:no|number|nr|num)\b\.?)? ?[:#=]? ?([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.I)
+#: Length of an IBAN by country, from the IBAN registry.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in (
+        (15, "NO"),
+        (16, "BE"),
+        (18, "DK FI FK FO GL NL SD"),
+        (19, "MK SI"),
+        (20, "AT BA EE KZ LT LU MN XK"),
+        (21, "CH HR LI LV"),
+        (22, "BG BH CR DE GB GE IE ME RS VA"),
+        (23, "AE GI IL IQ OM SO TL"),
+        (24, "AD CZ ES MD PK RO SA SE SK TN VG"),
+        (25, "LY PT ST"),
+        (26, "IS TR"),
+        (27, "BI DJ FR GR IT MC MR SM"),
+        (28, "AL AZ BY CY DO GT HN HU LB NI PL SV"),
+        (29, "BR EG PS QA UA"),
+        (30, "JO KW MU YE"),
+        (31, "MT SC"),
+        (32, "LC"),
+        (33, "RU"),
+    )
+    for country in countries.split()
+}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _ACCOUNT_CUES = ("account", "Account", "ACCOUNT", "acct", "Acct", "Konto", "konto", "compte", "cuenta")
 _IBAN_CUES = ("IBAN", "iban")
@@ -108,11 +134,18 @@ class Finder:
                 if at >= account_seen and (m := _ACCOUNT.match(text, last + 1)):
                     found["account"].append(m.span(1))
                     account_seen = m.end()
-            elif (m := _IBAN.match(text, _GAP.match(text, last + 1).end())) and iban_valid(m[0]):
-                found["iban"].append(m.span())
+            elif (m := _IBAN.match(text, _GAP.match(text, last + 1).end())) and (end := iban_end(m)):
+                found["iban"].append((m.start(), end))
         return [(k, *s) for k in KINDS for s in found[k]]
 
 
+def iban_end(m: re.Match) -> int | None:
+    """Where the IBAN that ``m`` begins with ends; None where there is none. A country without a length takes all of ``m``."""
+    letters = [x.end() for x in _LETTER.finditer(m[0])]
+    length = IBAN_LENGTHS.get(m[1], len(letters))
+    return m.start() + letters[length - 1] if length <= len(letters) and iban_valid(m[0][: letters[length - 1]]) else None
+
+
 def iban_valid(value: str) -> bool:
     value = value.replace(" ", "")
     return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1

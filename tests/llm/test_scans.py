@@ -37,6 +37,19 @@ def test_pii_adds_spans():
     assert not [s for s in pii.Finder().spans("IBAN DE89 3704 0044 0532 0130 01") if s[0] == "iban"]
 
 
+@pytest.mark.parametrize("number", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "GB29 NWBK 6016 1331 9268 19", "FR14 2004 1010 0505 0001 3M02 606", "MT84MALT011000012345MTLCAST001S"])
+@pytest.mark.parametrize("behind", ["", " Please pay", " BIC COBADEFF", "X", " 42 EUR", ", then", " A"])
+def test_pii_ibans_end_by_country(number, behind):
+    text = f"IBAN {number}{behind}"
+    assert [s for s in pii.Finder().spans(text) if s[0] == "iban"] == [("iban", 5, 5 + len(number))]
+    assert number not in pii.redact_text(text, pii.Finder().spans(text))
+
+
+def test_pii_credentials_of_any_length():
+    for n in (10, 256, 257, 5000):
+        assert ("url_user", 8, 8 + n + 3) in pii.Finder().spans(f"https://me:{'p' * n}@host/x")
+
+
 def test_pii_frames(spark, odd_rows, docs_of):
     rows = [*odd_rows, (20, "é a@b.co and 1.2.3.4"), (21, None)]
     out = pii.find_pii(docs_of(rows)).collect()
