@@ -3,8 +3,9 @@
 Host edges are the absolute links of pages, from the linking to the linked host, and weak edges between a
 host and its parent domain. Personalised PageRank from the hosts of allowed pages gives trust; the same
 over reversed edges from the hosts of blocked pages gives distrust. A host is blocked when its distrust
-is above ``THRESHOLD`` times its trust. Everything is DataFrame operations; ranks are kept in the shared
-folder every few rounds.
+is above ``THRESHOLD`` times its trust. Rounds go on until every host that links lead to is reached and no
+rank moves by more than ``TOLERANCE`` of itself. Everything is DataFrame operations; trust and distrust share
+their rounds, and ranks are kept in the shared folder every few of them.
 
 Cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed, since
 nothing speaks against it; null html has no links; a null page_id is kept; repeated rows give repeated rows
@@ -13,6 +14,7 @@ and count as often as they occur; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
+import itertools
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +22,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ROUNDS = 9
-KEEP_EVERY = 3
+KEEP_EVERY = 5
+#: Ranks are final when none moved by more than this share of itself in ``KEEP_EVERY`` rounds.
+TOLERANCE = 1e-4
 DAMPING = 0.85
 THRESHOLD = 2.0
 PARENT_WEIGHT = 0.1
@@ -67,21 +70,27 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, *, rounds: int = ROUNDS, damping: float = DAMPING, total: float | None = None) -> DataFrame:
+def page_rank(edges: DataFrame, seeds: DataFrame, *, rounds: int | None = None, damping: float = DAMPING, total: float | None = None) -> DataFrame:
     """(host, rank) from ``edges`` (src, dst, w) and ``seeds`` (host, weight); hosts that are not reached have no row.
 
-    Ranks add up to the seeds' share of ``total``, by default all of it.
+    Ranks add up to the seeds' share of ``total``, by default all of it. Without ``rounds`` they converge to ``TOLERANCE``.
     """
     total = seeds.agg(F.sum("weight")).first()[0] if total is None else total
     out = edges.groupBy("src").agg(F.sum("w").alias("all_w"))
     steps = common.checkpointed(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("all_w")).alias("share")))
     start = seeds.select("host", (F.col("weight") / F.lit(float(total or 1))).alias("rank"))
-    rank = start
-    for k in range(rounds):
+    rank = kept = start
+    for k in itertools.count() if rounds is None else range(rounds):
         moved = rank.withColumnRenamed("host", "src").join(steps, "src").select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         rank = moved.unionByName(start.select("host", (F.col("rank") * (1 - damping)).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
         if (k + 1) % KEEP_EVERY == 0:
             rank = common.checkpointed(rank)
+            if rounds is None:
+                both = rank.join(kept.withColumnRenamed("rank", "was"), "host", "left")
+                moved = both.agg(F.max(F.when(F.col("rank") > 0, F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0))) / F.col("rank")))).first()[0]
+                if (moved or 0.0) <= TOLERANCE:
+                    break
+                kept = rank
     return rank
 
 
@@ -94,9 +103,12 @@ def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, threshold:
     edges = common.checkpointed(host_edges(told))
     seeds = common.checkpointed(told.filter("allow is not null and host <> ''").groupBy("host", "allow").agg(F.count(F.lit(1)).cast("double").alias("weight")))
     total = seeds.agg(F.sum("weight")).first()[0] or 1.0  # one scale for trust and distrust
-    trust = page_rank(edges, seeds.filter("allow").select("host", "weight"), total=total)
-    distrust = page_rank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), seeds.filter("not allow").select("host", "weight"), total=total)
-    scores = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full")
+    # one graph of both: "+" before hosts of trust along the links, "-" before hosts of distrust against them
+    named = lambda sign, name: F.concat(F.lit(sign), F.col(name))
+    signed = edges.select(named("+", "src").alias("src"), named("+", "dst").alias("dst"), "w").unionByName(edges.select(named("-", "dst").alias("src"), named("-", "src").alias("dst"), "w"))
+    ranks = page_rank(signed, seeds.select(F.concat(F.when(F.col("allow"), "+").otherwise("-"), "host").alias("host"), "weight"), total=total)
+    of = lambda sign: F.sum(F.when(F.col("host").startswith(sign), F.col("rank")))
+    scores = ranks.groupBy(F.substring("host", 2, 1 << 30).alias("at")).agg(of("+").alias("trust"), of("-").alias("distrust")).withColumnRenamed("at", "host")
     found = told.drop("html").join(scores, "host", "left")
     good, bad = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     verdict = F.when(F.coalesce("allow", bad <= good * threshold), "allow").otherwise("block")

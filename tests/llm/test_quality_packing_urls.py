@@ -153,3 +153,20 @@ def test_page_rank_equals_brute_force(spark):
     got = {r.host: r["rank"] for r in url_filter.page_rank(df, spark.createDataFrame(list(seeds.items()), "host string, weight double"), rounds=5).collect()}
     want = brute_rank(edges, seeds, 5, url_filter.DAMPING)
     assert got.keys() == want.keys() and all(abs(got[h] - want[h]) < 1e-12 for h in want)
+
+
+def test_page_rank_converges(spark):
+    rng = np.random.default_rng(5)
+    edges = {(f"h{a}", f"h{b}"): float(rng.integers(1, 5)) for a, b in rng.integers(0, 12, (40, 2)) if a != b}
+    edges |= {(f"c{k}", f"c{k + 1}"): 1.0 for k in range(14)}
+    seeds = {"h1": 2.0, "c0": 1.0}
+    df = spark.createDataFrame([(*k, w) for k, w in edges.items()], "src string, dst string, w double")
+    got = {r.host: r["rank"] for r in url_filter.page_rank(df, spark.createDataFrame(list(seeds.items()), "host string, weight double")).collect()}
+    want = brute_rank(edges, seeds, 400, url_filter.DAMPING)
+    assert got.keys() == want.keys() and all(abs(got[h] - want[h]) <= 2 * url_filter.TOLERANCE * want[h] for h in want)
+
+
+def test_distrust_flows_along_a_chain_of_15_hosts(spark):
+    rows = [(k, f"http://c{k}.test/", f'<a href="http://c{k + 1}.test/">', "", "") for k in range(15)] + [(99, "http://c15.test/", "", "", "")]
+    got = url_filter.judge_pages(spark.createDataFrame(rows, PAGES), (Rule("c15.test", "/", False),)).collect()
+    assert {r.verdict for r in got} == {"block"} and all(abs(r.distrust - 0.15 * 0.85 ** (15 - int(r.host[1:-5]))) < 1e-9 for r in got)
