@@ -1,6 +1,6 @@
 """Licence scans by a trained paragraph classifier.
 
-Paragraphs (lines; long ones in overlapping stretches) are scored by a logistic regression over hashed
+Paragraphs (lines, and stretches across line breaks up to a blank line; long ones overlap) are scored by a logistic regression over hashed
 word one- and two-grams, one class for each licence family and one for everything else. It is trained
 here on varied templates and on paragraphs of the corpus as counterexamples, from a bounded sample of
 ``TRAINING_DOCUMENTS`` documents. A temperature fitted on held-out paragraphs calibrates probabilities.
@@ -86,6 +86,35 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, ws: np.ndarray) -> tuple[np.n
     return first, np.minimum(first + STRETCH, np.repeat(end, n))
 
 
+def _across(data: np.ndarray, offsets: np.ndarray, ws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of at most ``STRETCH`` words that run across line breaks, but not across blank lines, as word ranges."""
+    if not len(ws):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    line = np.searchsorted(np.flatnonzero(data == 10), ws)
+    blank = np.flatnonzero(np.diff(line) > 1) + 1
+    bounds = np.unique(np.concatenate(([0, len(ws)], blank, np.searchsorted(ws, offsets))))
+    start, end = bounds[:-1], bounds[1:]
+    n = np.maximum(1, -(-(end - start - STRETCH) // STEP) + 1)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    first = np.repeat(start, n) + k * STEP
+    last = np.minimum(first + STRETCH, np.repeat(end, n))
+    some = line[first] < line[last - 1]
+    return first[some], last[some]
+
+
+def _settled(found: list[tuple]) -> list[tuple]:
+    """``found`` (document, family, predicted, start, end, ...) without stretches that tell of a family what an earlier one
+    of the list tells of the same place, and without unknown ones where a family is confirmed."""
+    kept: list[tuple] = []
+    of: dict[int, list[tuple]] = {}
+    for x in sorted(found, key=lambda x: x[1] == "unknown"):
+        mine = of.setdefault(x[0], [])
+        if not any(x[3] < y[4] and y[3] < x[4] and x[1] in (y[1], "unknown") for y in mine):
+            mine.append(x)
+            kept.append(x)
+    return sorted(kept, key=lambda x: (x[0], x[3], x[4]))
+
+
 def _buckets(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pairs = np.zeros(len(h), dtype=np.uint64)
     if len(h) > 1:
@@ -222,9 +251,11 @@ def find_licenses(docs: DataFrame, *, training_documents: int = TRAINING_DOCUMEN
                 first, end = _pieces(data, offsets, ws)
                 if not len(first):
                     continue
+                lines = len(first)
+                first, end = (np.concatenate(x) for x in zip((first, end), _across(data, offsets, ws), strict=True))
                 p = classifier.probabilities(h, first, end)
                 some = np.flatnonzero(1 - p[:, -1] >= likely)
-                last = None
+                last, told = None, []
                 for x in some.tolist():
                     s, e = int(ws[first[x]]), int(we[end[x] - 1])
                     c = int(p[x, :-1].argmax())
@@ -234,11 +265,12 @@ def find_licenses(docs: DataFrame, *, training_documents: int = TRAINING_DOCUMEN
                         continue
                     family = FAMILIES[c] if alike >= confirm else "unknown"
                     d = int(np.searchsorted(offsets, s, "right")) - 1
-                    if last and last[0] == d and last[1] == family and s < last[2]:  # the same notice in the next stretch
+                    if last and last[0] == d and last[1] == family and x < lines and s < last[2]:  # the same notice in the next stretch
                         last = (d, family, e)
                         continue
                     last = (d, family, e)
-                    out.append((ids[i + d], family, FAMILIES[c], s - int(offsets[d]), e - int(offsets[d]), float(1 - p[x, -1]), alike))
+                    told.append((d, family, FAMILIES[c], s - int(offsets[d]), e - int(offsets[d]), float(1 - p[x, -1]), alike))
+                out += [(ids[i + d], *rest) for d, *rest in _settled(told)]
             if out:
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "family", "predicted", "start_byte", "end_byte", "probability", "similarity"])

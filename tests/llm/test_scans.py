@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import re
+import textwrap
 import zlib
 from itertools import combinations
 from urllib.parse import quote
@@ -258,6 +259,17 @@ def test_licences(spark, docs_of):
     assert licenses.find_licenses(docs_of([])).count() == 0
 
 
+def test_licences_of_wrapped_notices(spark, docs_of):
+    prose = "the old road to the river was long and the rain had not stopped for days in the valley"
+    notices = {f: max(licenses.TEMPLATES[f], key=len) for f in ("GPL", "MIT", "BSD", "ISC")}
+    widths = (10_000, 70, 40)
+    rows = [(k, f"{prose}\n\n{textwrap.fill(notices[f], w)}\n\n{prose}") for k, (f, w) in enumerate((f, w) for f in notices for w in widths)]
+    got = {(r.doc_id, r.family) for r in licenses.find_licenses(docs_of(rows)).collect() if r.family != "unknown"}
+    whole = {(k, f) for k, f in got if k % 3 == 0}  # on one line
+    assert {(0, "GPL"), (6, "BSD")} <= whole
+    assert got == {(k + j, f) for k, f in whole for j in range(3)}
+
+
 def test_licence_classifier_on_held_out_paragraphs():
     model, accuracy = licenses.train(["the rain fell on the road to the town and nobody came", "a list of birds and trees"] * 40)
     assert accuracy > 0.95 and model.temperature > 0
