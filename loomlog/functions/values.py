@@ -6,7 +6,9 @@ read their natural width from the chunk, whatever length was declared.
 
 from __future__ import annotations
 
+import re
 import struct
+from codecs import utf_16_le_decode
 from collections.abc import Callable
 from datetime import date, timedelta
 from decimal import Decimal
@@ -19,6 +21,7 @@ ARRAY = 0x80
 _EPOCH_DAYS = 134774  # from 1601-01-01 to 1970-01-01
 _C1 = {0x81, 0x8D, 0x8F, 0x90, 0x9D}
 _ANSI_TABLE = "".join(chr(b) if b in _C1 else bytes([b]).decode("cp1252") for b in range(256))
+_ESCAPED = re.compile("[&<>\"']").search
 _ESCAPES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&apos;"})
 
 
@@ -30,7 +33,7 @@ class OutOfChunk(Exception):
 
 
 def escape(text: str) -> str:
-    return text.translate(_ESCAPES)
+    return text.translate(_ESCAPES) if _ESCAPED(text) else text
 
 
 def unpack(fmt: str, chunk: bytes, at: int) -> int | float:
@@ -42,7 +45,7 @@ def unpack(fmt: str, chunk: bytes, at: int) -> int | float:
 
 def utf16(raw: bytes) -> str:
     """UTF-16LE with U+FFFD for what is no text, without a leading byte order mark."""
-    return raw.decode("utf-16-le", "replace").removeprefix("﻿")
+    return utf_16_le_decode(raw, "replace", True)[0].removeprefix("﻿")
 
 
 def ansi(raw: bytes) -> str:
@@ -97,8 +100,14 @@ def _number(fmt: str) -> Callable[[bytes, int, int], str]:
     return lambda chunk, at, size: str(unpack(fmt, chunk, at))
 
 
-def _string(decode: Callable[[bytes], str]) -> Callable[[bytes, int, int], str]:
-    return lambda chunk, at, size: escape(decode(chunk[at : at + size]).removesuffix("\0"))
+def string(chunk: bytes, at: int, size: int) -> str:
+    """Text of a ``STRING``."""
+    text = utf16(chunk[at : at + size])
+    return escape(text[:-1] if text[-1:] == "\0" else text)
+
+
+def _ansi_string(chunk: bytes, at: int, size: int) -> str:
+    return escape(ansi(chunk[at : at + size]).removesuffix("\0"))
 
 
 def _hex(width: int) -> Callable[[bytes, int, int], str]:
@@ -123,8 +132,8 @@ def _sid(chunk: bytes, at: int, size: int) -> str:
 
 RENDERERS: dict[int, Callable[[bytes, int, int], str]] = {
     NULL: lambda chunk, at, size: "",
-    STRING: _string(utf16),
-    ANSI: _string(ansi),
+    STRING: string,
+    ANSI: _ansi_string,
     **{code: _number(fmt) for code, fmt in NUMBERS.items()},
     BOOL: lambda chunk, at, size: "true" if unpack("<I", chunk, at) else "false",
     BINARY: lambda chunk, at, size: chunk[at : at + size].hex().upper(),
@@ -136,6 +145,8 @@ RENDERERS: dict[int, Callable[[bytes, int, int], str]] = {
     HEX32: _hex(8),
     HEX64: _hex(16),
 }
+#: Type codes whose text has no raw markup: all but nested documents and unknown ones.
+PLAIN = frozenset(RENDERERS) | frozenset(range(ARRAY, 256))
 #: Bytes of one element, for the types that have arrays of fixed-size elements.
 ELEMENT = {code: struct.calcsize(fmt) for code, fmt in NUMBERS.items()} | {HEX32: 4, HEX64: 8, FILETIME: 8, GUID: 16, SYSTEMTIME: 16}
 

@@ -17,10 +17,17 @@ DEFAULT_VIEW = ("timestamp", "level_text", "provider", "event_data")
 FULL_VIEW = ("record_id", "timestamp", "level_text", "event_id", "provider", "channel", "computer", "task", "opcode", "keywords", "version", "process_id", "thread_id", "security_user_id", "activity_id", "related_activity_id", "event_data")
 
 
-def xml_dump(events: DataFrame, by: str = "file", order: tuple[str, ...] = ("chunk_index", "record_seq")) -> DataFrame:
-    """One document for each group, records in order. For logs whose text fits into a row; see ``write_xml``."""
+def xml_dump(events: DataFrame, by: str = "file", part: str = "chunk_index", order: tuple[str, ...] = ("record_seq",)) -> DataFrame:
+    """(by, part, text): the dump of each ``by`` in parts that follow one another, records in order.
+
+    A part holds the records of one chunk, so its size is bounded by the format; the first opens the document
+    and the last closes it.
+    """
     rows = F.sort_array(F.collect_list(F.struct(*order, F.concat(F.col("xml"), F.lit("\n\n")).alias("x"))))
-    return events.groupBy(by).agg(F.concat(F.lit(XML_HEAD), F.array_join(F.transform(rows, lambda r: r["x"]), ""), F.lit(XML_TAIL)).alias("document"))
+    parts = events.groupBy(by, part).agg(F.array_join(F.transform(rows, lambda r: r["x"]), "").alias("text"))
+    ends = events.groupBy(by).agg(F.min(part).alias("_first"), F.max(part).alias("_last"))
+    head, tail = F.when(F.col(part) == F.col("_first"), XML_HEAD).otherwise(""), F.when(F.col(part) == F.col("_last"), XML_TAIL).otherwise("")
+    return parts.join(ends, by).select(by, part, F.concat(head, "text", tail).alias("text"))
 
 
 def write_xml(events: DataFrame, path: str, order: tuple[str, ...] = ("file", "chunk_index", "record_seq")) -> None:

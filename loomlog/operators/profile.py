@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FACETS = ("event_id", "provider", "computer", "channel")
@@ -61,9 +61,15 @@ def parse_verdict(summary: DataFrame, warnings: DataFrame) -> DataFrame:
 
 
 def sample_statistics(samples: DataFrame, by: str, value: str) -> DataFrame:
-    """avg, min, max and the upper middle value of the samples of each group (groups of a benchmark's runs)."""
-    ordered = F.sort_array(F.collect_list(value))
-    return samples.groupBy(by).agg(F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), F.get(ordered, F.floor(F.size(ordered) / 2).cast("int")).alias("median"))
+    """avg, min, max and the upper middle value of the samples of each group (groups of a benchmark's runs).
+
+    The middle is found by its rank: samples are sorted, which spills, and never collected.
+    """
+    found = samples.groupBy(by).agg(F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("_n"))
+    ranked = samples.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("median"), F.row_number().over(Window.partitionBy(by).orderBy(value)).alias("_k"))
+    # null groups join too; a group without values has no middle
+    middle = ranked.join(found.select(F.col(by).alias("_by"), "_n"), F.col(by).eqNullSafe(F.col("_by"))).filter(F.col("_k") == F.floor(F.col("_n") / 2) + 1).select("_by", "median")
+    return found.join(middle, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "avg", "min", "max", "median")
 
 
 def long_tasks(trace: DataFrame, least_ms: float = 50.0) -> DataFrame:

@@ -59,10 +59,10 @@ def warnings(decoded: DataFrame) -> DataFrame:
     return decoded.select("file", "chunk_index", F.posexplode(found).alias("pos", "w")).select("file", "chunk_index", "w.phase", "w.record_seq", "w.check_id", "w.message", "pos").orderBy("file", "chunk_index", "pos").drop("pos")
 
 
-def checksums(files: DataFrame) -> DataFrame:
-    """An extension: of each chunk, whether the stored checksums of its records and header hold."""
+def checksums(chunks: DataFrame) -> DataFrame:
+    """An extension: of each chunk (file, chunk_index, chunk), whether the stored checksums of its records and header hold."""
     c = F.col("chunk")
     at = lambda o: container.little_endian(c, o, 4)
     records = F.substring(c, 513, (at(48) - 512).cast("int"))
     header = F.concat(F.substring(c, 1, 120), F.substring(c, 129, 384))
-    return container.chunks(files).select("file", "chunk_index", (F.crc32(records) == at(52)).alias("records_ok"), (F.crc32(header) == at(124)).alias("header_ok"))
+    return chunks.select("file", "chunk_index", (F.crc32(records) == at(52)).alias("records_ok"), (F.crc32(header) == at(124)).alias("header_ok"))

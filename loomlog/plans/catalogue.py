@@ -19,6 +19,7 @@ from ..functions import time as times
 from ..operators import catalog, export, profile, quality, search
 from ..operators.search import SearchFilters
 from ..sources import container, encoder
+from ..sources.binxml import CHUNK_SIZE
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -385,9 +386,14 @@ def _with_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev(spark, sf_dir).withColumn("xml", F.concat(F.lit("<Event>"), F.col("record_id").cast("string"), F.lit("</Event>")))
 
 
-@query("SELECT file_id, md5('<?xml version=\"1.0\" encoding=\"utf-8\"?>' || chr(10) || '<Events>' || chr(10) || string_agg('<Event>' || record_id || '</Event>' || chr(10) || chr(10), '' ORDER BY record_id) || '</Events>') AS digest FROM ev GROUP BY file_id")
+#: Record ids of a file that go to one chunk or one part of a dump.
+_BLOCK = 512
+
+
+@query(f"SELECT file_id, part, md5(CASE WHEN part = min(part) OVER f THEN '<?xml version=\"1.0\" encoding=\"utf-8\"?>' || chr(10) || '<Events>' || chr(10) ELSE '' END || body || CASE WHEN part = max(part) OVER f THEN '</Events>' ELSE '' END) AS digest FROM (SELECT file_id, record_id // {_BLOCK} AS part, string_agg('<Event>' || record_id || '</Event>' || chr(10) || chr(10), '' ORDER BY record_id) AS body FROM ev GROUP BY ALL) WINDOW f AS (PARTITION BY file_id)")
 def xml_dump(spark, sf_dir):
-    return export.xml_dump(_with_xml(spark, sf_dir), "file_id", ("record_id",)).select("file_id", F.md5("document").alias("digest"))
+    e = _with_xml(spark, sf_dir).withColumn("part", F.expr(f"record_id div {_BLOCK}"))
+    return export.xml_dump(e, "file_id", "part", ("record_id",)).select("file_id", "part", F.md5("text").alias("digest"))
 
 
 @query("SELECT record_id, CASE level WHEN 1 THEN 'Critical' WHEN 2 THEN 'Error' WHEN 3 THEN 'Warning' WHEN 4 THEN 'Information' WHEN 5 THEN 'Verbose' ELSE 'Level ' || level END AS level, event_id, event_data, '<Event>' || record_id || '</Event>' AS xml FROM ev")
@@ -412,38 +418,49 @@ def sample_statistics(spark, sf_dir):
 ORACLES["sample_statistics"] = ORACLES["sample_statistics"].replace("avg(value) AS avg", "round(avg(value), 6) AS avg")
 
 
-def _containers(spark: SparkSession, sf_dir: str, files: int = 8) -> DataFrame:
-    """(file, content): the rows of ``ev`` as containers, a file for each file id."""
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, chunk_index, chunk_start, chunk): the rows of ``ev`` as chunks of the file of their file id.
+
+    A block of ``_BLOCK`` record ids makes a chunk, or a few where its events do not fit into one, so no task holds
+    more than a block; the index of a chunk is its block's number with room for those.
+    """
     e = ev(spark, sf_dir).join(_ticks(spark, sf_dir).withColumnRenamed("event_id", "record_id"), "record_id")
 
     def write(key: tuple, rows: pa.Table) -> pa.Table:
-        content = b"".join(encoder.encode(rows.sort_by("record_id").to_pylist()))
-        return pa.table({"file": pa.array([key[0].as_py()]), "content": pa.array([content], pa.binary())})
+        _, *made = encoder.encode(rows.sort_by("record_id").to_pylist())
+        first = key[1].as_py() * _BLOCK
+        index = range(first, first + len(made))
+        return pa.table({"file": pa.array([key[0].as_py()] * len(made)), "chunk_index": pa.array(index, pa.int32()), "chunk_start": pa.array([4096 + CHUNK_SIZE * i for i in index], pa.int64()), "chunk": pa.array(made, pa.binary())})
+
+    block = F.expr(f"record_id div {_BLOCK}").alias("block")
+    return e.select("file_id", block, "record_id", "ticks", *encoder.SLOTS).groupBy("file_id", "block").applyInArrow(write, "file string, chunk_index int, chunk_start bigint, chunk binary")
+
 
-    return e.select("file_id", "record_id", "ticks", *encoder.SLOTS).groupBy("file_id").applyInArrow(write, "file string, content binary")
+def _decoded(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
+    return container.decode(_chunks(spark, sf_dir), parts=parts)
 
 
 @query("SELECT e.record_id, strftime(x.ts, '%Y-%m-%dT%H:%M:%S.%f') || (x.event_id % 10) || 'Z' AS timestamp, e.provider, e.event_id, e.level, e.channel, e.computer, e.event_data FROM ev e JOIN events x ON x.event_id = e.record_id")
 def binary_roundtrip(spark, sf_dir):
-    """Rows to binary containers, and back by chunk discovery, record walk and template decoding."""
-    found = container.events(container.decode(container.chunks(_containers(spark, sf_dir))))
+    """Rows to binary chunks, and back by record walk and template decoding."""
+    found = container.events(_decoded(spark, sf_dir, "events"))
     return found.select("record_id", "timestamp", "provider", "event_id", "level", "channel", "computer", "event_data")
 
 
 @query("SELECT file_id AS file, count(*) AS total_records, CAST(1 AS BIGINT) AS definition_count, count(*) AS reference_count, CAST(0 AS BIGINT) AS missing_count, CAST(0 AS BIGINT) AS parse_error_count FROM ev GROUP BY file_id")
 def template_stats(spark, sf_dir):
-    return container.file_summary(container.decode(container.chunks(_containers(spark, sf_dir)))).drop("num_chunks")
+    return container.file_summary(_decoded(spark, sf_dir, "events", "template_defs", "reference_count", "missing_refs", "parse_errors")).drop("num_chunks")
 
 
 @query("SELECT file_id, CAST(count(*) AS BIGINT) AS warnings FROM (SELECT file_id, record_id, lag(record_id) OVER (PARTITION BY file_id ORDER BY record_id) AS previous FROM ev) WHERE 1 = 0 GROUP BY file_id")
 def integrity_checksums(spark, sf_dir):
-    """Chunks whose checksums do not hold; containers that were just written have none."""
-    bad = quality.checksums(_containers(spark, sf_dir)).filter("not (records_ok and header_ok)")
+    """Chunks whose checksums do not hold; those that were just written have none."""
+    bad = quality.checksums(_chunks(spark, sf_dir)).filter("not (records_ok and header_ok)")
     return bad.groupBy(F.col("file").alias("file_id")).agg(F.count(F.lit(1)).alias("warnings"))
 
 
 @query("SELECT file_id AS file, record_id FROM (SELECT file_id, record_id, lag(record_id) OVER (PARTITION BY file_id ORDER BY record_id) AS previous FROM ev) WHERE 1 = 0")
 def record_warnings(spark, sf_dir):
-    """Findings about single records: none in containers that were just written."""
-    found = quality.warnings(container.decode(container.chunks(_containers(spark, sf_dir))))
+    """Findings about single records: none in chunks that were just written."""
+    found = quality.warnings(_decoded(spark, sf_dir, "header", "records"))
     return found.filter("phase = 3").select("file", F.col("record_seq").cast("bigint").alias("record_id"))

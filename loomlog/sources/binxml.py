@@ -8,10 +8,14 @@ that reaches it and no other.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import struct
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
-from ..functions import values
+from ..functions import eventxml, values
 from ..functions.values import OutOfChunk, unpack
 
 CHUNK_SIZE = 65536
@@ -30,10 +34,14 @@ def token_name(byte: int) -> str:
     return (TOKEN_NAMES[base] if base < 16 else f"Unknown_0x{byte:02X}") + ("+MoreData" if byte & MORE else "")
 
 
-class Value(NamedTuple):
-    at: int
-    size: int  # 0 where the value does not fit
-    kind: int
+#: A value: its place, its size (0 where it does not fit) and its type code.
+Value = tuple[int, int, int]
+
+
+@functools.cache
+def _descriptors(count: int) -> struct.Struct:
+    """Size and type code of so many values."""
+    return struct.Struct("<" + "HBx" * count)
 
 
 class Instance(NamedTuple):
@@ -43,7 +51,8 @@ class Instance(NamedTuple):
     guid: str
     size: int
     known: bool  # there was a definition to read
-    values: tuple[Value, ...]
+    values: Sequence[Value]
+    kinds: tuple[int, ...]
 
 
 class Failure(NamedTuple):
@@ -76,6 +85,14 @@ class Audit:
     errors: list[tuple[int, str]] = field(default_factory=list)
 
 
+def _joined(program: list[Step]) -> list[Step]:
+    """The program with neighbouring literal texts as one."""
+    out: list[Step] = []
+    for literal, steps in itertools.groupby(program, lambda s: type(s) is str):
+        out += ["".join(steps)] if literal else steps
+    return out
+
+
 class ChunkXml:
     """Decoder of the binary XML of one 64 KiB chunk; all positions are offsets in the chunk."""
 
@@ -85,6 +102,8 @@ class ChunkXml:
         self.record = 0
         self._names: dict[int, str] = {}
         self._programs: dict[tuple[int, int], list[Step]] = {}
+        self._outlines: dict[tuple[int, int, tuple[int, ...]], eventxml.Outline | None] = {}
+        self._top: tuple[Instance, dict[int, str], int] | None = None  # the record's outermost template, its slots' texts and its length
 
     # definitions -----------------------------------------------------------------------------------
 
@@ -144,11 +163,12 @@ class ChunkXml:
                 self._define(offset, guid, size, self.record)
             raise OutOfChunk
         found = []
-        for d in range(descriptor, descriptor + 4 * count, 4):
-            n = unpack("<H", self.chunk, d)
-            found.append(Value(at, n if at + n <= end else 0, self.chunk[d + 2] if d + 2 < end else 0))
+        whole = at <= end and at <= len(self.chunk)
+        told = _descriptors(count).unpack_from(self.chunk, descriptor) if whole else tuple(x for d in range(descriptor, descriptor + 4 * count, 4) for x in (unpack("<H", self.chunk, d), self.chunk[d + 2] if d + 2 < end else 0))
+        for n, kind in zip(told[::2], told[1::2], strict=True):
+            found.append((at, n if at + n <= end else 0, kind))
             at += n
-        return Instance(offset, guid, size, known, tuple(found)), at
+        return Instance(offset, guid, size, known, found, told[1::2]), at
 
     # compiling ---------------------------------------------------------------------------------------
 
@@ -278,21 +298,26 @@ class ChunkXml:
                 break
         return "".join(out)
 
-    def _run(self, program: list[Step], given: tuple[Value, ...], depth: int) -> str:
+    def _run(self, program: list[Step], given: Sequence[Value], depth: int, texts: dict[int, str] | None = None) -> str:
         if depth > MAX_DEPTH:
             raise TooDeep
-        texts: dict[int, str] = {}
-        out = []
+        chunk, texts, out = self.chunk, {} if texts is None else texts, []
         for step in program:
-            if isinstance(step, str):
+            kind = type(step)
+            if kind is str:
                 out.append(step)
-            elif isinstance(step, int):
-                if step < len(given):
-                    if step not in texts:
-                        v = given[step]
-                        texts[step] = self.document(v.at, v.at + v.size, depth + 1) if v.kind == values.BINXML and v.size else values.render(self.chunk, v.at, v.size, v.kind)
+            elif kind is int:
+                if step in texts:
                     out.append(texts[step])
-            elif isinstance(step, Instance):
+                elif step < len(given):
+                    at, size, code = given[step]
+                    if code == values.STRING:
+                        text = values.string(chunk, at, size)
+                    else:
+                        text = self.document(at, at + size, depth + 1) if code == values.BINXML and size else values.render(chunk, at, size, code)
+                    texts[step] = text
+                    out.append(text)
+            elif kind is Instance:
                 out.append(self._expand(step, depth))
             else:
                 raise ValueError(step.message)
@@ -309,12 +334,32 @@ class ChunkXml:
         if key not in self._programs:
             body = use.offset + 24
             skip = 4 if use.size >= 4 and self.chunk[body] == FRAGMENT else 0
-            self._programs[key] = self.compile(body, body + skip, body + use.size)[0]
-        return self._run(self._programs[key], use.values, depth + 1)
+            self._programs[key] = _joined(self.compile(body, body + skip, body + use.size)[0])
+        if depth:
+            return self._run(self._programs[key], use.values, depth + 1)
+        texts: dict[int, str] = {}
+        text = self._run(self._programs[key], use.values, 1, texts)
+        self._top = use, texts, len(text)
+        return text
+
+    def _outline(self, use: Instance) -> eventxml.Outline | None:
+        """Of events of this template with values of these types; None where they may hold markup of their own."""
+        key = (use.offset, use.size, use.kinds)
+        if key not in self._outlines:
+            program = self._programs[key[:2]]
+            plain = values.PLAIN.issuperset(use.kinds) and all(type(s) is int or (type(s) is str and "\0" not in s) for s in program)
+            self._outlines[key] = eventxml.Outline("".join(s if type(s) is str else f"\0{s}\0" for s in program)) if plain else None
+        return self._outlines[key]
+
+    def fields(self, text: str) -> list[str | int]:
+        """Columns of the event that ``event`` has just given as ``text``."""
+        if self._top and self._top[2] == len(text) and (outline := self._outline(self._top[0])):
+            return outline.values(self._top[1], text)
+        return eventxml.event_values(text)
 
     def event(self, record: int, start: int, end: int) -> tuple[str, str | None]:
         """Text of a record's document, and what went wrong."""
-        self.record = record
+        self.record, self._top = record, None
         try:
             return self.document(start, end), None
         except (OutOfChunk, TooDeep, ValueError, RecursionError) as e:

@@ -7,8 +7,9 @@ diagnostics, in one Arrow pass. The tables of the log are projections of that.
 
 from __future__ import annotations
 
+import itertools
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,7 +91,7 @@ def walk(chunk: bytes) -> Iterator[tuple[int, int, int, int, int]]:
 
 
 def decode_chunk(chunk: bytes) -> dict:
-    """All that one chunk tells, as a row of ``DECODED`` without its place."""
+    """All that one chunk tells, as a row of ``DECODED`` without its place; nested rows are tuples in the order of their fields."""
     numbers = struct.unpack_from("<QQQQIIII", chunk, 8)
     xml = ChunkXml(chunk)
     heads = struct.unpack_from("<32I", chunk, 384)
@@ -98,59 +99,54 @@ def decode_chunk(chunk: bytes) -> dict:
     records, events = [], []
     for seq, (at, size, record, ticks, copy) in enumerate(walk(chunk)):
         begin, end = at + 24, at + size - 4
-        records.append({"record_seq": seq, "chunk_offset": at, "record_id": record, "ticks": ticks, "size": size, "size_copy": copy, "binxml_length": size - RECORD_FRAME, "binxml_first_byte": chunk[begin] if end > begin else None, "binxml": chunk[begin:end]})
+        records.append((seq, at, record, ticks, size, copy, size - RECORD_FRAME, chunk[begin] if end > begin else None, chunk[begin:end]))
         text, _ = xml.event(record, begin, end)
-        events.append({"record_seq": seq, "record_id": record, "ticks": ticks, "xml": text} | eventxml.event_fields(text))
+        event_id, level, *rest = xml.fields(text)
+        events.append((seq, record, ticks, text, level, event_id, *rest))
     flags, checksum = struct.unpack_from("<II", chunk, 120)
-    names = [x.split(" ")[0] for x in _HEADER.split(", ")]
-    header = dict(zip(names, (*numbers, flags, checksum, list(struct.unpack_from("<64I", chunk, 128)), list(heads)), strict=True))
     audit = xml.audit
     return {
-        "header": header,
+        "header": (*numbers, flags, checksum, list(struct.unpack_from("<64I", chunk, 128)), list(heads)),
         "records": records,
         "events": events,
-        "template_defs": [{"def_data_offset": d.offset, "guid": d.guid, "data_size": d.size, "first_seen_record": d.first_record} for d in audit.definitions.values()],
+        "template_defs": [(d.offset, d.guid, d.size, d.first_record) for d in audit.definitions.values()],
         "reference_count": audit.references,
-        "missing_refs": [{"record_id": r, "guid": g, "def_data_offset": o} for r, g, o in audit.missing],
-        "parse_errors": [{"record_id": r, "error": e} for r, e in audit.errors],
+        "missing_refs": audit.missing,
+        "parse_errors": audit.errors,
     }
 
 
-def _as_decimals(row: dict) -> dict:
-    from decimal import Decimal
+def _column(found: Sequence, kind: pa.DataType) -> pa.Array:
+    """An Arrow array of plain values, of tuples (structs) or of lists of them."""
+    if pa.types.is_decimal(kind):
+        return pa.array(found, pa.uint64()).cast(kind)
+    if pa.types.is_struct(kind):
+        return pa.StructArray.from_arrays([_column(c, f.type) for c, f in zip(zip(*found, strict=True) if found else [()] * len(kind), kind, strict=True)], fields=list(kind))
+    if pa.types.is_list(kind) and pa.types.is_struct(kind.value_type):
+        ends = list(itertools.accumulate(map(len, found), initial=0))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _column([x for rows in found for x in rows], kind.value_type), type=kind)
+    return pa.array(found, kind)
 
-    for n in ("first_event_record_number", "last_event_record_number", "first_event_record_id", "last_event_record_id"):
-        row["header"][n] = Decimal(row["header"][n])
-    for part in ("records", "events"):
-        for r in row[part]:
-            r["record_id"], r["ticks"] = Decimal(r["record_id"]), Decimal(r["ticks"])
-    for d in row["template_defs"]:
-        d["first_seen_record"] = Decimal(d["first_seen_record"])
-    for part in ("missing_refs", "parse_errors"):
-        for r in row[part]:
-            r["record_id"] = Decimal(r["record_id"])
-    return row
 
-
-def decode(cut: DataFrame, *, parallelism: int | None = None) -> DataFrame:
-    """One row ``DECODED`` for each chunk of ``cut`` (file, chunk_index, chunk_start, chunk).
+def decode(cut: DataFrame, *, parallelism: int | None = None, parts: Sequence[str] | None = None) -> DataFrame:
+    """One row ``DECODED`` for each chunk of ``cut`` (file, chunk_index, chunk_start, chunk), or only its columns ``parts`` besides the place.
 
     Chunks of one file come from one input row, so they are spread before decoding.
     """
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
-    schema = StructType.fromDDL(DECODED)
+    full = StructType.fromDDL(DECODED)
+    schema = StructType([f for k, f in enumerate(full.fields) if k < 3 or parts is None or f.name in parts])
     kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 16):  # some MB of nested rows at a time
                 part = b.slice(i, 16)
-                rows = [_as_decimals(decode_chunk(c.as_py())) for c in part.column(3)]
-                if rows:
-                    columns = [part.column(0), part.column(1), part.column(2), *(pa.array([r[f.name] for r in rows], f.type) for f in list(kinds)[3:])]
-                    yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+                rows = [decode_chunk(c.as_py()) for c in part.column(3)]
+                columns = [part.column(k).cast(kinds.field(k).type) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, *(_column([r[f.name] for r in rows], f.type) for f in list(kinds)[3:])], schema=kinds)
 
     spark = cut.sparkSession
     n = parallelism or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -212,7 +208,7 @@ def first_seen(decoded: DataFrame) -> DataFrame:
 
 def read_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The events of all containers under ``path``."""
-    return events(decode(chunks(read_files(spark, path))))
+    return events(decode(chunks(read_files(spark, path)), parts=["events"]))
 
 
 def value_text(raw: bytes, kind: int) -> str:

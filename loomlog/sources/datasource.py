@@ -78,8 +78,8 @@ class WinlogReader(DataSourceReader):
             for k in range(r.first, r.first + r.count):
                 chunk = f.read(CHUNK_SIZE)
                 if chunk.startswith(bytes(container.CHUNK_MAGIC)):
-                    for e in container.decode_chunk(chunk)["events"]:
-                        yield (r.file, k, e["record_seq"], Decimal(e["record_id"]), values.filetime_text(e["ticks"]), e["xml"], *(e[n] for n in NAMES))
+                    for seq, record, ticks, xml, level, event_id, *rest in container.decode_chunk(chunk)["events"]:
+                        yield (r.file, k, seq, Decimal(record), values.filetime_text(ticks), xml, event_id, level, *rest)
 
 
 class WinlogSource(DataSource):

@@ -212,11 +212,11 @@ def test_comments_and_verdict(spark):
 
 def test_checksums(spark):
     files, _ = opened(spark, chunk(1, 2))
-    assert tuple(quality.checksums(files).first())[2:] == (True, True)
+    assert tuple(quality.checksums(container.chunks(files)).first())[2:] == (True, True)
     data = bytearray(chunk(1, 2))
     data[600] ^= 1
     files, _ = opened(spark, bytes(data))
-    assert tuple(quality.checksums(files).first())[2:] == (False, True)
+    assert tuple(quality.checksums(container.chunks(files)).first())[2:] == (False, True)
 
 
 def test_roundtrip_of_many(spark):
@@ -224,3 +224,45 @@ def test_roundtrip_of_many(spark):
     files = spark.createDataFrame([("f", bytearray(content))], "file string, content binary")
     rows = container.events(container.decode(container.chunks(files))).orderBy("chunk_index", "record_seq").collect()
     assert [r.record_id for r in rows] == list(range(1, 1500)) and rows[-1].chunk_index > 0
+
+
+def test_outlined_fields_equal_those_of_the_text():
+    """Fields by template and by text agree, whatever the values hold."""
+    from loomlog.functions import eventxml
+    from loomlog.sources.binxml import ChunkXml
+
+    odd = ["", "plain", "a & b", "</System><Level>9</Level>", 'x="y" Name="z"', "0", " 7", "\0end\0", "<System>", "é\U0001f600", "&lt;"]
+    w = ChunkWriter()
+    for i, text in enumerate(odd, 1):
+        assert w.add(i, TICKS, event_values(event(i, provider=text, event_id=text, level=text, channel=text, computer=text, event_data=text)))
+    number = (0x08, (3).to_bytes(4, "little"))
+    for i, values in enumerate(([number] * 6, [(0x21, b"\x00" * 4)] * 6, [(0x77, b"<")] * 6, [(0x81, "a\0<b>\0".encode("utf-16-le"))] * 6, [number] * 2), 50):
+        assert w.add(i, TICKS, values)
+    data = w.bytes()
+    xml, seen = ChunkXml(data), 0
+    for at, size, rid, _, _ in container.walk(data):
+        text, error = xml.event(rid, at + 24, at + size - 4)
+        assert error is None and xml.fields(text) == eventxml.event_values(text)
+        seen += 1
+    assert seen == len(odd) + 5
+
+
+def test_only_asked_parts_are_decoded(spark):
+    files = spark.createDataFrame([("f", bytearray(file_header() + chunk(1, 2)))], "file string, content binary")
+    d = container.decode(container.chunks(files), parts=["events"])
+    assert d.columns == ["file", "chunk_index", "chunk_start", "events"]
+    assert [r.record_id for r in container.events(d).orderBy("record_id").collect()] == [1, 2]
+
+
+def test_dump_parts_join_to_the_document(spark):
+    _, d = opened(spark, chunk(1, 2), chunk(3))
+    e = container.events(d)
+    text = "".join(r.text for r in export.xml_dump(e).orderBy("chunk_index").collect())
+    body = "".join(f"{r.xml}\n\n" for r in e.orderBy("record_id").collect())
+    assert text == f"{export.XML_HEAD}{body}{export.XML_TAIL}"
+
+
+def test_upper_middle_of_samples(spark):
+    rows = [("a", 3.0), ("a", 1.0), ("a", 2.0), ("a", 2.0), ("b", None), (None, 5.0)]
+    got = {r.k: (r.min, r.max, r.median) for r in profile.sample_statistics(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    assert got == {"a": (1.0, 3.0, 2.0), "b": (None, None, None), None: (5.0, 5.0, 5.0)}
