@@ -119,41 +119,54 @@ def base_failed() -> Column:
     return (F.col("_n_words") < 50) | (F.col("_n_repeat_words") * 100 > F.col("_n_words") * 50)
 
 
+def log_odds(prior: Column, rates: Column, votes: Column) -> Column:
+    """Of good against bad, of an array of votes given ``rates`` (bad, good): how often each rule votes bad on either."""
+    told = F.zip_with(rates, votes, lambda r, v: F.when(v == 0, F.log(r["good"] / r["bad"])).when(v == 1, F.log((1 - r["good"]) / (1 - r["bad"]))).otherwise(F.lit(0.0)))
+    return F.aggregate(told, F.log(prior / (1 - prior)), lambda total, x: total + x)
+
+
+def _maximised(patterns: Column, model: Column, rules: int) -> Column:
+    """One round of EM: a new model from ``patterns`` (votes, n), weighed by the posterior of the old one."""
+    within = lambda x, least: F.least(F.greatest(x, F.lit(least)), F.lit(1 - least))
+    weighed = F.transform(patterns, lambda x: F.struct(x["votes"].alias("votes"), x["n"].alias("n"), (x["n"] / (1 + F.exp(-log_odds(model["prior"], model["rates"], x["votes"])))).alias("good")))
+
+    def fitted(w: Column) -> Column:
+        total = lambda of: F.aggregate(w, F.lit(0.0), lambda sum_, x: sum_ + of(x))
+        voted = lambda i, vote, of: total(lambda x: F.when(F.get(x["votes"], i) == vote, of(x)).otherwise(F.lit(0.0)))
+
+        def rate(i: Column, of: Callable[[Column], Column]) -> Column:
+            bad = voted(i, 0, of)
+            return within((bad + 1e-3) / (bad + voted(i, 1, of) + 2e-3), 1e-4)
+
+        good, bad = lambda x: x["good"], lambda x: x["n"] - x["good"]
+        rates = F.transform(F.sequence(F.lit(0), F.lit(rules - 1)), lambda i: F.struct(rate(i, bad).alias("bad"), rate(i, good).alias("good")))
+        return F.struct(within(total(good) / total(lambda x: x["n"]), 1e-3).alias("prior"), rates.alias("rates"))
+
+    return _let(weighed, fitted)
+
+
 class Model:
     """Estimated rates; ``posterior`` gives the probability of good as a Column over the vote columns."""
 
     def __init__(self, rates: dict[str, tuple[float, float]], prior: float) -> None:
         self.rates, self.prior = rates, prior
 
-    def log_odds(self, vote: dict[str, Column]) -> Column:
-        import math
-
-        total = F.lit(math.log(self.prior / (1 - self.prior)))
-        for name, (bad_on_bad, bad_on_good) in self.rates.items():
-            total = total + F.when(vote[name] == 0, F.lit(math.log(bad_on_good / bad_on_bad))).when(vote[name] == 1, F.lit(math.log((1 - bad_on_good) / (1 - bad_on_bad)))).otherwise(F.lit(0.0))
-        return total
-
     def posterior(self, vote: dict[str, Column]) -> Column:
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.log_odds(vote)))
+        rates = F.array(*(F.struct(F.lit(bad).alias("bad"), F.lit(good).alias("good")) for bad, good in self.rates.values()))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-log_odds(F.lit(self.prior), rates, F.array(*(vote[k] for k in self.rates)))))
 
 
 def fit(voted: DataFrame, names: list[str], iterations: int = ITERATIONS) -> Model:
-    """EM over the vote columns ``names`` of all rows; only the counts of patterns leave the executors."""
-    spark = voted.sparkSession
-    counts = voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** len(names) rows
-    model = Model(dict.fromkeys(names, START[:2]), START[2])
-    if not counts:
-        return model
-    values = ", ".join("(" + ", ".join("CAST(NULL AS INT)" if r[k] is None else str(r[k]) for k in names) + f", {r['n']}D)" for r in counts)
-    patterns = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)}, n)").coalesce(1)
-    clipped = lambda x, y: min(max((x + 1e-3) / (y + 2e-3), 1e-4), 1 - 1e-4)
-    for _ in range(iterations):
-        good = F.col("n") * model.posterior({k: F.col(k) for k in names})
-        bad = F.col("n") - good
-        sums = patterns.agg(F.sum(good).alias("good"), F.sum("n").alias("n"), *(F.sum(F.when(F.col(k) == v, x)).alias(f"{k}_{v}_{y}") for k in names for v in (0, 1) for x, y in ((good, "good"), (bad, "bad")))).first()
-        rate = lambda k, on: clipped(sums[f"{k}_0_{on}"] or 0, (sums[f"{k}_0_{on}"] or 0) + (sums[f"{k}_1_{on}"] or 0))
-        model = Model({k: (rate(k, "bad"), rate(k, "good")) for k in names}, min(max(sums["good"] / sums["n"], 1e-3), 1 - 1e-3))
-    return model
+    """EM over the vote columns ``names`` of all rows, in one query: rows are counted by pattern, and the patterns,
+    at most 3 to the power of the rules, are folded in one row."""
+    counts = voted.groupBy(F.array(*names).alias("votes")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    start = F.struct(F.lit(START[2]).alias("prior"), F.array_repeat(F.struct(F.lit(START[0]).alias("bad"), F.lit(START[1]).alias("good")), len(names)).alias("rates"))
+    patterns = F.sort_array(F.collect_list(F.struct("votes", "n")))
+    folded = lambda p: F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, lambda model, _: _maximised(p, model, len(names)))
+    found = counts.agg(patterns.alias("p")).select(F.when(F.size("p") > 0, _let(F.col("p"), folded)).alias("m")).first().m
+    if found is None:
+        return Model(dict.fromkeys(names, START[:2]), START[2])
+    return Model({k: (r.bad, r.good) for k, r in zip(names, found.rates, strict=True)}, found.prior)
 
 
 _OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -173,10 +186,11 @@ def keep_good(docs: DataFrame, *, text: str = "text", keep_at: float = KEEP_AT)
     """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
     rules = votes()
     found = _with_features(docs, F.col(text), [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")])
-    found = found.select("_row", base_failed().alias("_failed"), *(v.alias(f"v_{k}") for k, v in rules.items()))
+    # kept with its votes: counting the patterns and judging the rows would else compute the features twice
+    found = common.checkpointed(found.select("_row", base_failed().alias("_failed"), *(v.alias(f"v_{k}") for k, v in rules.items()))).filter("not _failed")
     names = [f"v_{k}" for k in rules]
-    model = fit(found.filter("not _failed"), names)
-    return found.filter(~F.col("_failed") & (model.posterior({k: F.col(k) for k in names}) >= keep_at)).select("_row.*")
+    model = fit(found, names)
+    return found.filter((model.posterior({k: F.col(k) for k in names}) >= keep_at)).select("_row.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

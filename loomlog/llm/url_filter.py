@@ -116,4 +116,4 @@ def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, threshold:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+    return judge_pages(common.table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
