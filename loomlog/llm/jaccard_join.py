@@ -245,7 +245,7 @@ def _tiles(percent: int, buckets: int, small: int, block: int) -> Callable:
                         asked.append(a)
         if asked:
             a = np.unique(np.concatenate(asked))
-            out.put(ASKED, a["doc"].astype(np.uint64), a)
+            out.put(ASKED, repeats.by_document(a), a)
         if out.rows:
             yield out.take()
 
@@ -293,7 +293,7 @@ def _ask_groups(buckets: int) -> Callable:
             place, check, to, to_check = (np.asarray(b.column(i)) for i in range(4))
             a = np.zeros(b.num_rows, dtype=_ASK)
             a["doc"], a["check"], a["group"], a["side"] = place, check, around(to, to_check), ALL
-            out.put(ASKED, a["doc"].astype(np.uint64), a)
+            out.put(ASKED, repeats.by_document(a), a)
             if out.rows:
                 yield out.take()
 

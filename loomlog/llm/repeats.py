@@ -4,11 +4,13 @@ Units are words or bytes. A window's anchor is its smallest k-gram by hash (left
 equal windows have equal anchors at equal offsets. Consecutive windows with one anchor are a context.
 
 1. Tasks cut documents into contexts and send (anchor hash, context hash, place) to the anchor's bucket.
-   Equal contexts of one flush meet before the shuffle: only the earliest is sent.
+   Equal contexts of one flush meet before the shuffle: only the earliest is sent. Crowded anchors, which a
+   count over all documents finds beforehand, do not meet in one bucket: theirs is chosen by the context as well.
 2. A bucket sees all contexts of an anchor. All but the earliest of equal contexts are repeats as a
    whole. An anchor with one context needs no more; where contexts differ, the earliest of each is contested.
-3. Contested contexts are fetched from their documents and go to the group of their anchor; where an anchor
-   has more than ``GROUP_BUDGET`` contexts, its windows go one by one by the hash of the whole window.
+   Of a crowded anchor the earliest of each context always is.
+3. Contested contexts are fetched from their documents and go to the group of their anchor; where an anchor is crowded
+   or has more than ``GROUP_BUDGET`` contexts, its windows go one by one by the hash of the whole window.
 4. A group's index (suffix trees or a run-length index, see the callers) tells which windows start earlier.
 
 A place is (doc_id, start); a null doc_id counts as the largest. Rows of equal doc_id are the same place
@@ -38,6 +40,9 @@ from . import common
 FLUSH_ROWS = 200_000
 PIECE_BYTES = 4 << 20
 GROUP_BUDGET = 20_000
+#: An anchor is crowded where it has more contexts than ``GROUP_BUDGET`` and than this share of all; so at most a million are.
+CROWD_SHARE = 1e-6
+CROWD_LOCAL = 3
 _POSITION = np.uint64((1 << 28) - 1)
 
 #: What travels: a record array as compressed bytes.
@@ -46,7 +51,7 @@ SPAN = np.dtype([("doc", "<i8"), ("check", "<u4"), ("start", "<i4"), ("end", "<i
 WANTED = np.dtype([("doc", "<i8"), ("check", "<u4"), ("start", "<i4"), ("windows", "<i4"), ("anchor", "<u8"), ("split", "?")])
 BLOB_SCHEMA = "bucket int, kind int, body binary"
 _BLOBS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
-SEND, REPEAT, FETCH = 0, 1, 2
+SEND, REPEAT, FETCH, SPLIT = 0, 1, 2, 3
 
 
 class Units(NamedTuple):
@@ -174,8 +179,9 @@ class _Outbox:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BLOBS.types, strict=True)], schema=_BLOBS)
 
 
-def _by_document(rows: np.ndarray) -> np.ndarray:
-    return rows["doc"].astype(np.uint64)
+def by_document(rows: np.ndarray) -> np.ndarray:
+    """What spreads rows by their document; documents of one id, or without one, are told apart by their texts."""
+    return rows["doc"].astype(np.uint64) ^ common.mix(rows["check"].astype(np.uint64))
 
 
 def spans_of(rows: np.ndarray, length: int) -> np.ndarray:
@@ -187,18 +193,67 @@ def spans_of(rows: np.ndarray, length: int) -> np.ndarray:
 
 
 def earliest(rows: np.ndarray, keys: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``rows`` ordered by keys and place, whether each opens its class, and whether it is at the earliest place of it."""
-    order = np.lexsort((rows["start"], rows["doc"], *(rows[k] for k in reversed(keys))))
+    """``rows`` ordered by keys and place, whether each opens its class, and whether it is at the earliest place of it.
+
+    Of repeated rows, which are equal in place and text, one is left.
+    """
+    order = np.lexsort((rows["check"], rows["start"], rows["doc"], *(rows[k] for k in reversed(keys))))
     rows = rows[order]
     opens = np.ones(len(rows), dtype=bool)
     if len(rows) > 1:
         opens[1:] = np.logical_or.reduce([rows[k][1:] != rows[k][:-1] for k in keys])
+        new = opens.copy()
+        new[1:] |= np.logical_or.reduce([rows[k][1:] != rows[k][:-1] for k in ("doc", "start", "check")])
+        rows, opens = rows[new], opens[new]
     head = np.flatnonzero(opens)[np.cumsum(opens) - 1]
     return rows, opens, (rows["doc"] == rows["doc"][head]) & (rows["start"] == rows["start"][head])
 
 
-def _cut(reader: Reader, length: int, k: int, buckets: int, piece: int) -> Callable:
-    """Step 1, over (place, check, text)."""
+def _crowds(reader: Reader, length: int, k: int, piece: int) -> Callable:
+    """Over (text): anchors with several contexts in a flush and how many, and with no anchor the number of all contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, total = [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            anchor, context = (np.concatenate(x) for x in zip(*held, strict=True))
+            a = np.sort(anchor)
+            alike = np.unique(a[1:][a[1:] == a[:-1]])  # most anchors have one context and are out here
+            at = np.minimum(np.searchsorted(alike, anchor), max(len(alike) - 1, 0))
+            some = alike[at] == anchor if len(alike) else np.zeros(len(anchor), dtype=bool)
+            _, first = np.unique(anchor[some] ^ (context[some] * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+            a, n = np.unique(anchor[some][first], return_counts=True)
+            often = n >= CROWD_LOCAL
+            return pa.RecordBatch.from_arrays([pa.array(a[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["anchor", "n"])
+
+        for b in batches:
+            for _, _, data, offsets in common.text_slices(b.column(0), min(common.SLICE_BYTES, piece)):
+                for units, _ in stretches(reader, data, offsets, length, piece):
+                    anchor, context, *_ = contexts(units, length, k)
+                    held.append((anchor, context))
+                    count += len(anchor)
+                    if count >= FLUSH_ROWS:
+                        yield flush()
+                        held, count, total = [], 0, total + count
+        if count:
+            yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total + count], pa.int64())], names=["anchor", "n"])
+
+    return common.trimmed(run)
+
+
+def crowded(texts: DataFrame, reader: Reader, *, length: int, k: int, budget: int, piece: int) -> np.ndarray:
+    """Sorted hashes of the crowded anchors. They only say where contexts meet: results are the same for any choice."""
+    told = texts.mapInArrow(_crowds(reader, length, k, piece), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
+    told = common.checkpointed(told.filter(F.col("anchor").isNull() | (F.col("n") > budget)))
+    total = told.filter("anchor is null").first()
+    least = max(budget, CROWD_SHARE * (total.n if total else 0))
+    found = told.filter("anchor is not null").filter(F.col("n") > least).select("anchor").collect()  # at most 1 / CROWD_SHARE
+    return np.sort(np.array([r.anchor for r in found], dtype=np.int64).view(np.uint64))
+
+
+def _cut(reader: Reader, length: int, k: int, buckets: int, piece: int, crowds) -> Callable:
+    """Step 1, over (place, check, text); ``crowds``: a broadcast of the crowded anchors."""
 
     def flush(held: list[np.ndarray], out: _Outbox) -> None:
         rows = np.concatenate(held)
@@ -214,8 +269,13 @@ def _cut(reader: Reader, length: int, k: int, buckets: int, piece: int) -> Calla
             alone[often] = False
             several, _, first = earliest(rows[np.sort(often)], ("anchor", "context"))
             repeats = spans_of(several[~first], length)
-            out.put(REPEAT, _by_document(repeats), repeats)
+            out.put(REPEAT, by_document(repeats), repeats)
             rows = np.concatenate((rows[alone], several[first]))
+        known = crowds.value
+        if len(known):
+            hot = known[np.minimum(np.searchsorted(known, rows["anchor"]), len(known) - 1)] == rows["anchor"]
+            out.put(SPLIT, rows["anchor"][hot] ^ common.mix(rows["context"][hot]), rows[hot])
+            rows = rows[~hot]
         out.put(SEND, rows["anchor"], rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,15 +307,31 @@ def _decide(length: int, buckets: int, budget: int) -> Callable:
     """Step 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = _Outbox(buckets), []
+        out, held, apart = _Outbox(buckets), [], []
         for b in batches:
             for bucket, kind, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if kind == SEND:
-                    held.append(unpack(body.as_py(), PLACED))
+                if kind in (SEND, SPLIT):
+                    (held if kind == SEND else apart).append(unpack(body.as_py(), PLACED))
                 else:
                     out.rows.append((bucket, kind, body.as_py()))
             if out.rows:
                 yield out.take()
+
+        def ask(rows: np.ndarray, split: np.ndarray | bool) -> None:
+            asked = np.empty(len(rows), dtype=WANTED)
+            for n in ("doc", "check", "start", "windows", "anchor"):
+                asked[n] = rows[n]
+            asked["split"] = split
+            out.put(FETCH, by_document(asked), asked)
+
+        if apart:
+            rows, _, first = earliest(np.concatenate(apart), ("anchor", "context"))
+            del apart
+            repeats = spans_of(rows[~first], length)
+            out.put(REPEAT, by_document(repeats), repeats)
+            ask(rows[first], True)
+            if out.rows:
+                yield out.take()
         if not held:
             return
         rows = np.concatenate(held)
@@ -266,15 +342,11 @@ def _decide(length: int, buckets: int, budget: int) -> Callable:
         same[:-1] |= same[1:].copy()
         rows, opens, first = earliest(rows[order[same]], ("anchor", "context"))
         repeats = spans_of(rows[~first], length)
-        out.put(REPEAT, _by_document(repeats), repeats)
+        out.put(REPEAT, by_document(repeats), repeats)
         group = np.cumsum(np.concatenate(([True], rows["anchor"][1:] != rows["anchor"][:-1]))) - 1 if len(rows) else np.zeros(0, dtype=np.int64)
         distinct = np.bincount(group, weights=opens).astype(np.int64) if len(rows) else group
         contested = first & (distinct[group] > 1)
-        asked = np.empty(int(contested.sum()), dtype=WANTED)
-        for n in ("doc", "check", "start", "windows", "anchor"):
-            asked[n] = rows[n][contested]
-        asked["split"] = distinct[group][contested] > budget
-        out.put(FETCH, _by_document(asked), asked)
+        ask(rows[contested], distinct[group][contested] > budget)
         if out.rows:
             yield out.take()
 
@@ -331,7 +403,7 @@ def _fetch(reader: Reader, length: int, buckets: int, piece: int) -> Callable:
                 lone_rows["context"], lone_rows["at"] = 0, begin
                 lone_rows, _, first = earliest(lone_rows, ("anchor",))
                 repeats = spans_of(lone_rows[~first], length)
-                out.put(REPEAT, _by_document(repeats), repeats)
+                out.put(REPEAT, by_document(repeats), repeats)
                 kept = lone_rows[first]
                 send(kept["anchor"], kept, kept["at"], units)
             if whole.any():
@@ -433,7 +505,7 @@ def _index(later: Callable[[Contested, int], np.ndarray], length: int, unit: np.
             spans["start"] = group.head["start"][parent] + shift
             spans["end"] = spans["start"] + length
             spans = merged(spans)
-            out.put(REPEAT, _by_document(spans), spans)
+            out.put(REPEAT, by_document(spans), spans)
             if out.rows:
                 yield out.take()
             begin = end
@@ -469,7 +541,8 @@ def repeated_spans(docs: DataFrame, reader: Reader, unit: np.dtype, later: Calla
     common.small_batches(docs.sparkSession)
     n = common.partitions(docs)
     rows = keyed(docs)
-    cut = rows.select("place", "check", "text").mapInArrow(_cut(reader, length, k, n, piece), BLOB_SCHEMA)
+    crowds = docs.sparkSession.sparkContext.broadcast(crowded(rows.select("text"), reader, length=length, k=k, budget=budget, piece=piece))
+    cut = rows.select("place", "check", "text").mapInArrow(_cut(reader, length, k, n, piece, crowds), BLOB_SCHEMA)
     decided = common.checkpointed(cut.repartition(n, "bucket").mapInArrow(_decide(length, n, budget), BLOB_SCHEMA))
     schema = "place bigint, check bigint, body binary"
     asked = decided.filter(F.col("kind") == FETCH).repartition(n, "bucket").mapInArrow(_gather({FETCH: WANTED}), schema)

@@ -153,3 +153,27 @@ def test_run_length_index(seed):
         assert length[a] == x and (not x or there[a] == b)
     index = suffix_array_dedup.RunLengthIndex(t)
     assert int(index.lengths.sum()) == len(t) and len(index.symbols) == len(index.first) == len(index.last)
+
+
+def test_crowded_anchors_meet_by_context(spark, docs_of, monkeypatch):
+    """A phrase of a third of all documents, among other words in each, and many rows without an id or with one text."""
+    rng = random.Random(8)
+    rare = lambda i, k: " ".join(f"v{i}x{rng.randrange(10**6)}" for _ in range(k))
+    phrase = " ".join(f"common{j}" for j in range(12))
+    rows = [(None if i % 5 == 0 else i, f"{rare(i, 25)} {phrase} {rare(i, 25)}") for i in range(60)]
+    rows += [(100, rows[1][1])] * 30 + [(101 + i, f"{rows[2][1]} {rare(i, 3)}") for i in range(30)]
+    docs = docs_of(rows).repartition(3).cache()
+    for reader, unit, k in ((repeats.word_units, 20, 8), (repeats.byte_units, 100, 32)):
+        found = repeats.crowded(docs.select("text"), reader, length=unit, k=k, budget=20, piece=repeats.PIECE_BYTES)
+        assert 0 < len(found) < 50 and np.array_equal(found, np.unique(found))
+    monkeypatch.setitem(repeats.repeated_spans.__kwdefaults__, "budget", 20)
+    assert got(substring_dedup.dedup_words(docs), "n_words", "n_removed", "kept_sha256") == expected_words(rows, 20)
+    assert got(suffix_array_dedup.dedup_bytes(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected_bytes(rows, 100)
+
+
+def test_repeated_rows_travel_once():
+    rows = np.zeros(5, dtype=repeats.PLACED)
+    rows["anchor"], rows["context"], rows["doc"], rows["check"] = 1, [7, 7, 7, 7, 8], [3, 3, 3, 4, 3], [1, 1, 2, 1, 1]
+    left, opens, first = repeats.earliest(rows, ("anchor", "context"))
+    assert left[["context", "doc", "check"]].tolist() == [(7, 3, 1), (7, 3, 2), (7, 4, 1), (8, 3, 1)]
+    assert opens.tolist() == [True, False, False, True] and first.tolist() == [True, True, False, True]
