@@ -11,6 +11,10 @@
    it is cut into blocks by size, and each pair of blocks is a group. A group is compared where its bitmaps
    and sorted arrays are: pairs that are connected already are skipped, then bounded by bit counts, then
    intersected exactly. It returns a spanning forest, never all pairs.
+   Shingles that, by the counts of all documents, more than ``BLOCK`` documents have are crowded and never meet in
+   one task. Representatives that share one follow the least document of it. They are compared in hashed blocks,
+   each with the least document of its band of sizes, which connects a cluster of near copies in linear work. Only what
+   is then outside the largest component of the followers is compared with all of them, in pairs of blocks.
 4. Components of the links, by alternating star contractions.
 
 The order of step 2 only affects speed; the result is exact for any order.
@@ -22,6 +26,7 @@ with equal doc_id each text stands for itself; empty tables give empty results;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,7 +49,9 @@ _TOKEN = np.dtype([("token", "<u8"), ("doc", "<i8"), ("check", "<u4"), ("n", "<i
 _PAIR = np.dtype([("doc", "<i8"), ("check", "<u4"), ("doc2", "<i8"), ("check2", "<u4")])
 _ASK = np.dtype([("doc", "<i8"), ("check", "<u4"), ("start", "<i4"), ("group", "<u8"), ("side", "u1")])
 _HEAD = np.dtype([("group", "<u8"), ("doc", "<i8"), ("check", "<u4"), ("n", "<i4"), ("side", "u1")])
-TOKENS, PAIRS, ASKED, ARRAYS = 0, 1, 2, 3
+TOKENS, PAIRS, ASKED, ARRAYS, CROWDED = 0, 1, 2, 3, 4
+LINKS = "doc bigint, check bigint, doc2 bigint, check2 bigint"
+_SHORT = np.uint64((1 << 48) - 1)
 LEFT, RIGHT, ALL = 0, 1, 2
 
 
@@ -130,9 +137,10 @@ def _frequent(k: int) -> Callable:
 
 
 class Order:
-    """Shingles in the order of the prefix: rare ones by hash, then the frequent ones, rarer first."""
+    """Shingles in the order of the prefix: rare ones by hash, then the frequent ones, rarer first; ``crowded`` are those of more than ``block`` documents."""
 
-    def __init__(self, frequent: list[tuple[int, int]]) -> None:
+    def __init__(self, frequent: list[tuple[int, int]], block: int) -> None:
+        self.crowded = np.unique(np.array([x[0] for x in frequent if x[1] > block], dtype=np.int64).view(np.uint64) & _SHORT)
         h = np.array([x[0] for x in frequent], dtype=np.int64).view(np.uint64)
         rank = np.empty(len(h), dtype=np.uint64)
         rank[np.lexsort((h, [x[1] for x in frequent]))] = np.arange(len(h), dtype=np.uint64)
@@ -157,6 +165,16 @@ def _prefixes(order, k: int, percent: int, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks: Order = order.value
         out, held, count, seen = repeats._Outbox(buckets), [], 0, set()
+
+        def flush() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            if len(ranks.crowded):
+                apart = ranks.crowded[np.minimum(np.searchsorted(ranks.crowded, rows["token"]), len(ranks.crowded) - 1)] == rows["token"]
+                out.put(CROWDED, repeats.by_document(rows[apart]), rows[apart])
+                rows = rows[~apart]
+            out.put(TOKENS, rows["token"], rows)
+            return out.take()
+
         for b in batches:
             place, check = (np.asarray(b.column(i)) for i in (0, 1))
             for d, s in shingle_sets(b.column(2), k):
@@ -166,18 +184,14 @@ def _prefixes(order, k: int, percent: int, buckets: int) -> Callable:
                 seen.add(key)
                 first = ranks.first(s, prefix_length(len(s), percent))
                 rows = np.empty(len(first), dtype=_TOKEN)
-                rows["token"], rows["doc"], rows["check"], rows["n"] = first & np.uint64((1 << 48) - 1), place[d], check[d], len(s)
+                rows["token"], rows["doc"], rows["check"], rows["n"] = first & _SHORT, place[d], check[d], len(s)
                 held.append(rows)
                 count += len(rows)
                 if count >= FLUSH_TOKENS:
-                    rows = np.concatenate(held)
-                    out.put(TOKENS, rows["token"], rows)
+                    yield flush()
                     held, count, seen = [], 0, set()
-                    yield out.take()
         if held:
-            rows = np.concatenate(held)
-            out.put(TOKENS, rows["token"], rows)
-            yield out.take()
+            yield flush()
 
     return common.trimmed(run)
 
@@ -186,10 +200,17 @@ def _tiles(percent: int, buckets: int, small: int, block: int) -> Callable:
     """Blobs of prefix shingles to listed pairs of small tiles and to memberships in block pairs of larger ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [repeats.unpack(x.as_py(), _TOKEN) for b in batches for x in b.column(2)]
+        out, held = repeats._Outbox(buckets), []
+        for b in batches:
+            for bucket, kind, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if kind == TOKENS:
+                    held.append(repeats.unpack(body.as_py(), _TOKEN))
+                else:
+                    out.rows.append((bucket, kind, body.as_py()))
+            if out.rows:
+                yield out.take()
         if not held:
             return
-        out = repeats._Outbox(buckets)
         rows = np.concatenate(held)
         del held
         rows = rows[np.argsort(rows["token"])]
@@ -285,14 +306,15 @@ def _bounded(percent: int) -> Callable:
 
 
 def _ask_groups(buckets: int) -> Callable:
-    """(place, check, least document of the group) to memberships."""
+    """(place, check, group, side), or (place, check, place and check of the least document of the group), to memberships."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = repeats._Outbox(buckets)
         for b in batches:
-            place, check, to, to_check = (np.asarray(b.column(i)) for i in range(4))
+            place, check, x, y = (np.asarray(b.column(i)) for i in range(4))
             a = np.zeros(b.num_rows, dtype=_ASK)
-            a["doc"], a["check"], a["group"], a["side"] = place, check, around(to, to_check), ALL
+            a["doc"], a["check"] = place, check
+            a["group"], a["side"] = (x.view(np.uint64), y) if b.schema.names[2] == "group" else (around(x, y), ALL)
             out.put(ASKED, repeats.by_document(a), a)
             if out.rows:
                 yield out.take()
@@ -300,6 +322,13 @@ def _ask_groups(buckets: int) -> Callable:
     return common.trimmed(run)
 
 
+def _crowd_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for x in b.column(2):
+            rows = repeats.unpack(x.as_py(), _TOKEN)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[n]).astype(np.int64)) for n in _TOKEN.names], names=list(_TOKEN.names))
+
+
 def _arrays(k: int, buckets: int) -> Callable:
     """(place, check, text, body of memberships) to the shingle arrays for each group."""
 
@@ -424,6 +453,62 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
 
 
+class _Comparison:
+    """Exact comparison in groups: memberships (see ``_ask_groups``) to links."""
+
+    def __init__(self, rows: DataFrame, shingle: int, percent: int, parts: int) -> None:
+        self.rows, self.shingle, self.percent, self.parts = rows, shingle, percent, parts
+
+    def blobs(self, asked: DataFrame) -> DataFrame:
+        return asked.mapInArrow(_ask_groups(self.parts), repeats.BLOB_SCHEMA)
+
+    def links(self, blobs: DataFrame) -> DataFrame:
+        gathered = blobs.repartition(self.parts, "bucket").mapInArrow(repeats._gather({ASKED: _ASK}), "place bigint, check bigint, body binary")
+        arrays = self.rows.select("place", "check", "text").join(gathered, ["place", "check"]).select("place", "check", "text", "body").mapInArrow(_arrays(self.shingle, self.parts), repeats.BLOB_SCHEMA)
+        return arrays.repartition(self.parts, "bucket").mapInArrow(_verify(self.percent), LINKS)
+
+
+def _as_edges(links: DataFrame) -> DataFrame:
+    at = lambda a, b: F.struct(F.col(a).alias("place"), F.col(b).alias("check"))
+    return links.select(at("doc", "check").alias("u"), at("doc2", "check2").alias("v"))
+
+
+def crowd_links(crowd: DataFrame, compare: _Comparison, block: int) -> DataFrame:
+    """Links among representatives that share crowded shingles, from ``crowd`` (token, place, check, n)."""
+    lead = crowd.groupBy("token").agg(F.min(F.struct("place", "check")).alias("lead"))
+    # sets alike enough are in one band or in neighbouring ones; the factor covers rounding
+    band = F.floor(F.log("n") / (1.000001 * math.log(100 / compare.percent))).cast("int")
+    followers = common.checkpointed(crowd.join(lead, "token").select("lead", "place", "check", band.alias("band")).distinct())
+    group = lambda *parts: F.xxhash64("lead.place", "lead.check", *parts).alias("group")
+    spread = lambda first, second, n: F.pmod(F.xxhash64(first, second), F.col(n))
+    up_to = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    around_band = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("at")
+    # blocks, each with the least documents of its band and of the neighbouring ones
+    sizes = followers.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    alone = followers.join(sizes, "lead").select("place", "check", group(F.lit(1), "band", spread("place", "check", "blocks")), F.lit(ALL).alias("side"))
+    least = followers.groupBy("lead", "band").agg(F.min(F.struct("place", "check")).alias("least")).join(sizes, "lead")
+    least = least.select("lead", "least", "blocks", around_band).select("lead", "least", "at", F.explode(up_to("blocks")).alias("b"))
+    least = least.select("least.place", "least.check", group(F.lit(1), "at", "b"), F.lit(ALL).alias("side"))
+    first = common.checkpointed(compare.links(compare.blobs(alone.unionByName(least))))
+    # what is outside the largest component against all
+    roots = components(_as_edges(first))
+    node = F.struct("place", "check")
+    rooted = followers.withColumn("node", node).join(roots, "node", "left").select("lead", "place", "check", "band", F.coalesce("root", "node").alias("root"))
+    rooted = common.checkpointed(rooted)
+    counted = rooted.groupBy("lead", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("lead").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most"))
+    rest = F.col("all") - F.col("most.n")
+    open_ = common.checkpointed(counted.filter(rest > 0).select("lead", F.col("most.root").alias("major"), F.ceil(F.col("all") / block).alias("blocks"), F.ceil(rest / block).alias("outer")))
+    if open_.isEmpty():
+        return first
+    all_ = rooted.join(open_, "lead")
+    right = all_.select("lead", "place", "check", "band", spread("place", "check", "blocks").alias("b"), F.explode(up_to("outer")).alias("r"))
+    right = right.select("place", "check", group(F.lit(2), "band", "b", "r"), F.lit(RIGHT).alias("side"))
+    left = all_.filter("root <> major").select("lead", "place", "check", "blocks", spread("check", "place", "outer").alias("r"), around_band)
+    left = left.select("lead", "place", "check", "r", "at", F.explode(up_to("blocks")).alias("b"))
+    left = left.select("place", "check", group(F.lit(2), "at", "b", "r"), F.lit(LEFT).alias("side"))
+    return first.unionByName(compare.links(compare.blobs(left.unionByName(right))))
+
+
 def join_documents(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, small_tile: int = SMALL_TILE, block: int = BLOCK) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (least doc_id of its component) and ``first``.
 
@@ -441,10 +526,10 @@ def join_documents(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PE
     # the order of shingles
     least = max(HOT_LEAST, HOT_SHARE * told.count())
     frequent = rows.select("text").mapInArrow(_frequent(shingle), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    order = spark.sparkContext.broadcast(Order([(r.shingle, r.n) for r in frequent.collect()]))  # at most shingles a document / HOT_SHARE
+    order = spark.sparkContext.broadcast(Order([(r.shingle, r.n) for r in frequent.collect()], block))  # at most shingles a document / HOT_SHARE
     cut = rows.select("place", "check", "text").mapInArrow(_prefixes(order, shingle, percent, parts), repeats.BLOB_SCHEMA)
     tiled = common.checkpointed(cut.repartition(parts, "bucket").mapInArrow(_tiles(percent, parts, small_tile, block), repeats.BLOB_SCHEMA))
-    pairs = tiled.filter(F.col("kind") == PAIRS).repartition(parts, "bucket").mapInArrow(_list_pairs, "doc bigint, check bigint, doc2 bigint, check2 bigint")
+    pairs = tiled.filter(F.col("kind") == PAIRS).repartition(parts, "bucket").mapInArrow(_list_pairs, LINKS)
     # representatives and bitmaps of both sides
     named = told.filter("n > 0").join(classes, "key")
     rep_of = named.select(F.col("place"), F.col("check"), "rep").distinct()
@@ -454,16 +539,19 @@ def join_documents(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PE
     sized = told.filter("n > 0").select("place", "check", "n", "bits").dropDuplicates(["place", "check"])
     bits = lambda *names: sized.select(*(F.col(c).alias(x) for c, x in zip(("place", "check", "n", "bits"), names, strict=True)))
     with_bits = reps.select(F.col("a.r").alias("doc"), F.col("a.rc").alias("check"), F.col("b.r").alias("doc2"), F.col("b.rc").alias("check2")).join(bits("doc", "check", "n", "bits"), ["doc", "check"]).join(bits("doc2", "check2", "n2", "bits2"), ["doc2", "check2"])
-    left = with_bits.mapInArrow(_bounded(percent), "doc bigint, check bigint, doc2 bigint, check2 bigint")
+    left = with_bits.mapInArrow(_bounded(percent), LINKS)
     left = common.checkpointed(left.select(F.struct(F.col("doc").alias("place"), "check").alias("a"), F.struct(F.col("doc2").alias("place"), F.col("check2").alias("check")).alias("b")))
     # exact comparison: both documents of a pair go to the least document that the first is paired with
     least_of = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("to"))
     members = left.join(least_of, "a")
     members = members.select(F.col("a").alias("m"), "to").unionByName(members.select(F.col("b").alias("m"), "to")).distinct()
-    asked = members.select("m.place", "m.check", F.col("to.place").alias("to"), F.col("to.check").alias("to_check")).mapInArrow(_ask_groups(parts), repeats.BLOB_SCHEMA).unionByName(tiled.filter(F.col("kind") == ASKED))
-    gathered = asked.repartition(parts, "bucket").mapInArrow(repeats._gather({ASKED: _ASK}), "place bigint, check bigint, body binary")
-    arrays = rows.select("place", "check", "text").join(gathered, ["place", "check"]).select("place", "check", "text", "body").mapInArrow(_arrays(shingle, parts), repeats.BLOB_SCHEMA)
-    links = arrays.repartition(parts, "bucket").mapInArrow(_verify(percent), "doc bigint, check bigint, doc2 bigint, check2 bigint")
+    compare = _Comparison(rows, shingle, percent, parts)
+    asked = compare.blobs(members.select("m.place", "m.check", F.col("to.place").alias("to"), F.col("to.check").alias("to_check")))
+    links = compare.links(asked.unionByName(tiled.filter(F.col("kind") == ASKED)))
+    if len(order.value.crowded):
+        crowd = tiled.filter(F.col("kind") == CROWDED).mapInArrow(_crowd_rows, "token bigint, doc bigint, check bigint, n bigint")
+        crowd = crowd.join(of("doc", "check", "r", "rc"), ["doc", "check"]).select("token", F.col("r").alias("place"), F.col("rc").alias("check"), "n").distinct()
+        links = links.unionByName(crowd_links(crowd, compare, block))
     # components over representatives, so that copies add no links; members of larger tiles are named by theirs
     edges = links.join(of("doc", "check", "r", "rc"), ["doc", "check"]).join(of("doc2", "check2", "r2", "rc2"), ["doc2", "check2"])
     at = lambda a, b: F.struct(F.col(a).alias("place"), F.col(b).alias("check"))

@@ -96,3 +96,28 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "u int, v int")
     roots = {r.node: r.root for r in J.components(edges).collect()}
     assert roots == {i: 0 for i in range(1, 201)} | {501: 500} | ({0: 0} if 0 in roots else {}) | ({500: 500} if 500 in roots else {})
+
+
+@pytest.mark.parametrize("block", [4, 9, 40])
+def test_crowded_shingles_equal_all_pairs(spark, docs_of, block):
+    """Clusters of near copies in many sizes, with parts that only some members link, and documents of common passages only."""
+    rng = np.random.default_rng(block)
+    rows, passages = [], [[f"p{i}x{j}" for j in range(14)] for i in range(5)]
+    for c in range(3):
+        base = [f"c{c}w{i}" for i in range(70)]
+        for k in range(45):
+            words = base[: 70 - int(rng.integers(0, 14))]
+            for _ in range(int(rng.integers(0, 3))):
+                words[int(rng.integers(len(words)))] = f"e{c}x{k}"
+            rows.append((len(rows), " ".join(words)))
+    for _ in range(60):
+        rows.append((len(rows), " ".join(w for i in rng.permutation(5)[: int(rng.integers(2, 6))] for w in passages[i])))
+    rows += [rows[7], (500, rows[3][1]), (None, rows[9][1] + " end")]
+    calls = []
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(J, "crowd_links", lambda *a, f=J.crowd_links: calls.append(1) or f(*a))
+    try:
+        assert got(J.join_documents(docs_of(rows).repartition(2), block=block, small_tile=2)) == expected(rows)
+    finally:
+        monkey.undo()
+    assert calls
