@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, repeats
@@ -468,45 +468,55 @@ class _Comparison:
         return arrays.repartition(self.parts, "bucket").mapInArrow(_verify(self.percent), LINKS)
 
 
-def _as_edges(links: DataFrame) -> DataFrame:
-    at = lambda a, b: F.struct(F.col(a).alias("place"), F.col(b).alias("check"))
-    return links.select(at("doc", "check").alias("u"), at("doc2", "check2").alias("v"))
-
-
-def crowd_links(crowd: DataFrame, compare: _Comparison, block: int) -> DataFrame:
-    """Links among representatives that share crowded shingles, from ``crowd`` (token, place, check, n)."""
-    lead = crowd.groupBy("token").agg(F.min(F.struct("place", "check")).alias("lead"))
-    # sets alike enough are in one band or in neighbouring ones; the factor covers rounding
-    band = F.floor(F.log("n") / (1.000001 * math.log(100 / compare.percent))).cast("int")
-    followers = common.checkpointed(crowd.join(lead, "token").select("lead", "place", "check", band.alias("band")).distinct())
-    group = lambda *parts: F.xxhash64("lead.place", "lead.check", *parts).alias("group")
-    spread = lambda first, second, n: F.pmod(F.xxhash64(first, second), F.col(n))
-    up_to = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
-    around_band = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("at")
-    # blocks, each with the least documents of its band and of the neighbouring ones
-    sizes = followers.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    alone = followers.join(sizes, "lead").select("place", "check", group(F.lit(1), "band", spread("place", "check", "blocks")), F.lit(ALL).alias("side"))
-    least = followers.groupBy("lead", "band").agg(F.min(F.struct("place", "check")).alias("least")).join(sizes, "lead")
-    least = least.select("lead", "least", "blocks", around_band).select("lead", "least", "at", F.explode(up_to("blocks")).alias("b"))
-    least = least.select("least.place", "least.check", group(F.lit(1), "at", "b"), F.lit(ALL).alias("side"))
-    first = common.checkpointed(compare.links(compare.blobs(alone.unionByName(least))))
-    # what is outside the largest component against all
-    roots = components(_as_edges(first))
-    node = F.struct("place", "check")
-    rooted = followers.withColumn("node", node).join(roots, "node", "left").select("lead", "place", "check", "band", F.coalesce("root", "node").alias("root"))
-    rooted = common.checkpointed(rooted)
-    counted = rooted.groupBy("lead", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("lead").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most"))
-    rest = F.col("all") - F.col("most.n")
-    open_ = common.checkpointed(counted.filter(rest > 0).select("lead", F.col("most.root").alias("major"), F.ceil(F.col("all") / block).alias("blocks"), F.ceil(rest / block).alias("outer")))
-    if open_.isEmpty():
-        return first
-    all_ = rooted.join(open_, "lead")
-    right = all_.select("lead", "place", "check", "band", spread("place", "check", "blocks").alias("b"), F.explode(up_to("outer")).alias("r"))
-    right = right.select("place", "check", group(F.lit(2), "band", "b", "r"), F.lit(RIGHT).alias("side"))
-    left = all_.filter("root <> major").select("lead", "place", "check", "blocks", spread("check", "place", "outer").alias("r"), around_band)
-    left = left.select("lead", "place", "check", "r", "at", F.explode(up_to("blocks")).alias("b"))
-    left = left.select("place", "check", group(F.lit(2), "at", "b", "r"), F.lit(LEFT).alias("side"))
-    return first.unionByName(compare.links(compare.blobs(left.unionByName(right))))
+class _Crowd:
+    """Representatives that share crowded shingles, from ``shared`` (token, place, check, n)."""
+
+    def __init__(self, shared: DataFrame, percent: int, block: int) -> None:
+        lead = shared.groupBy("token").agg(F.min(F.struct("place", "check")).alias("lead"))
+        # sets alike enough are in one band or in neighbouring ones; the factor covers rounding
+        band = F.floor(F.log("n") / (1.000001 * math.log(100 / percent))).cast("int")
+        self.followers = common.checkpointed(shared.join(lead, "token").select("lead", "place", "check", band.alias("band")).distinct())
+        self.block = block
+
+    @staticmethod
+    def _group(*parts) -> Column:
+        return F.xxhash64("lead.place", "lead.check", *parts).alias("group")
+
+    @staticmethod
+    def _part(first: str, second: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(first, second), F.col(n))
+
+    @staticmethod
+    def _each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+
+    _near = staticmethod(lambda: F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("at"))
+
+    def blocks(self) -> DataFrame:
+        """Memberships in blocks, each with the least documents of its band and of the neighbouring ones."""
+        sizes = self.followers.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / self.block).alias("blocks"))
+        own = self.followers.join(sizes, "lead").select("place", "check", self._group(F.lit(1), "band", self._part("place", "check", "blocks")), F.lit(ALL).alias("side"))
+        least = self.followers.groupBy("lead", "band").agg(F.min(F.struct("place", "check")).alias("least")).join(sizes, "lead")
+        least = least.select("lead", "least", "blocks", self._near()).select("lead", "least", "at", self._each("blocks").alias("b"))
+        return own.unionByName(least.select("least.place", "least.check", self._group(F.lit(1), "at", "b"), F.lit(ALL).alias("side")))
+
+    def rest(self, linked: DataFrame) -> DataFrame | None:
+        """Given the components of the links so far: memberships that bring what is outside a lead's largest component
+        together with all its followers; None where nothing is."""
+        node = F.struct("place", "check")
+        rooted = self.followers.withColumn("node", node).join(linked, "node", "left").select("lead", "place", "check", "band", F.coalesce("root", "node").alias("root"))
+        rooted = common.checkpointed(rooted)
+        counted = rooted.groupBy("lead", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("lead").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most"))
+        outside = F.col("all") - F.col("most.n")
+        left_open = common.checkpointed(counted.filter(outside > 0).select("lead", F.col("most.root").alias("major"), F.ceil(F.col("all") / self.block).alias("blocks"), F.ceil(outside / self.block).alias("outer")))
+        if left_open.isEmpty():
+            return None
+        every = rooted.join(left_open, "lead")
+        right = every.select("lead", "place", "check", "band", self._part("place", "check", "blocks").alias("b"), self._each("outer").alias("r"))
+        right = right.select("place", "check", self._group(F.lit(2), "band", "b", "r"), F.lit(RIGHT).alias("side"))
+        left = every.filter("root <> major").select("lead", "place", "check", "blocks", self._part("check", "place", "outer").alias("r"), self._near())
+        left = left.select("lead", "place", "check", "r", "at", self._each("blocks").alias("b"))
+        return left.select("place", "check", self._group(F.lit(2), "at", "b", "r"), F.lit(LEFT).alias("side")).unionByName(right)
 
 
 def join_documents(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, small_tile: int = SMALL_TILE, block: int = BLOCK) -> DataFrame:
@@ -547,15 +557,19 @@ def join_documents(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PE
     members = members.select(F.col("a").alias("m"), "to").unionByName(members.select(F.col("b").alias("m"), "to")).distinct()
     compare = _Comparison(rows, shingle, percent, parts)
     asked = compare.blobs(members.select("m.place", "m.check", F.col("to.place").alias("to"), F.col("to.check").alias("to_check")))
-    links = compare.links(asked.unionByName(tiled.filter(F.col("kind") == ASKED)))
+    asked = asked.unionByName(tiled.filter(F.col("kind") == ASKED))
+    crowd = None
     if len(order.value.crowded):
-        crowd = tiled.filter(F.col("kind") == CROWDED).mapInArrow(_crowd_rows, "token bigint, doc bigint, check bigint, n bigint")
-        crowd = crowd.join(of("doc", "check", "r", "rc"), ["doc", "check"]).select("token", F.col("r").alias("place"), F.col("rc").alias("check"), "n").distinct()
-        links = links.unionByName(crowd_links(crowd, compare, block))
+        shared = tiled.filter(F.col("kind") == CROWDED).mapInArrow(_crowd_rows, "token bigint, doc bigint, check bigint, n bigint")
+        shared = shared.join(of("doc", "check", "r", "rc"), ["doc", "check"]).select("token", F.col("r").alias("place"), F.col("rc").alias("check"), "n").distinct()
+        crowd = _Crowd(shared, percent, block)
+        asked = asked.unionByName(compare.blobs(crowd.blocks()))
     # components over representatives, so that copies add no links; members of larger tiles are named by theirs
-    edges = links.join(of("doc", "check", "r", "rc"), ["doc", "check"]).join(of("doc2", "check2", "r2", "rc2"), ["doc2", "check2"])
     at = lambda a, b: F.struct(F.col(a).alias("place"), F.col(b).alias("check"))
-    linked = components(edges.select(at("r", "rc").alias("u"), at("r2", "rc2").alias("v")))
+    edges = lambda links: links.join(of("doc", "check", "r", "rc"), ["doc", "check"]).join(of("doc2", "check2", "r2", "rc2"), ["doc2", "check2"]).select(at("r", "rc").alias("u"), at("r2", "rc2").alias("v"))
+    linked = components(edges(compare.links(asked)))
+    if crowd and (rest := crowd.rest(linked)) is not None:
+        linked = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(edges(compare.links(compare.blobs(rest)))))
     rooted = classes.join(linked, classes["rep"] == linked["node"], "left").select("key", F.coalesce("root", "rep").alias("root"))
     found = told.join(rooted, "key", "left")
     root = F.coalesce("root", node)
