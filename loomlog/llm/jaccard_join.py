@@ -15,7 +15,7 @@
    one task. Representatives that share one follow the least document of it. They are compared in hashed blocks,
    each with the least document of its band of sizes, which connects a cluster of near copies in linear work. Only what
    is then outside the largest component of the followers is compared with all of them, in pairs of blocks.
-4. Components of the links, by alternating star contractions.
+4. Components of the links, by alternating star contractions; a node of very many links is never one task's.
 
 The order of step 2 only affects speed; the result is exact for any order.
 
@@ -43,6 +43,8 @@ BLOCK = 4096
 HOT_LOCAL = 3
 HOT_LEAST = 24
 HOT_SHARE = 1e-4
+HUB = 10_000
+HUB_SHARE = 1e-4
 FLUSH_TOKENS = 200_000
 
 _TOKEN = np.dtype([("token", "<u8"), ("doc", "<i8"), ("check", "<u4"), ("n", "<i4")])
@@ -432,21 +434,37 @@ def _verify(percent: int) -> Callable:
     return common.trimmed(run)
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, hub: float) -> DataFrame:
+    """``edges`` (u, v) with ``m`` of their u, from ``least`` (u, m, n), n being how many edges u has.
+
+    Nodes of more than ``hub`` edges are broadcast, so that the edges of one never meet in a task.
+    """
+    hubs = least.filter(F.col("n") > hub).select("u", "m")
+    if hubs.isEmpty():
+        return edges.join(least.select("u", "m"), "u")
+    marked = edges.join(F.broadcast(hubs), "u", "left")
+    others = marked.filter("m is null").drop("m").join(least.filter(F.col("n") <= hub).select("u", "m"), "u")
+    return marked.filter("m is not null").unionByName(others)
+
+
+def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     """(node, root) of every node in ``edges`` (u, v), the root being its component's least node.
 
-    Large and small stars in turn until nothing changes; each round is kept in the shared folder.
+    Large and small stars in turn until nothing changes; each is kept in the shared folder. Nodes of more than ``hub`` edges
+    and ``HUB_SHARE`` of all, of which there are at most 1 / ``HUB_SHARE``, are joined by broadcast.
     """
+    state = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     e = common.checkpointed(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
-    for _ in range(limit):
+    mark = state(e)
+    while mark[0]:
+        over = max(hub, 2 * HUB_SHARE * mark[0])
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = common.checkpointed(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = common.checkpointed(_with_least(both.filter("v > u"), least, over).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        least = common.checkpointed(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = _with_least(large, least, over)
         e = common.checkpointed(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        now = state(e)
         if now == mark:
             break
         mark = now

@@ -98,6 +98,27 @@ def test_components_of_a_long_chain(spark):
     assert roots == {i: 0 for i in range(1, 201)} | {501: 500} | ({0: 0} if 0 in roots else {}) | ({500: 500} if 500 in roots else {})
 
 
+@pytest.mark.parametrize("hub", [1, 5, 1000])
+def test_components_around_hubs(spark, hub):
+    """Stars around least, middle and greatest nodes, some of them linked; ``hub`` decides what is broadcast."""
+    rng = np.random.default_rng(hub)
+    pairs = [(c, int(x)) for c in (0, 150, 399) for x in rng.choice(400, 60, replace=False)]
+    pairs += [tuple(map(int, rng.choice(range(400, 700), 2))) for _ in range(120)]
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got_ = {r.node: r.root for r in J.components(spark.createDataFrame(pairs, "u int, v int"), hub).collect()}
+    assert all(got_.get(x, x) == find(x) for x in root)
+    assert J.components(spark.createDataFrame([], "u int, v int"), hub).count() == 0
+
+
 @pytest.mark.parametrize("block", [4, 9, 40])
 def test_crowded_shingles_equal_all_pairs(spark, docs_of, block):
     """Clusters of near copies in many sizes, with parts that only some members link, and documents of common passages only."""
