@@ -194,4 +194,4 @@ def keep_good(docs: DataFrame, *, text: str = "text", keep_at: float = KEEP_AT)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(common.documents(spark, sf_dir))
+    return judge(common.documents(spark, sf_dir)).withColumn("p_good", F.round("p_good", 6))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, licenses, packing, pii, quality, secrets, substring_dedup, suffix_array_dedup, url_filter
+from . import decontamination, jaccard_join, licenses, oracles, packing, pii, quality, secrets, substring_dedup, suffix_array_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_packing": packing.op10_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
