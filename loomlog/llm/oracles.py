@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, quality
+from . import jaccard_join, quality, vector_codes
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -128,3 +128,33 @@ FROM told
 
 
 ORACLES = {"op1_substring_dedup": OP1, "op2_suffix_array_dedup": OP2, "op3_jaccard_join": OP3, "op6_quality": _op6()}
+
+
+def _op11() -> str:
+    parts, entries, rounds = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS
+    floor_div = lambda a, b: f"({a} - (({a} % {b}) + {b}) % {b}) // {b}"
+
+    def assigned(r: int) -> str:
+        """Nearest entries in round ``r``: least by distance, then by number. Products of these integers are exact in DOUBLE."""
+        far = f"list_inner_product(x::DOUBLE[], x::DOUBLE[]) - 2 * list_inner_product(x::DOUBLE[], c::DOUBLE[]) + list_inner_product(c::DOUBLE[], c::DOUBLE[])"
+        return f"a{r} AS (SELECT vec_id, p, x, e, far FROM (SELECT vec_id, p, x, e, {far} AS far FROM cut JOIN b{r} USING (p)) QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY far, e) = 1)"
+
+    steps = []
+    for r in range(rounds):
+        each = f"(SELECT p, e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{r})"
+        means = f"SELECT p, e, list({floor_div('s', 'n')} ORDER BY i) AS c FROM (SELECT p, e, i, sum(v)::BIGINT AS s, count(*) AS n FROM {each} GROUP BY ALL) GROUP BY ALL"
+        steps += [assigned(r), f"b{r + 1} AS (SELECT b{r}.p, b{r}.e, coalesce(m.c, b{r}.c) AS c FROM b{r} LEFT JOIN ({means}) m ON m.p = b{r}.p AND m.e = b{r}.e)"]
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda c: floor({vector_codes.SCALE} * c::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+cut AS (SELECT vec_id, p, x[p * len(x) // {parts} + 1 : (p + 1) * len(x) // {parts}] AS x FROM kept, range({parts}) t(p)),
+b0 AS (SELECT p, e, x AS c FROM cut JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {entries}) USING (vec_id)),
+{", ".join(steps)}, {assigned(rounds)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+told AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM b{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), told
+"""
+
+
+ORACLES["op11_vector_codes"] = _op11()

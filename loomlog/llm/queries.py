@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, licenses, oracles, packing, pii, quality, secrets, substring_dedup, suffix_array_dedup, url_filter
+from . import decontamination, jaccard_join, licenses, oracles, packing, pii, quality, secrets, simhash, substring_dedup, suffix_array_dedup, url_filter, vector_codes, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -19,5 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": secrets.op8_secrets,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_packing": packing.op10_packing,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_simhash": simhash.op12_simhash,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
