@@ -26,7 +26,6 @@ _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240117))
 BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = int(_rng.integers(1 << 60, 1 << 62)) * 4 + 3
-_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes that separate words: space and U+0009 to U+000D.
 IS_SEPARATOR = np.zeros(256, dtype=bool)
 IS_SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
@@ -115,40 +114,99 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: A Mersenne prime. Modulo a power of two, a polynomial hash makes certain words equal whatever its base; modulo a prime, none by construction.
+_P = (1 << 61) - 1
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` below 2^64 modulo the prime."""
+    x = (x & _U(_P)) + (x >> _U(61))
+    x -= (x >= _U(_P)) * _U(_P)
+    return x
+
+
+def _times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Product modulo the prime, from halves of 30 and 31 bits."""
+    high, low = a >> _U(31), a & _U((1 << 31) - 1)
+    high2, low2 = b >> _U(31), b & _U((1 << 31) - 1)
+    middle = high * low2
+    middle += low * high2
+    high *= high2
+    high += high
+    low *= low2
+    high += low
+    high += middle >> _U(30)
+    middle &= _U((1 << 30) - 1)
+    middle <<= _U(31)
+    high += middle
+    return _reduced(high)
+
+
 class _Powers:
+    """Powers of the base modulo the prime and of its inverse, and of both modulo 2^64."""
+
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
+        self.up = self.down = self.plain_up = self.plain_down = np.ones(1, dtype=np.uint64)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def get(self, n: int) -> _Powers:
         if len(self.up) < n:
             n = max(n, 1 << 16)
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                x = np.full(n, base & (1 << 64) - 1, dtype=np.uint64)
+            for name, base in (("up", _BASE % _P), ("down", pow(_BASE, -1, _P))):
+                x, step = getattr(self, name), pow(base, len(getattr(self, name)), _P)
+                while len(x) < n:  # twice as many each time
+                    x, step = np.concatenate((x, _times(x, _U(step)))), step * step % _P
+                setattr(self, name, x)
+            for name, base in (("plain_up", _BASE), ("plain_down", pow(_BASE, -1, 1 << 64))):
+                x = np.full(len(self.up), base & (1 << 64) - 1, dtype=np.uint64)
                 x[0] = 1
                 setattr(self, name, np.multiply.accumulate(x))
-        return self.up, self.down
+        return self
 
 
 _powers = _Powers()
+_BLOCK = 1 << 13
+
+
+def anchors(values: np.ndarray, k: int) -> np.ndarray:
+    """A number for the ``k`` values from each one on: the same for equal ones, hardly ever for others. Fast, and no proof that they are equal."""
+    n = len(values)
+    powers = _powers.get(n + 1)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(values * powers.plain_up[:n], out=sums[1:])
+    m = max(0, n - k + 1)
+    return mix((sums[k : k + m] - sums[:m]) * powers.plain_down[:m])
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the ``k`` words from each one on: sums of the words' hashes, each times the key of its place."""
+    m = max(0, len(words) - k + 1)
+    out = np.full(m, k, dtype=np.uint64)
+    for j, key in enumerate(_keys(np.arange(k))):
+        out += words[j : j + m] * key
+    return mix(out)
 
 
 class Rolling:
-    """Prefix sums of a polynomial hash modulo 2^64 over ``values``: the hash of any stretch in O(1)."""
+    """Prefix sums of a polynomial hash modulo a prime over ``values``: the hash of any stretch in O(1)."""
 
     def __init__(self, values: np.ndarray) -> None:
-        self.n = len(values)
-        up, self.down = _powers.get(self.n + 1)
-        self.sums = np.zeros(self.n + 1, dtype=np.uint64)
-        np.cumsum(values * up[: self.n], out=self.sums[1:])
+        n = len(values)
+        powers = _powers.get(n + 1)
+        self.down, self.sums = powers.down, np.zeros(n + 1, dtype=np.uint64)
+        total = 0
+        for a in range(0, n, _BLOCK):  # a block stays in the cache, and its halves cannot overflow
+            z = min(n, a + _BLOCK)
+            terms = _times(_reduced(values[a:z]), powers.up[a:z])
+            low = np.cumsum(terms & _U((1 << 31) - 1), dtype=np.uint64)
+            terms >>= _U(31)
+            high = np.cumsum(terms, dtype=np.uint64)  # times 2^31: the upper bits of it come round
+            low += (high & _U((1 << 30) - 1)) << _U(31)
+            low += (high >> _U(30)) + _U(total)
+            self.sums[a + 1 : z + 1] = _reduced(low)
+            total = int(self.sums[z])
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
-
-    def grams(self, k: int) -> np.ndarray:
-        m = self.n - k + 1
-        if m <= 0:
-            return np.zeros(0, dtype=np.uint64)
-        return mix((self.sums[k : k + m] - self.sums[:m]) * self.down[:m] + _U(k))
+        return mix(_times(_reduced(self.sums[end] + _U(_P) - self.sums[start]), self.down[start]) + ((end - start).astype(np.uint64) << _U(40)))
 
 
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -188,5 +246,21 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return ws, we, np.searchsorted(ws, offsets)
 
 
+def _keys(at: np.ndarray) -> np.ndarray:
+    return mix(at.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + _U(_BASE))
+
+
+_KEYS = _keys(np.arange(1 << 12))
+
+
 def word_hashes(data: np.ndarray, ws: np.ndarray, we: np.ndarray) -> np.ndarray:
-    return Rolling(BYTE_VALUES[data]).spans(ws, we)
+    """Of each word the sum of its bytes' values, each times the key of its place in the word."""
+    if not len(ws):
+        return np.zeros(0, dtype=np.uint64)
+    begin = np.zeros(len(data), dtype=np.int64)
+    begin[ws] = ws
+    at = np.arange(len(data)) - np.maximum.accumulate(begin)
+    longest = int((we - ws).max())
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(BYTE_VALUES[data] * (_KEYS[np.minimum(at, len(_KEYS) - 1)] if longest <= len(_KEYS) else _keys(at)), out=sums[1:])
+    return mix(sums[we] - sums[ws] + (we - ws).astype(np.uint64))

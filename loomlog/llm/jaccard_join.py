@@ -63,14 +63,18 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
         data = common.LOWER[data]
         ws, we, first = common.word_bounds(data, offsets)
         words = common.word_hashes(data, ws, we)
-        roll = common.Rolling(words)
-        grams = roll.grams(k)
+        grams = common.shingle_hashes(words, k)
         for d in range(i, j):
             a, z = int(first[d - i]), int(first[d - i + 1])
             if z - a >= k:
                 yield d, np.unique(grams[a : z - k + 1])
             elif z > a:
-                yield d, roll.spans(np.array([a]), np.array([z]))
+                yield d, common.shingle_hashes(words[a:z], z - a)
+
+
+def set_key(s: np.ndarray) -> bytes:
+    """128 bits that tell sets apart."""
+    return np.array([common.mix(s).sum(), common.mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum() + np.uint64(len(s))], dtype=np.uint64).tobytes()
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
@@ -107,8 +111,7 @@ def _describe(k: int) -> Callable:
             bits: list[bytes | None] = [None] * b.num_rows
             for d, s in shingle_sets(b.column(3), k):
                 n[d] = len(s)
-                both = np.array([common.mix(s).sum(), common.mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum() + np.uint64(len(s))], dtype=np.uint64)
-                key[d], bits[d] = both.tobytes(), bitmap(s).tobytes()
+                key[d], bits[d] = set_key(s), bitmap(s).tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n), pa.array(key, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "place", "check", "n", "key", "bits"])
 
     return common.trimmed(run)
@@ -180,7 +183,7 @@ def _prefixes(order, k: int, percent: int, buckets: int) -> Callable:
         for b in batches:
             place, check = (np.asarray(b.column(i)) for i in (0, 1))
             for d, s in shingle_sets(b.column(2), k):
-                key = (len(s), int(common.mix(s).sum()))
+                key = set_key(s)
                 if key in seen:
                     continue
                 seen.add(key)

@@ -129,7 +129,7 @@ def contexts(units: Units, length: int, k: int) -> tuple[np.ndarray, ...]:
     if n < length:
         return none
     roll = common.Rolling(units.values)
-    grams = roll.grams(k)
+    grams = common.anchors(units.values, k)
     key = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
     least = _sliding_min(key, length - k + 1)
     valid = np.ones(len(least), dtype=bool)
