@@ -153,7 +153,7 @@ def _chunks(f, span: Span, conditions: Sequence[Condition], count: dict) -> Iter
             yield a + k, rank, block[k * CHUNK_SIZE : (k + 1) * CHUNK_SIZE]
 
 
-def _events(chunk: bytes, asked: Sequence[str], conditions: Sequence[Condition]) -> dict[str, list]:
+def events(chunk: bytes, asked: Sequence[str], conditions: Sequence[Condition] = ()) -> dict[str, list]:
     """The asked columns of a chunk's events; texts are only made where one is asked, and only of records that meet the conditions."""
     xml = None
     if texts := _TEXTS.intersection(asked):
@@ -183,7 +183,7 @@ def _events(chunk: bytes, asked: Sequence[str], conditions: Sequence[Condition])
     return found
 
 
-def _array(found: Sequence, kind: pa.DataType) -> pa.Array:
+def array(found: Sequence, kind: pa.DataType) -> pa.Array:
     return pa.array(found, pa.uint64()).cast(kind) if pa.types.is_decimal(kind) else pa.array(found, kind)
 
 
@@ -199,7 +199,7 @@ def event_batches(root: str, span: Span, asked: Sequence[str], conditions: Seque
     chunks = 0
 
     def batch() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([_array(held[n], EVENT_TYPES[n]) for n in asked], schema=schema) if asked else pa.RecordBatch.from_arrays([], names=[])
+        made = pa.RecordBatch.from_arrays([array(held[n], EVENT_TYPES[n]) for n in asked], schema=schema) if asked else pa.RecordBatch.from_arrays([], names=[])
         for found in held.values():
             found.clear()
         return made
@@ -208,7 +208,7 @@ def event_batches(root: str, span: Span, asked: Sequence[str], conditions: Seque
     with system.open_input_file(span.file) as f:
         for place, rank, chunk in _chunks(f, span, conditions, count):
             began = time.perf_counter()
-            found = _events(chunk, asked, conditions)
+            found = events(chunk, asked, conditions)
             n = len(found["record_seq"])
             for name in asked:
                 if name in found:
