@@ -6,20 +6,24 @@ The driver's tables hold no binary logs, so event queries run on ``ev``, event r
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
+from ..functions import decode
 from ..functions import text as T
 from ..functions import time as times
 from ..operators import catalog, export, profile, quality, search
 from ..operators.search import SearchFilters
-from ..sources import container, encoder
+from ..sources import container, datasource, encoder
 from ..sources.binxml import CHUNK_SIZE
+from ..streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,8 +45,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event rows derived from the driver's events."""
+def ev(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Event rows derived from the driver's events, with ``more`` columns of those."""
     e = table(spark, sf_dir, "events")
     user, text = F.col("user_id"), lambda c: c.cast("string")
     level = F.when(F.col("event_type") == "error", F.when(F.col("value") >= 400, 1).otherwise(2)).when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "click", 4).when(F.col("event_type") == "view", 5).otherwise(0)
@@ -61,6 +65,7 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("::", archive, file_name).alias("file_id"),
         file_name.alias("file_name"),
         F.concat_ws("::", archive, file_name, text(F.col("event_id"))).alias("id"),
+        *more,
     )
 
 
@@ -261,9 +266,12 @@ def level_text_ui(spark, sf_dir):
     return ev(spark, sf_dir).select("record_id", T.level_text(F.col("level"), T.UI_LEVELS).alias("level_text"))
 
 
+def _tick_column() -> Column:
+    return (F.unix_micros(F.col("ts").cast("timestamp")) * 10 + times.EPOCH_TICKS + F.col("event_id") % 10).alias("ticks")
+
+
 def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(spark, sf_dir, "events").select("event_id", (micros * 10 + times.EPOCH_TICKS + F.col("event_id") % 10).alias("ticks"))
+    return table(spark, sf_dir, "events").select("event_id", _tick_column())
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || (event_id % 10) || 'Z' AS iso FROM events")
@@ -418,22 +426,23 @@ def sample_statistics(spark, sf_dir):
 ORACLES["sample_statistics"] = ORACLES["sample_statistics"].replace("avg(value) AS avg", "round(avg(value), 6) AS avg")
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _chunks(spark: SparkSession, sf_dir: str, make: Callable[[pa.Table], Iterable[bytes]] | None = None) -> DataFrame:
     """(file, chunk_index, chunk_start, chunk): the rows of ``ev`` as chunks of the file of their file id.
 
     A block of ``_BLOCK`` record ids makes a chunk, or a few where its events do not fit into one, so no task holds
-    more than a block; the index of a chunk is its block's number with room for those.
+    more than a block; the index of a chunk is its block's number with room for those. ``make`` gives the chunks of a
+    block's rows; without it the encoder does.
     """
-    e = ev(spark, sf_dir).join(_ticks(spark, sf_dir).withColumnRenamed("event_id", "record_id"), "record_id")
+    make = make or (lambda rows: itertools.islice(encoder.encode(rows.to_pylist()), 1, None))
 
     def write(key: tuple, rows: pa.Table) -> pa.Table:
-        _, *made = encoder.encode(rows.sort_by("record_id").to_pylist())
+        made = list(make(rows.sort_by("record_id")))
         first = key[1].as_py() * _BLOCK
         index = range(first, first + len(made))
         return pa.table({"file": pa.array([key[0].as_py()] * len(made)), "chunk_index": pa.array(index, pa.int32()), "chunk_start": pa.array([4096 + CHUNK_SIZE * i for i in index], pa.int64()), "chunk": pa.array(made, pa.binary())})
 
     block = F.expr(f"record_id div {_BLOCK}").alias("block")
-    return e.select("file_id", block, "record_id", "ticks", *encoder.SLOTS).groupBy("file_id", "block").applyInArrow(write, "file string, chunk_index int, chunk_start bigint, chunk binary")
+    return ev(spark, sf_dir, _tick_column()).select("file_id", block, "record_id", "ticks", *encoder.SLOTS).groupBy("file_id", "block").applyInArrow(write, "file string, chunk_index int, chunk_start bigint, chunk binary")
 
 
 def _decoded(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
@@ -452,15 +461,153 @@ def template_stats(spark, sf_dir):
     return container.file_summary(_decoded(spark, sf_dir, "events", "template_defs", "reference_count", "missing_refs", "parse_errors")).drop("num_chunks")
 
 
-@query("SELECT file_id, CAST(count(*) AS BIGINT) AS warnings FROM (SELECT file_id, record_id, lag(record_id) OVER (PARTITION BY file_id ORDER BY record_id) AS previous FROM ev) WHERE 1 = 0 GROUP BY file_id")
+def _flipped(rows: pa.Table) -> Iterator[bytes]:
+    """Chunks of which the first has a wrong byte among its records where the block's number is a multiple of three."""
+    for k, chunk in enumerate(itertools.islice(encoder.encode(rows.to_pylist()), 1, None)):
+        damaged = bytearray(chunk)
+        if k == 0 and rows["record_id"][0].as_py() // _BLOCK % 3 == 0:
+            damaged[600] ^= 0xFF
+        yield bytes(damaged)
+
+
+@query(f"SELECT file_id, count(DISTINCT record_id // {_BLOCK}) AS warnings FROM ev WHERE record_id // {_BLOCK} % 3 = 0 GROUP BY file_id")
 def integrity_checksums(spark, sf_dir):
-    """Chunks whose checksums do not hold; those that were just written have none."""
-    bad = quality.checksums(_chunks(spark, sf_dir)).filter("not (records_ok and header_ok)")
+    """Chunks whose checksums do not hold: those that were damaged by rule."""
+    bad = quality.checksums(_chunks(spark, sf_dir, _flipped)).filter("not records_ok and header_ok")
     return bad.groupBy(F.col("file").alias("file_id")).agg(F.count(F.lit(1)).alias("warnings"))
 
 
-@query("SELECT file_id AS file, record_id FROM (SELECT file_id, record_id, lag(record_id) OVER (PARTITION BY file_id ORDER BY record_id) AS previous FROM ev) WHERE 1 = 0")
+def _damaged(rows: pa.Table) -> Iterator[bytes]:
+    """Chunks with faults by record id: a wrong copy of the size, payloads that are empty, short or begin wrongly, no time."""
+    writer = encoder.ChunkWriter()
+    for e in rows.to_pylist():
+        payload, ticks, copy = b"\x0f\x01\x01\x00\x00", e["ticks"], None
+        match e["record_id"] % 50:
+            case 3:
+                copy = 40
+            case 7:
+                payload = b""
+            case 11:
+                payload = b"\x0f\x01"
+            case 13:
+                ticks = 0
+            case 17:
+                payload = b"\xee" + payload
+            case 19:
+                payload, copy = b"\xab", 9
+        raw = encoder.record(e["record_id"], ticks, payload, size_copy=copy)
+        if not writer.put(e["record_id"], raw):
+            yield writer.bytes()
+            writer = encoder.ChunkWriter()
+            writer.put(e["record_id"], raw)
+    yield writer.bytes(flags=int(rows["record_id"][0].as_py() // _BLOCK % 2))
+
+
+_FAULTS = {3: ("D4", "size mismatch — header says 33, trailing copy says 40"), 7: ("D6", "empty BinXml payload (0 bytes)"), 11: ("D7", "BinXml payload suspiciously small (2 bytes)"), 13: ("D8", "missing or zero timestamp"), 17: ("D5", "BinXml starts with 0xEE instead of 0x0F (FragmentHeader)")}
+_FAULT_ROWS = [(19, "D4", "size mismatch — header says 29, trailing copy says 9"), (19, "D5", "BinXml starts with 0xAB instead of 0x0F (FragmentHeader)"), (19, "D7", "BinXml payload suspiciously small (1 bytes)"), *((k, *v) for k, v in _FAULTS.items())]
+_FAULT_SQL = ", ".join(f"({k}, '{check}', '{text}')" for k, check, text in _FAULT_ROWS)
+
+
+@query(f"SELECT file_id AS file, check_id, 'Record ' || record_id || ': ' || fault AS message FROM ev JOIN (VALUES {_FAULT_SQL}) f(k, check_id, fault) ON record_id % 50 = k")
 def record_warnings(spark, sf_dir):
-    """Findings about single records: none in chunks that were just written."""
-    found = quality.warnings(_decoded(spark, sf_dir, "header", "records"))
-    return found.filter("phase = 3").select("file", F.col("record_seq").cast("bigint").alias("record_id"))
+    """Findings about single records, in chunks with faults by rule."""
+    found = quality.warnings(container.decode(_chunks(spark, sf_dir, _damaged), parts=["header", "records"]))
+    return found.filter("phase = 3").select("file", "check_id", "message")
+
+
+@query(f"SELECT file, check_id, sum(n)::BIGINT AS n FROM (SELECT file_id AS file, record_id // {_BLOCK} AS block, 'D3' AS check_id, count(*) FILTER (WHERE record_id <> previous + 1) AS n FROM (SELECT *, lag(record_id) OVER (PARTITION BY file_id, record_id // {_BLOCK} ORDER BY record_id) AS previous FROM ev) GROUP BY ALL UNION ALL SELECT file_id, record_id // {_BLOCK}, 'D2', CASE WHEN max(record_id) - min(record_id) + 1 <> count(*) THEN 1 ELSE 0 END FROM ev GROUP BY ALL UNION ALL SELECT DISTINCT file_id, record_id // {_BLOCK}, 'D1', record_id // {_BLOCK} % 2 FROM ev) GROUP BY file, check_id HAVING sum(n) > 0")
+def chunk_warnings(spark, sf_dir):
+    """How many chunks are flagged or have the wrong count, and records out of sequence."""
+    found = quality.warnings(container.decode(_chunks(spark, sf_dir, _damaged), parts=["header", "records"]))
+    return found.filter("phase < 3").groupBy("file", "check_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def _logs(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of binary logs with the rows of ``ev``, written by the sink once for each session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        datasource.register(spark)
+        path = shared.new_folder(spark, "logs")
+        e = ev(spark, sf_dir, _tick_column().cast("decimal(20,0)").alias("ticks")).select(F.col("file_id").alias("file"), "record_id", "ticks", *encoder.SLOTS)
+        e.repartitionByRange("file", "record_id").sortWithinPartitions("file", "record_id").write.format("winlog").mode("overwrite").save(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
+def _file_id() -> Column:
+    """The file id that a log of ``_logs`` is named by."""
+    return F.concat(F.regexp_replace(F.regexp_extract("file", r"(arch\d__f\d)-[^/]*$", 1), "__", "::"), F.lit(".evtx"))
+
+
+_ROUNDTRIP = ("record_id", "timestamp", "provider", "event_id", "level", "channel", "computer", "event_data")
+_ROUNDTRIP_SQL = "SELECT e.record_id, strftime(x.ts, '%Y-%m-%dT%H:%M:%S.%f') || (x.event_id % 10) || 'Z' AS timestamp, e.provider, e.event_id, e.level, e.channel, e.computer, e.event_data FROM ev e JOIN events x ON x.event_id = e.record_id"
+
+
+@query(_ROUNDTRIP_SQL)
+def winlog_roundtrip(spark, sf_dir):
+    """Rows to log files by the sink, and back by the source."""
+    return datasource.load(spark, _logs(spark, sf_dir), _ROUNDTRIP)
+
+
+@query(f"{_ROUNDTRIP_SQL} WHERE e.record_id BETWEEN 700 AND 1099 AND e.level <> 4")
+def winlog_lookup(spark, sf_dir):
+    """A range of ids: the other chunks stay unread."""
+    return datasource.load(spark, _logs(spark, sf_dir), _ROUNDTRIP).filter("record_id between 700 and 1099 and level <> 4")
+
+
+@query("SELECT e.file_id, count(*) AS n, min(strftime(x.ts, '%Y-%m-%dT%H:%M:%S.%f') || (x.event_id % 10) || 'Z') AS first, sum(e.record_id)::BIGINT AS ids FROM ev e JOIN events x ON x.event_id = e.record_id WHERE x.ts >= TIMESTAMP '2024-01-08 00:00:00' GROUP BY e.file_id")
+def winlog_times(spark, sf_dir):
+    """Only ids and times are asked, so no event is decoded; the condition is met in the source."""
+    found = datasource.load(spark, _logs(spark, sf_dir), ("file", "record_id", "timestamp")).filter("timestamp >= '2024-01-08'")
+    return found.groupBy(_file_id().alias("file_id")).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), F.sum("record_id").alias("ids"))
+
+
+@query("SELECT file_id, min(record_id) AS first, max(record_id) AS last, true AS sound FROM ev GROUP BY file_id")
+def chunk_heads(spark, sf_dir):
+    """The zone maps: ids by the heads of chunks."""
+    path = _logs(spark, sf_dir)  # registers the format
+    heads = spark.read.format("winlog_chunks").schema("file string, is_chunk boolean, first_record_id bigint, last_record_id bigint, header_ok boolean").load(path)
+    return heads.groupBy(_file_id().alias("file_id")).agg(F.min("first_record_id").alias("first"), F.max("last_record_id").alias("last"), F.every(F.col("is_chunk") & F.col("header_ok")).alias("sound"))
+
+
+@query("SELECT file_id, count(*) AS records, min(record_id) AS first, max(record_id) AS last, true AS dense FROM ev GROUP BY file_id")
+def chunk_discovery(spark, sf_dir):
+    """Whole files, their chunks found by magic and numbered, their headers and records."""
+    decoded = container.decode(container.chunks(container.read_files(spark, _logs(spark, sf_dir))), parts=["header", "records"])
+    of_file = decoded.groupBy("file").agg(F.sum(F.size("records")).alias("records"), F.min("header.first_event_record_id").alias("first"), F.max("header.last_event_record_id").alias("last"), (F.max("chunk_index") + 1 == F.count(F.lit(1))).alias("dense"))
+    return of_file.groupBy(_file_id().alias("file_id")).agg(F.sum("records").alias("records"), F.min("first").cast("bigint").alias("first"), F.max("last").cast("bigint").alias("last"), F.every("dense").alias("dense"))
+
+
+@query("SELECT DISTINCT file_id, true AS is_log, 4096 AS header_block_size, false AS is_dirty, false AS is_full FROM ev")
+def log_file_headers(spark, sf_dir):
+    found = container.file_headers(container.read_files(spark, _logs(spark, sf_dir)))
+    return found.select(_file_id().alias("file_id"), "is_log", "header_block_size", "is_dirty", "is_full").distinct()
+
+
+@query(_ROUNDTRIP_SQL)
+def decode_binxml(spark, sf_dir):
+    """The decoder as a table function in SQL."""
+    decode.register(spark)
+    return spark.sql(f"SELECT {', '.join('e.' + c for c in _ROUNDTRIP)} FROM {{chunks}}, LATERAL decode_binxml(chunk) AS e", chunks=_chunks(spark, sf_dir))
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> str:
+    """A new folder with the events and the status of a stream over all logs."""
+    path = shared.new_folder(spark, "ingest")
+    ingest.ingest(spark, _logs(spark, sf_dir), f"{path}/events", f"{path}/checkpoint", status=f"{path}/status").awaitTermination()
+    return path
+
+
+@query(_ROUNDTRIP_SQL)
+def stream_ingest(spark, sf_dir):
+    return spark.read.parquet(f"{_ingested(spark, sf_dir)}/events").select(*_ROUNDTRIP)
+
+
+@query("SELECT file_id, count(*) AS records, 'done' AS state, true AS timed FROM ev GROUP BY file_id")
+def ingest_status(spark, sf_dir):
+    """What the stream says of its files: how far, and whether their times are known."""
+    told = ingest.latest_status(spark, f"{_ingested(spark, sf_dir)}/status")
+    return told.groupBy(_file_id().alias("file_id")).agg(F.sum("rows").alias("records"), F.max("state").alias("state"), F.every((F.col("fraction") == 1) & (F.col("milliseconds") > 0)).alias("timed"))
