@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
+
 FACETS = ("event_id", "provider", "computer", "channel")
 
 
@@ -60,15 +62,46 @@ def parse_verdict(summary: DataFrame, warnings: DataFrame) -> DataFrame:
     return summary.join(n, "file", "left").select("file", count.alias("warnings"), F.concat(count.cast("string"), F.lit(" notes")).alias("note"), verdict.alias("verdict"))
 
 
+#: Parts that a round cuts the values of a group into.
+_PARTS = 1024
+
+
+def _narrowed(samples: DataFrame, state: DataFrame) -> DataFrame:
+    """``state`` (_by, _low, _high, _k) after a round: of each group the part of its values that holds rank ``_k``, and the rank in it.
+
+    A group's least and greatest value are parts of their own, so that each round narrows it, whatever the values.
+    """
+    v, low, high = F.col("_v"), F.col("_low"), F.col("_high")
+    inside = samples.join(state, F.col("_g").eqNullSafe(F.col("_by"))).filter((v >= low) & (v <= high))
+    share = (v - low).cast("double") / (high - low).cast("double") * _PARTS
+    share = F.when(F.isnan(share) | (share < 0), 0).otherwise(F.least(share, F.lit(_PARTS - 1)))
+    part = F.when(v == low, -1).when(v == high, _PARTS).otherwise(F.floor(share)).cast("int")
+    counted = inside.groupBy("_by", "_k", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    parts = counted.groupBy("_by", "_k").agg(F.sort_array(F.collect_list(F.struct("part", "n", "low", "high"))).alias("p"))  # at most _PARTS + 2
+    # parts before the one of the rank: those whose running count stays within it
+    start = F.struct(F.col("_k").alias("k"), F.lit(0).alias("i"), F.lit(False).alias("found"))
+    at = F.aggregate("p", start, lambda a, x: F.when(a["found"] | (a["k"] < x["n"]), F.struct(a["k"].alias("k"), a["i"].alias("i"), F.lit(True).alias("found"))).otherwise(F.struct((a["k"] - x["n"]).alias("k"), (a["i"] + 1).alias("i"), F.lit(False).alias("found"))))
+    told = parts.withColumn("at", at).withColumn("of", F.get("p", F.col("at.i")))
+    return told.select("_by", F.col("of.low").alias("_low"), F.col("of.high").alias("_high"), F.col("at.k").alias("_k"))
+
+
 def sample_statistics(samples: DataFrame, by: str, value: str) -> DataFrame:
     """avg, min, max and the upper middle value of the samples of each group (groups of a benchmark's runs).
 
-    The middle is found by its rank: samples are sorted, which spills, and never collected.
+    The middle is found exactly by counts: rounds cut each group's range into parts, count them by partial aggregates and go on with the
+    part that holds the middle rank, until its values are one. No group is sorted or meets in one task.
     """
+    spark = samples.sparkSession
+    shared.shared_dir(spark)
     found = samples.groupBy(by).agg(F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("_n"))
-    ranked = samples.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("median"), F.row_number().over(Window.partitionBy(by).orderBy(value)).alias("_k"))
+    kept = samples.filter(F.col(value).isNotNull()).select(F.col(by).alias("_g"), F.col(value).alias("_v"))
+    state = found.filter("_n > 0").select(F.col(by).alias("_by"), F.col("min").alias("_low"), F.col("max").alias("_high"), F.floor(F.col("_n") / 2).cast("bigint").alias("_k")).checkpoint()
+    settled = state.filter("_low = _high")
+    while not (state := state.filter("_low <> _high")).isEmpty():
+        state = _narrowed(kept, state).checkpoint()  # a row a group
+        settled = settled.unionByName(state.filter("_low = _high"))
+    middle = settled.select("_by", F.col("_low").alias("median"))
     # null groups join too; a group without values has no middle
-    middle = ranked.join(found.select(F.col(by).alias("_by"), "_n"), F.col(by).eqNullSafe(F.col("_by"))).filter(F.col("_k") == F.floor(F.col("_n") / 2) + 1).select("_by", "median")
     return found.join(middle, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "avg", "min", "max", "median")
 
 

@@ -2,17 +2,79 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import container
 
 
+_GAP, _HEAD, _TAIL = range(3)
+
+
+def _same(a: pa.Table, b: pa.Table, names: list[str]) -> pa.ChunkedArray:
+    """Row by row, whether both have the same key; nulls are equal."""
+    found = None
+    for n in names:
+        equal = pc.or_(pc.fill_null(pc.equal(a[n], b[n]), False), pc.and_(pc.is_null(a[n]), pc.is_null(b[n])))
+        found = equal if found is None else pc.and_(found, equal)
+    return found if found is not None else pa.chunked_array([pa.array([True] * a.num_rows)])
+
+
+def _gaps_in_range(partition: list[str], value: str):
+    """Sorted rows of one range to those that do not follow the row before, and the first and last of each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        number = TaskContext.get().partitionId()
+
+        def told(rows: pa.Table, previous: pa.ChunkedArray | None, kind: int) -> Iterator[pa.RecordBatch]:
+            n = rows.num_rows
+            if n:
+                previous = pa.nulls(n, rows[value].type) if previous is None else previous
+                yield from rows.append_column("previous", previous).append_column("_kind", pa.array([kind] * n, pa.int32())).append_column("_range", pa.array([number] * n, pa.int32())).to_batches()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b])
+            if held is None:
+                yield from told(rows.slice(0, 1), None, _HEAD)
+            else:
+                rows = pa.concat_tables([held, rows])
+            before, after = rows.slice(0, rows.num_rows - 1), rows.slice(1)
+            same = _same(before, after, partition)
+            follows = pc.equal(after[value], pc.add(before[value], 1))
+            gap = pc.and_(same, pc.fill_null(pc.invert(follows), False))
+            yield from told(after.filter(gap), before[value].filter(gap), _GAP)
+            other = pc.invert(same)
+            yield from told(after.filter(other), None, _HEAD)
+            yield from told(before.filter(other), None, _TAIL)
+            held = rows.slice(rows.num_rows - 1)
+        if held is not None:
+            yield from told(held, None, _TAIL)
+
+    return run
+
 
 def sequence_gaps(rows: DataFrame, partition: list[str], order: str, value: str) -> DataFrame:
-    """Rows whose value does not follow the one before, with that as ``previous``."""
-    before = F.lag(value).over(Window.partitionBy(*partition).orderBy(order))
-    return rows.withColumn("previous", before).filter(F.col(value) != F.col("previous") + 1)
+    """Rows whose value does not follow the one before, with that as ``previous``.
+
+    Rows are dealt by ranges of key and order, so a key of any size is spread; a range finds its own gaps in one pass. Across ranges
+    only the first and last row of each key are compared: two rows for each range and key.
+    """
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    value_type = dict(rows.dtypes)[value]
+    ranged = rows.repartitionByRange(*partition, order).sortWithinPartitions(*partition, order)
+    found = ranged.mapInArrow(_gaps_in_range(partition, value), f"{kinds}, previous {value_type}, _kind int, _range int")
+    ends = found.filter(F.col("_kind") != _GAP)
+    before = F.lag(value).over(Window.partitionBy(*partition).orderBy("_range", "_kind"))
+    across = ends.withColumn("previous", before).filter((F.col("_kind") == _HEAD) & (F.col(value) != F.col("previous") + 1))
+    return found.filter(F.col("_kind") == _GAP).unionByName(across).drop("_kind", "_range")
 
 
 def count_mismatch(rows: DataFrame, partition: list[str], first: str, last: str, n: str) -> DataFrame:
