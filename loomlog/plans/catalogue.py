@@ -19,9 +19,9 @@ from .. import shared
 from ..functions import decode
 from ..functions import text as T
 from ..functions import time as times
-from ..operators import catalog, export, profile, quality, search
+from ..operators import catalog, export, pages, profile, quality, search
 from ..operators.search import SearchFilters
-from ..sources import container, datasource, encoder
+from ..sources import container, datasource, encoder, files
 from ..sources.binxml import CHUNK_SIZE
 from ..streaming import ingest
 
@@ -611,3 +611,36 @@ def ingest_status(spark, sf_dir):
     """What the stream says of its files: how far, and whether their times are known."""
     told = ingest.latest_status(spark, f"{_ingested(spark, sf_dir)}/status")
     return told.groupBy(_file_id().alias("file_id")).agg(F.sum("rows").alias("records"), F.max("state").alias("state"), F.every((F.col("fraction") == 1) & (F.col("milliseconds") > 0)).alias("timed"))
+
+
+@query(f"SELECT record_id, provider, event_id, level, event_data FROM ev ORDER BY file_id, record_id LIMIT 250 OFFSET (SELECT CAST(floor((count(*) - 1) / 250) * 250 AS BIGINT) FROM ev)")
+def page_of_logs(spark, sf_dir):
+    """The last page of all logs: only its chunks are read."""
+    found = pages.LogPages(spark, _logs(spark, sf_dir), shared.new_folder(spark, "sums")).build()
+    return found.page(10**6, 250, ("record_id", "provider", "event_id", "level", "event_data"))
+
+
+def _indexed(spark: SparkSession, sf_dir: str, *names: str) -> catalog.Catalog:
+    """A new catalog that holds the logs of ``ev`` as an archive of each name, indexed."""
+    held = catalog.Catalog(spark, shared.new_folder(spark, "catalog"))
+    members = files.read_single(spark, [_logs(spark, sf_dir)])
+    for k, name in enumerate(names):
+        held.store(members, name, datetime(2024, 1, 1 + k, tzinfo=UTC))
+    held.index()
+    return held
+
+
+@query(f"SELECT record_id, timestamp, provider, event_id, level, channel, computer, event_data, 'logs' AS archive_name, 'logs_1704067200000::' || file_id AS file FROM ({_ROUNDTRIP_SQL.replace('SELECT e.record_id', 'SELECT e.file_id, e.record_id')})")
+def catalog_index(spark, sf_dir):
+    """Logs stored as files of an archive, decoded and indexed by one commit."""
+    events = _indexed(spark, sf_dir, "logs").events().withColumnRenamed("file_name", "file")
+    return events.select(*_ROUNDTRIP, "archive_name", F.concat(F.lit("logs_1704067200000::"), _file_id()).alias("file"))
+
+
+@query("SELECT 'b' AS archive_name, count(*) AS n, true AS named, 0 AS waiting FROM ev")
+def catalog_delete(spark, sf_dir):
+    """Of two archives the first is deleted, with its events and marks."""
+    held = _indexed(spark, sf_dir, "a", "b")
+    held.delete_archive(catalog.archive_key("a", datetime(2024, 1, 1, tzinfo=UTC)))
+    left = held.events().groupBy("archive_name").agg(F.count(F.lit(1)).alias("n"), F.every(F.col("file_id").startswith("b_") & F.col("id").startswith("b_")).alias("named"))
+    return left.withColumn("waiting", F.lit(held.unindexed().count()))

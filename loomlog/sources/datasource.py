@@ -5,7 +5,7 @@ Chunks have a fixed size, so a partition is a byte range of whole chunks; no tas
 Reading. Option ``path``: a file, folder or URI; ``chunksPerPartition``: 512 by default (32 MiB); ``badFiles``: ``fail`` (the
 default) or ``row``, which gives a row with ``error`` for a file that is no log. A schema of some columns, as in
 ``spark.read.format("winlog").schema("record_id bigint, xml string")``, reads only those: without texts no record is decoded. Conditions on
-``record_id``, ``timestamp`` and ``file`` are pushed: files and, by their headers, chunks are skipped unread, other records undecoded.
+``record_id``, ``timestamp``, ``file`` and ``chunk_place`` are pushed: files and, by their headers, chunks are skipped unread, other records undecoded.
 ``record_id`` is null where it leaves 63 bits. ``load`` adds dense chunk indexes and times.
 
 Streaming. The offset holds how many chunks of each file have been read, so of a growing log only what is new is read. Of a log that its
@@ -39,7 +39,7 @@ STEP = 512
 _SQL = {pa.string(): "string", pa.int64(): "bigint", pa.int32(): "int", pa.float64(): "double", pa.bool_(): "boolean", pa.decimal128(20, 0): "decimal(20,0)"}
 TYPES = {n: _SQL[t] for n, t in ranges.EVENT_TYPES.items()}
 HEAD_TYPES = {n: _SQL[t] for n, t in ranges.HEAD_TYPES.items()}
-_PUSHED = ("record_id", "timestamp", "file")
+_PUSHED = ("record_id", "timestamp", "file", "chunk_place")
 #: Filters that are taken, by their kind.
 _KINDS = {api.EqualTo: "=", api.GreaterThan: ">", api.GreaterThanOrEqual: ">=", api.LessThan: "<", api.LessThanOrEqual: "<=", api.In: "in", api.IsNotNull: "is not null"}
 
@@ -85,7 +85,9 @@ class _Reader(DataSourceReader):
                 out.append(_Partition(Span(info.path, 0, 0, 0, 0, 0, f"not a binary log: {info.path}")))
                 continue
             n = ranges.places(info.size, header)
-            out += [_Partition(s) for s in ranges.spans(info.path, header.size, 0, n, n, self.step)]
+            found = ranges.spans(info.path, header.size, 0, n, n, self.step)
+            placed = [c for c in self.conditions if c.column == "chunk_place"]
+            out += [_Partition(s) for s in found if not placed or any(ranges.at_place(k, placed) for k in range(s.first, s.first + s.count))]
         return out
 
 
@@ -103,6 +105,8 @@ class WinlogReader(_Reader):
                 yield f
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # where there are no partitions, Spark asks for one without a place
+            return iter(())
         conditions = [c for c in self.conditions if c.column != "file"]
         return ranges.event_batches(self.path, partition.span, self.asked, conditions, self.count)
 
@@ -112,7 +116,7 @@ class HeadReader(_Reader):
         super().__init__(schema, options, HEAD_TYPES)
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        return ranges.head_batches(self.path, partition.span, self.asked) if not partition.span.error else iter(())
+        return ranges.head_batches(self.path, partition.span, self.asked) if partition is not None and not partition.span.error else iter(())
 
 
 class WinlogStreamReader(DataSourceStreamReader):

@@ -135,20 +135,24 @@ def may_hold(z: Zone | None, conditions: Iterable[Condition]) -> bool:
     return True
 
 
+def at_place(place: int, conditions: Iterable[Condition]) -> bool:
+    return all(c.holds(place) for c in conditions if c.column == "chunk_place")
+
+
 def _chunks(f, span: Span, conditions: Sequence[Condition], count: dict) -> Iterator[tuple[int, int, bytes]]:
     """(place, rank among the span's chunks, chunk) of the chunks that may hold wanted records."""
     magic, rank = bytes(container.CHUNK_MAGIC), -1
-    by_zone = any(c.column == "record_id" for c in conditions)
-    for a in range(span.first, span.first + span.count, 1 if by_zone else READ_CHUNKS):
-        n = 1 if by_zone else min(READ_CHUNKS, span.first + span.count - a)
+    by_head = any(c.column in ("record_id", "chunk_place") for c in conditions)
+    for a in range(span.first, span.first + span.count, 1 if by_head else READ_CHUNKS):
+        n = 1 if by_head else min(READ_CHUNKS, span.first + span.count - a)
         f.seek(span.header + a * CHUNK_SIZE)
-        block = f.read(HEAD if by_zone else n * CHUNK_SIZE)
+        block = f.read(HEAD if by_head else n * CHUNK_SIZE)
         for k in range(n):
             if block[k * CHUNK_SIZE : k * CHUNK_SIZE + len(magic)] != magic:
                 continue
             rank += 1
-            if by_zone:
-                if not may_hold(zone(block), conditions):
+            if by_head:
+                if not at_place(a, conditions) or not may_hold(zone(block), conditions):
                     continue
                 block += f.read(CHUNK_SIZE - HEAD)
             count["opened"] = count.get("opened", 0) + 1

@@ -1,7 +1,6 @@
 """Gaps across ranges, middles by counts, and pages by prefix sums, against plain Python."""
 
 import random
-from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +50,49 @@ def test_middles_equal_sorting(spark, kind, draw):
     got = profile.sample_statistics(spark.createDataFrame(rows, f"k string, v {kind}").repartition(4), "k", "v")
     assert {r.k: r.median for r in got.collect()} == middles(rows)
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_read_their_chunks(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from loomlog.operators import pages
+    from loomlog.sources import datasource, encoder
+    from tests.test_container import chunk
+
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    n = 0
+    want = []
+    for name, sizes in (("a", [30, 0, 1, 49]), ("b", [20] * 7), ("c", [])):
+        chunks = []
+        for size in sizes:
+            ids = range(n, n + size)
+            n += size
+            want += ids
+            chunks.append(chunk(*ids) if size else bytes(65536))
+        (folder / f"{name}.evtx").write_bytes(encoder.file_header() + b"".join(chunks))
+    p = pages.LogPages(spark, str(folder), str(tmp_path / "sums")).build()
+    assert p.total() == len(want) == 220
+    for number, size in ((0, 50), (1, 50), (3, 50), (4, 50), (10**6, 50), (1, 100), (0, 500)):
+        first = min(number, -(-220 // size) - 1) * size
+        got = p.page(number, size, ("record_id", "event_data"))
+        assert [r.record_id for r in got.collect()] == want[first : first + size]
+    assert len(p.chunks(200, 220)) == 1 and [c.chunk_place for c in p.chunks(30, 31)] == [2]
+    plan = spark._jvm.PythonSQLUtils.explainString(p.page(4, 50)._jdf.queryExecution(), "formatted")
+    assert "EqualTo(file" in plan.split("PushedFilters")[1] or "In(file" in plan.split("PushedFilters")[1]
+    r = datasource.WinlogReader(StructType.fromDDL("record_id bigint"), {"path": str(folder)})
+    import pyspark.sql.datasource as api
+
+    assert not list(r.pushFilters([api.In(("chunk_place",), (2,)), api.EqualTo(("file",), f"{folder}/b.evtx")]))
+    assert sum(b.num_rows for q in r.partitions() for b in r.read(q)) == 20 and r.count["opened"] == 1
+    with pytest.raises(ValueError, match="page size"):
+        p.page(0, 7)
+
+
+def test_pages_of_no_logs(spark, tmp_path):
+    from loomlog.operators import pages
+    from loomlog.sources import encoder
+
+    (tmp_path / "a.evtx").write_bytes(encoder.file_header())
+    p = pages.LogPages(spark, str(tmp_path), str(tmp_path / "sums")).build()
+    assert p.total() == 0 and p.page(3, 50).count() == 0
