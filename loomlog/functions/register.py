@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from .eventxml import KEY_VALUE
+
 _LE32 = "conv(concat(hex(substring(b, {0} + 4, 1)), hex(substring(b, {0} + 3, 1)), hex(substring(b, {0} + 2, 1)), hex(substring(b, {0} + 1, 1))), 16, 10)"
-_KEY_VALUE = "'^([A-Za-z][A-Za-z0-9_\\\\s]{0,30}?)\\\\s*:\\\\s+(.+)$'"
+_KEY_VALUE = "'^" + KEY_VALUE.replace("\\", "\\\\") + "$'"
 
 FUNCTIONS = {
     "guid_text(b BINARY) RETURNS STRING": """CASE WHEN length(b) < 16 THEN '' ELSE concat('{',

@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .eventxml import SPACE
+from .eventxml import KEY_VALUE, SPACE
 
 #: Names of levels.
 LEVELS = {1: "Critical", 2: "Error", 3: "Warning", 4: "Information", 5: "Verbose"}
 UI_LEVELS = {0: "LogAlways"} | LEVELS
+#: Characters and their entities, in the order in which they are replaced.
 _ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"))
 
 
@@ -84,14 +85,14 @@ def leaf_pairs(section: Column) -> Column:
 
 def key_values(event_data: Column) -> Column:
     """Array of (label, value) of the lines ``key: value``, in order; labels may repeat."""
-    pattern = r"^([A-Za-z][A-Za-z0-9_\s]{0,30}?)\s*:\s+(.+)$"
+    pattern = f"^{KEY_VALUE}$"
     lines = F.filter(F.transform(F.split(event_data, "\n"), trim), lambda x: x.rlike(pattern))
     return F.transform(lines, lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("label"), F.regexp_extract(x, pattern, 2).alias("value")))
 
 
 def message_lines(event_data: Column) -> Column:
     """The other lines."""
-    pattern = r"^([A-Za-z][A-Za-z0-9_\s]{0,30}?)\s*:\s+(.+)$"
+    pattern = f"^{KEY_VALUE}$"
     return F.array_join(F.filter(F.transform(F.split(event_data, "\n"), trim), lambda x: (x != "") & ~x.rlike(pattern)), "\n")
 
 

@@ -1,13 +1,26 @@
-"""Exports: XML dumps, JSON of records, comment blocks, pretty text."""
+"""Exports: XML dumps, JSON of records, comment blocks, pretty text.
+
+Labels of the detail view and of the comment blocks, and the dump's first and last lines, are fixed values.
+"""
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from ..functions import eventxml
 from ..functions.text import hex32
+from ..sources import ranges
 
 XML_HEAD = '<?xml version="1.0" encoding="utf-8"?>\n<Events>\n'
 XML_TAIL = "</Events>"
@@ -38,6 +51,98 @@ def write_xml(events: DataFrame, path: str, order: tuple[str, ...] = ("file", "c
     spark.createDataFrame([(XML_HEAD.rstrip("\n"),)], "value string").coalesce(1).unionAll(body).unionAll(spark.createDataFrame([(XML_TAIL,)], "value string").coalesce(1)).write.text(path)
 
 
+class XmlWriter(DataSourceArrowWriter):
+    """Writes the documents of ``XmlSink``."""
+
+    def __init__(self, path: str, overwrite: bool) -> None:
+        self.path, self.overwrite, self.job = path.rstrip("/"), overwrite, uuid.uuid4().hex
+
+    def _staging(self) -> tuple:
+        system, at = ranges.opened(self.path)
+        return system, at, f"{at}/_staging-{self.job}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> XmlParts:
+        task = TaskContext.get()
+        system, _, staging = self._staging()
+        done = XmlParts([])
+        out = None
+        try:
+            for b in iterator:
+                for file, xml in zip(b.column("file").to_pylist(), b.column("xml").to_pylist(), strict=True):
+                    if not done.parts or done.parts[-1][0] != file:
+                        if out is not None:
+                            out.close()
+                        part = f"{task.partitionId():08d}-{task.taskAttemptId()}-{len(done.parts)}.xml"
+                        done.parts.append((file, part))
+                        system.create_dir(staging, recursive=True)
+                        out = system.open_output_stream(f"{staging}/{part}")
+                    out.write(f"{xml or ''}\n\n".encode())
+        finally:
+            if out is not None:
+                out.close()
+        return done
+
+    def commit(self, messages: list[XmlParts | None]) -> None:
+        from pyarrow import fs
+
+        system, at, staging = self._staging()
+        of: dict[str, list[str]] = {}
+        for m in messages:
+            for file, part in m.parts if m else ():
+                of.setdefault(file, []).append(part)
+        for file, parts in of.items():
+            folder = f"{at}/{re.sub('[^A-Za-z0-9._-]+', '_', file or 'events')}"
+            if system.get_file_info(folder).type != fs.FileType.NotFound:
+                if not self.overwrite:
+                    raise FileExistsError(folder)
+                system.delete_dir(folder)
+            system.create_dir(folder, recursive=True)
+            for k, part in enumerate(sorted(parts)):
+                system.move(f"{staging}/{part}", f"{folder}/1-{k:08d}.xml")
+            for name, text in (("0-head.xml", XML_HEAD), ("2-tail.xml", XML_TAIL)):
+                with system.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(text.encode())
+        self.abort(messages)
+
+    def abort(self, messages: list[XmlParts | None]) -> None:
+        from pyarrow import fs
+
+        system, _, staging = self._staging()
+        if system.get_file_info(staging).type == fs.FileType.Directory:
+            system.delete_dir(staging)
+
+
+@dataclass
+class XmlParts(WriterCommitMessage):
+    """(file, name) of the parts of a task, in order."""
+
+    parts: list[tuple[str, str]]
+
+
+class XmlSink(DataSource):
+    """``winlog_xml``: rows (file, xml), sorted by file over the partitions, to a folder a file.
+
+    The files of a folder, one after the other by name, are one well-formed document: a head, parts of the tasks in the order of
+    the partitions, a tail. The commit moves parts by name only and writes heads and tails; no text passes through the driver.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "winlog_xml"
+
+    def writer(self, schema: StructType, overwrite: bool) -> XmlWriter:
+        if not {"file", "xml"} <= set(schema.names):
+            raise ValueError("a document needs the columns file and xml")
+        return XmlWriter(self.options["path"], overwrite)
+
+
+def write_documents(events: DataFrame, path: str, *, order: tuple[str, ...] = ("chunk_index", "record_seq"), overwrite: bool = False) -> None:
+    """One XML document for each file of ``events``, of any size. Rows are dealt by ranges of file and order; nothing is sorted as a whole."""
+    events.sparkSession.dataSource.register(XmlSink)
+    ranged = events.repartitionByRange("file", *order).sortWithinPartitions("file", *order).select("file", "xml")
+    ranged.write.format("winlog_xml").mode("overwrite" if overwrite else "append").save(path)
+
+
 def record_json(events: DataFrame) -> DataFrame:
     """(record_id, json) with the nine fields of a copied record, indented."""
     fields = F.struct(*(F.col(c).alias(n) for c, n in zip(RECORD_FIELDS, _JSON_NAMES, strict=True)))

@@ -1,4 +1,7 @@
-"""Integrity checks of chunks and records, as rows (file, chunk_index, phase, record_seq, check_id, message)."""
+"""Integrity checks of chunks and records, as rows (file, chunk_index, phase, record_seq, check_id, message).
+
+The texts of the messages are fixed values.
+"""
 
 from __future__ import annotations
 

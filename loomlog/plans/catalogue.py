@@ -644,3 +644,15 @@ def catalog_delete(spark, sf_dir):
     held.delete_archive(catalog.archive_key("a", datetime(2024, 1, 1, tzinfo=UTC)))
     left = held.events().groupBy("archive_name").agg(F.count(F.lit(1)).alias("n"), F.every(F.col("file_id").startswith("b_") & F.col("id").startswith("b_")).alias("named"))
     return left.withColumn("waiting", F.lit(held.unindexed().count()))
+
+
+@query("SELECT file_id AS file, count(*) AS events, sum(record_id)::BIGINT AS ids, 1 AS heads, 1 AS tails FROM ev GROUP BY file_id")
+def xml_documents(spark, sf_dir):
+    """A document for each file by the sink, and its lines read back."""
+    path = shared.new_folder(spark, "documents")
+    export.write_documents(_with_xml(spark, sf_dir).withColumnRenamed("file_id", "file"), path, order=("record_id",))
+    lines = spark.read.text(f"{path}/*").select(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -2), "(arch[0-9])_", "$1::").alias("file"), "value")
+    record = F.regexp_extract("value", "^<Event>([0-9]+)</Event>$", 1)
+    number = F.when(record != "", record.cast("bigint"))
+    ends = lambda text: F.count_if(F.col("value") == text).cast("int")
+    return lines.groupBy("file").agg(F.count(number).alias("events"), F.sum(number).alias("ids"), ends("<Events>").alias("heads"), ends("</Events>").alias("tails"))

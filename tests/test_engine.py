@@ -201,6 +201,25 @@ def test_exports(spark, tmp_path):
     assert search.page(e, 0, 50).count() == 3 and search.sort_table(e, "level_text").first().level == 0
 
 
+def test_documents_of_files(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    for name, ids in (("a", range(1, 400)), ("b", range(5, 8))):
+        log(tmp_path / f"{name}.evtx", ids)
+    e = container.read_events(spark, str(tmp_path)).withColumn("file", F.regexp_extract("file", "([^/]*)$", 1))
+    target = tmp_path / "out"
+    export.write_documents(e, str(target))
+    assert sorted(p.name for p in target.iterdir()) == ["a.evtx", "b.evtx"]
+    for name, ids in (("a", range(1, 400)), ("b", range(5, 8))):
+        text = "".join(p.read_text() for p in sorted((target / f"{name}.evtx").iterdir()))
+        assert text == export.XML_HEAD + "".join(f"{r.xml}\n\n" for r in e.filter(F.col("file") == f"{name}.evtx").orderBy("record_id").collect()) + export.XML_TAIL
+        assert len(ET.fromstring(text.encode())) == len(ids)
+    with pytest.raises(Exception, match="FileExistsError"):
+        export.write_documents(e, str(target))
+    export.write_documents(e.filter("record_id < 3"), str(target), overwrite=True)
+    assert len(list(target.iterdir())) == 2 and len(ET.fromstring("".join(p.read_text() for p in sorted((target / "a.evtx").iterdir())).encode())) == 2
+
+
 def test_sql_functions(spark):
     from loomlog.functions import register, values
 
