@@ -2,7 +2,8 @@
 
 Words are compared with A-Z lower-cased. Fixed masks pick seven of up to eleven neighbouring words; the hash of
 the picked words is a seed. Wherever two words of eleven are substituted, one mask still fits between them, so every
-stretch that the rule below calls a leak has a seed in each of its windows. Seeds of the documents are looked up among those of the benchmark, and around
+stretch that the rule below calls a leak has a seed in each of its windows. Items of fewer words have masks of their own
+length, which ignore any words that the rule lets be substituted. Seeds of the documents are looked up among those of the benchmark, and around
 each hit the document and the item are laid side by side: a stretch of ``MIN_WORDS`` words (the whole item
 where it is shorter) with at least ``MIN_IDENTITY`` of its words equal is a leak, whatever words were substituted.
 
@@ -10,11 +11,12 @@ The benchmark is a query set against all rows: it is taken in blocks of at most
 each broadcast once and matched in one scan of the documents.
 
 Cases: null or blank texts and items match nothing; null ids are kept; repeated rows give repeated
-findings; items of fewer than ``SPAN`` words are sought whole; empty tables give an empty result; other columns are ignored.
+findings; items of fewer than ``MIN_WORDS`` words are sought whole; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -55,6 +57,21 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return common.mix(h)
 
 
+def least_equal(n: int) -> int:
+    """How many of ``n`` words have to be equal."""
+    return math.ceil(MIN_IDENTITY * n)
+
+
+def short_masks(n: int) -> list[str]:
+    """Masks for items of ``n`` words: two blocks more than words may be substituted, of which each mask ignores as many as that.
+
+    Substituted words lie in no more blocks than that, so one mask ignores all of them.
+    """
+    spare = n - least_equal(n)
+    block = np.arange(n) * (spare + 2) // n
+    return ["".join("01"[b not in ignored] for b in block) for ignored in itertools.combinations(range(spare + 2), spare)] if spare else ["1" * n]
+
+
 class Benchmark:
     """Words of one block of items and a sorted table of their seeds for each mask."""
 
@@ -62,10 +79,10 @@ class Benchmark:
         self.ids, self.items = ids, []
         for _, words, first in _words(pa.array(texts, pa.string())):
             self.items += [words[a:z] for a, z in zip(first[:-1], first[1:], strict=True)]
-        masks = dict.fromkeys([*MASKS, *("1" * n for n in sorted({len(w) for w in self.items if 0 < len(w) < SPAN}))])
+        short = sorted({len(w) for w in self.items if 0 < len(w) < SPAN})
         self.tables = []
-        for mask in masks:
-            mine = [(j, w) for j, w in enumerate(self.items) if (len(w) == len(mask) if mask not in MASKS else len(w) >= SPAN)]
+        for mask, least, most in [*((m, SPAN, math.inf) for m in MASKS), *((m, n, n) for n in short for m in short_masks(n))]:
+            mine = [(j, w) for j, w in enumerate(self.items) if least <= len(w) <= most]
             if not mine:
                 continue
             found = [seeds(w, mask) for _, w in mine]
@@ -100,7 +117,7 @@ class Benchmark:
         if len(equal) < w:
             return
         sums = np.concatenate(([0], np.cumsum(equal)))
-        good = np.flatnonzero(sums[w:] - sums[:-w] >= math.ceil(MIN_IDENTITY * w))
+        good = np.flatnonzero(sums[w:] - sums[:-w] >= least_equal(w))
         while len(good):
             split = np.flatnonzero(np.diff(good) > w)
             stop = split[0] + 1 if len(split) else len(good)

@@ -2,7 +2,9 @@
 
 A worklist starts with the text itself. Each layer is scanned; its percent escapes, Unicode escapes,
 base64 runs and compressed blobs (all their members, compressed again or not) are unwrapped into new
-layers, until nothing new appears; bytes that are no UTF-8 are replaced and the rest is read. A layer
+layers, until nothing new appears; bytes that are no UTF-8 are replaced and the rest is read. A base64 run is read
+from each of its first four letters, since others may be glued to its start, and a compressed blob may
+begin anywhere in decoded bytes, be they from base64, percent escapes or ``\\x`` escapes. A layer
 that was seen before is not entered again, so cycles end. Every layer carries, for each of its
 characters, the stretch of the original text that it came from, and findings are mapped back by it.
 
@@ -43,7 +45,15 @@ _ASSIGN = re.compile("(" + "|".join([*map(_either, _WORDS[:4]), _either("api") +
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\u\{0*([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})")
+#: Stretches that may be bytes in escapes, and their single bytes.
+_PERCENT_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[!$&-;=@-Z_a-z~])+")
+_PERCENT_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|.")
+_SLASH_BYTES = re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\[abfnrtv0'\"\\]|[ -\[\]-~])+")
+_SLASH_BYTE = re.compile(r"\\x([0-9A-Fa-f]{2})|\\(.)|.")
+_SHORT_ESCAPES = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True))
+#: How compressed streams begin.
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
 #: Bytes that occur in no finding and no encoding become 0, the others 1.
 _CUTS = bytes(chr(i) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"' :%\\" for i in range(256))
@@ -176,26 +186,65 @@ def _replaced(layer: Layer, pattern: re.Pattern, decoded: Callable[[re.Match], I
     return Layer(plain, starts, ends, layer.place) if plain != layer.text else None
 
 
+def _mark(layer: Layer) -> bytes:
+    return hashlib.blake2b(repr(layer.place or tuple(layer.starts[:1])).encode() + layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _inside(raw: bytes, place: Callable[[int], tuple[int, int]]) -> Iterator[Layer]:
+    """What the compressed streams in ``raw`` hold; ``place`` gives the original stretch of what follows a byte."""
+    for m in _PACKED.finditer(raw):
+        layers = _layers(raw[m.start() :], place(m.start()))
+        next(layers)  # the bytes as they are
+        yield from layers
+
+
+def _escaped_bytes(layer: Layer, stretches: re.Pattern, single: re.Pattern, mark: str) -> Iterator[Layer]:
+    """Compressed streams whose bytes are written as escapes, which begin with ``mark``."""
+    for m in stretches.finditer(layer.text):
+        if mark not in m[0]:
+            continue
+        told = [*single.finditer(m[0])]
+        raw = bytes(int(x[1], 16) if x[1] else _SHORT_ESCAPES.get(x[2], ord(x[2])) if x.re.groups > 1 and x[2] else ord(x[0]) for x in told)
+        yield from _inside(raw, lambda at, m=m, told=told: layer.original(m.start() + told[at].start(), m.end()))
+
+
+def _unescaped(m: re.Match) -> str:
+    code = int(next(filter(None, m.groups())), 16)
+    return chr(code) if code < 0x110000 else "\ufffd"
+
+
+def _from_base64(layer: Layer, m: re.Match) -> Iterator[Layer]:
+    letters = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    for skip in range(min(4, len(letters))):
+        body = letters[skip:]
+        if len(body) % 4 == 1:  # a letter too many at the end
+            body = body[:-1]
+        try:
+            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+        except (binascii.Error, ValueError):
+            continue
+        start, end = m.start() + skip, m.end()
+        yield from _layers(raw, layer.original(start, end))
+        if not _packed(raw[:2]):
+            yield from _inside(raw, lambda at, start=start, end=end: layer.original(start + at // 3 * 4, end))
+
+
 def _unwrapped(layer: Layer, longest: int) -> Iterator[Layer]:
     text = layer.text
     if "%" in text:
         found = _replaced(layer, _PERCENT, lambda m: ((c, 3 * n) for c, n in _characters(bytes.fromhex(m[0].replace("%", "")))))
         if found:
             yield found
-    if "\\u" in text or "\\x" in text:
-        found = _replaced(layer, _ESCAPE, lambda m: [(chr(int(m[1] or m[2], 16)), len(m[0]))])
+            yield from _escaped_bytes(layer, _PERCENT_BYTES, _PERCENT_BYTE, "%")
+    if "\\" in text:
+        found = _replaced(layer, _ESCAPE, lambda m: [(_unescaped(m), len(m[0]))])
         if found:
             yield found
+        if "\\x" in text:
+            yield from _escaped_bytes(layer, _SLASH_BYTES, _SLASH_BYTE, "\\x")
     if longest:
         for m in _BASE64.finditer(text):
-            body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-            if len(body) % 4 == 1:
-                continue
-            try:
-                raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-            except (binascii.Error, ValueError):
-                continue
-            yield from _layers(raw, layer.original(*m.span()))
+            yield from _from_base64(layer, m)
 
 
 def spans(text: str) -> list[tuple[str, int, int]]:
@@ -205,7 +254,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     found = scan(text, run)
     if not run and "%" not in text and "\\" not in text:
         return found
-    seen, held = {hash(text)}, set(found)
+    seen, held = {_mark(first)}, set(found)
     deeper: dict[tuple[str, int, int], None] = {}
     work = [_unwrapped(first, run)]
     while work:
@@ -213,7 +262,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         if layer is None:
             work.pop()
             continue
-        mark = hash((layer.text, layer.place or tuple(layer.starts[:1])))
+        mark = _mark(layer)
         if not layer.text or mark in seen:
             continue
         seen.add(mark)

@@ -155,6 +155,47 @@ def test_secrets_spans_of_escapes_are_exact():
     assert secrets.spans(text) == [("decoded_access", 2, 24)]
 
 
+def percented(raw, every=False):
+    return "".join(f"%{b:02X}" for b in raw) if every else quote(raw, safe="")
+
+
+@pytest.mark.parametrize("glue", ["v/", "id_", "a-", "x", "key_", "abcdefg", "=", ""])
+@pytest.mark.parametrize("raw", [TOLD, gzip.compress(TOLD), zlib.compress(TOLD), TOLD + b"1", TOLD + b"22"])
+def test_secrets_in_base64_behind_glue(glue, raw):
+    for end in ("", "Q"):
+        text = f"at {glue}{b64(raw).rstrip('=') if end else b64(raw)}{end} end"
+        assert any(k == "decoded_access" and s >= 3 for k, s, _ in secrets.spans(text)), text
+
+
+@pytest.mark.parametrize("packed", [gzip.compress(TOLD), zlib.compress(TOLD)])
+def test_secrets_in_escaped_bytes(packed):
+    for hidden in (percented(packed), percented(packed, True), repr(packed)[2:-1], "".join(f"\\x{b:02x}" for b in packed)):
+        for before in ("see ", "https://x.org/?q="):
+            text = f"{before}{hidden} end"
+            assert [k for k, s, e in secrets.spans(text) if len(before) - 2 <= s < e <= len(text)] == ["decoded_access"], text
+
+
+@pytest.mark.parametrize("sign", ["\\u{3d}", "\\u{00003d}", "\\U0000003d", "\\u003d", "\\x3d", "%3d"])
+def test_secrets_in_all_escapes(sign):
+    text = f"a password{sign}hunter22 b"
+    assert secrets.spans(text) == [("decoded_assign", 2, len(text) - 2)]
+    secrets.spans("\\U00FFFFFF \\u{ffffff} \\ud83d")
+
+
+def test_secrets_in_random_nestings():
+    import random
+
+    rng = random.Random(11)
+    wraps = [lambda r: b64(r), lambda r: b64(gzip.compress(r)), lambda r: b64(zlib.compress(r)), lambda r: percented(r), lambda r: percented(gzip.compress(r)), lambda r: repr(zlib.compress(r))[2:-1], lambda r: base64.urlsafe_b64encode(r).decode(), lambda r: "".join(f"\\u{{{c:x}}}" for c in r), lambda r: "".join(f"\\U{c:08x}" for c in r)]
+    missed = 0
+    for _ in range(300):
+        text = f"{rng.choice(['', 'x ', 'pre: '])}{KEY}{rng.choice([' ', ', end'])}"
+        for _ in range(rng.randint(1, 4)):
+            text = rng.choice(["", "", "id_", "a-", "v/", "key: "]) + rng.choice(wraps)(text.encode())
+        missed += not any(k.endswith("access") for k, *_ in secrets.spans(f"{text} end"))
+    assert missed <= 3
+
+
 def test_secrets_end_on_cycles_and_junk(spark, docs_of, odd_rows):
     for text in ("%25" * 50, "%2525252525", "A" * 5000, "\\u005c" * 40, "=" * 99, "%", "\\u"):
         secrets.spans(text)
@@ -222,6 +263,42 @@ def test_leaks_with_any_two_words_substituted(n):
         assert [x[4] for x in found] == [n - 2], (a, b)
 
 
+@pytest.mark.parametrize("n", range(1, 11))
+def test_short_items_with_any_words_substituted_that_the_rule_allows(n):
+    item = [f"v{i}" for i in range(n)]
+    spare = n - decontamination.least_equal(n)
+    for k in range(n + 1):
+        for gone in combinations(range(n), k):
+            found = leaks_of(item, ["XX" if i in gone else w for i, w in enumerate(item)])
+            assert [x[4] for x in found] == ([n - k] if k <= spare else []), gone
+
+
+def test_items_of_all_lengths_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(60)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(k % 40 + 1)), "") for k in range(80)]
+    docs = []
+    for d in range(80):
+        part = items[rng.randrange(80)][1].split()
+        for _ in range(rng.randint(0, 1 + len(part) // 6)):
+            part[rng.randrange(len(part))] = "sub"
+        docs.append((d, " ".join([*rng.choices(words, k=5), *part, *rng.choices(words, k=5)]), ""))
+    want = set()
+    for d, text, _ in docs:
+        t = text.split()
+        for k, item, _ in items:
+            q = item.split()
+            w = min(13, len(q))
+            for diagonal in range(-len(q) + w, len(t) - w + 1):
+                equal = [0 <= diagonal + j < len(t) and t[diagonal + j] == q[j] for j in range(len(q))]
+                inside = [0 <= diagonal + j < len(t) for j in range(len(q))]
+                if any(all(inside[j : j + w]) and 10 * sum(equal[j : j + w]) >= 8 * w for j in range(len(q) - w + 1)):
+                    want.add((d, k))
+    assert {(d, i) for d, i, *_ in leaks(spark, docs, items)} == want
+
+
 @pytest.mark.parametrize("n", [20, 50, 100])
 @pytest.mark.parametrize("at", range(10))
 def test_leaks_with_neighbours_substituted_in_every_ten(n, at):
