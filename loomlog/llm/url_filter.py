@@ -3,7 +3,8 @@
 Host edges are the absolute links of pages, from the linking to the linked host, and weak edges between a
 host and its parent domain. Personalised PageRank from the hosts of allowed pages gives trust; the same
 over reversed edges from the hosts of blocked pages gives distrust. A host is blocked when its distrust
-is above ``THRESHOLD`` times its trust. Rounds go on until every host that links lead to is reached and no
+is above ``THRESHOLD`` times its trust. Rank at hosts without links of their own goes back to the seeds, so trust and distrust
+add up to their seeds' shares. Rounds go on until every host that links lead to is reached and no
 rank moves by more than ``TOLERANCE`` of itself. Everything is DataFrame operations; trust and distrust share
 their rounds, and ranks are kept in the shared folder every few of them.
 
@@ -22,13 +23,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-KEEP_EVERY = 5
+KEEP_EVERY = 8
 #: Ranks are final when none moved by more than this share of itself in ``KEEP_EVERY`` rounds.
 TOLERANCE = 1e-4
 DAMPING = 0.85
 THRESHOLD = 2.0
 PARENT_WEIGHT = 0.1
 
+#: Second-level labels under which the public registers domains in countries; hosts below share no owner.
+PUBLIC_SECOND_LEVELS = ("ac", "co", "com", "edu", "gob", "gov", "gv", "id", "ltd", "mil", "ne", "net", "nom", "or", "org", "sch")
+
 
 class Rule(NamedTuple):
     host: str
@@ -65,16 +69,22 @@ def host_edges(pages: DataFrame) -> DataFrame:
     linked = linked.select("src", F.translate("dst", _UPPER, _LOWER).alias("dst")).filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
     hosts = pages.filter("host <> ''").select("host").distinct()
     up = hosts.select(F.col("host").alias("src"), F.expr("substring(host, instr(host, '.') + 1)").alias("dst")).filter("instr(src, '.') > 0 and instr(dst, '.') > 0")
+    up = up.filter(~F.col("dst").rlike(rf"^({'|'.join(PUBLIC_SECOND_LEVELS)})\.[a-z]{{2}}$"))
     up = up.withColumn("w", F.lit(PARENT_WEIGHT))
     both = linked.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     return both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, *, rounds: int | None = None, damping: float = DAMPING, total: float | None = None) -> DataFrame:
+def page_rank(edges: DataFrame, seeds: DataFrame, *, rounds: int | None = None, damping: float = DAMPING, total: float | None = None, part: Column | None = None) -> DataFrame:
     """(host, rank) from ``edges`` (src, dst, w) and ``seeds`` (host, weight); hosts that are not reached have no row.
 
-    Ranks add up to the seeds' share of ``total``, by default all of it. Without ``rounds`` they converge to ``TOLERANCE``.
+    Ranks of each ``part`` (a short column over host that no edge leaves; by default there is one) add up to its seeds' share of
+    ``total``, by default all of it. Without ``rounds`` they converge to ``TOLERANCE``.
+
+    The rounds let rank at hosts without out-links go. Were it sent back to the seeds each time, r = d M r + c s with a number c
+    for start s, so r is the result of these rounds times a number: ranks are scaled once, at the end.
     """
+    part = F.lit("") if part is None else part
     total = seeds.agg(F.sum("weight")).first()[0] if total is None else total
     out = edges.groupBy("src").agg(F.sum("w").alias("all_w"))
     steps = common.checkpointed(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("all_w")).alias("share")))
@@ -91,7 +101,13 @@ def page_rank(edges: DataFrame, seeds: DataFrame, *, rounds: int | None = None,
                 if (moved or 0.0) <= TOLERANCE:
                     break
                 kept = rank
-    return rank
+    rank = rank if rounds is None else common.checkpointed(rank)
+    held = {r.part: r.rank for r in rank.groupBy(part.alias("part")).agg(F.sum("rank").alias("rank")).collect()}
+    scale = {r.part: r.rank / held[r.part] for r in start.groupBy(part.alias("part")).agg(F.sum("rank").alias("rank")).collect() if held.get(r.part)}
+    factor = F.lit(1.0)
+    for name, by in sorted(scale.items()):
+        factor = F.when(part == name, F.lit(by)).otherwise(factor)
+    return rank.withColumn("rank", F.col("rank") * factor)
 
 
 def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -106,7 +122,7 @@ def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, threshold:
     # one graph of both: "+" before hosts of trust along the links, "-" before hosts of distrust against them
     named = lambda sign, name: F.concat(F.lit(sign), F.col(name))
     signed = edges.select(named("+", "src").alias("src"), named("+", "dst").alias("dst"), "w").unionByName(edges.select(named("-", "dst").alias("src"), named("-", "src").alias("dst"), "w"))
-    ranks = page_rank(signed, seeds.select(F.concat(F.when(F.col("allow"), "+").otherwise("-"), "host").alias("host"), "weight"), total=total)
+    ranks = page_rank(signed, seeds.select(F.concat(F.when(F.col("allow"), "+").otherwise("-"), "host").alias("host"), "weight"), total=total, part=F.substring("host", 1, 1))
     of = lambda sign: F.sum(F.when(F.col("host").startswith(sign), F.col("rank")))
     scores = ranks.groupBy(F.substring("host", 2, 1 << 30).alias("at")).agg(of("+").alias("trust"), of("-").alias("distrust")).withColumnRenamed("at", "host")
     found = told.drop("html").join(scores, "host", "left")

@@ -141,6 +141,9 @@ def brute_rank(edges, seeds, rounds, damping):
         new = defaultdict(float, {h: r * (1 - damping) for h, r in start.items()})
         for (a, b), w in edges.items():
             new[b] += damping * rank.get(a, 0) * w / out[a]
+        lost = damping * sum(r for h, r in rank.items() if h not in out)  # back to the seeds
+        for h, r in start.items():
+            new[h] += lost * r
         rank = new
     return rank
 
@@ -150,9 +153,9 @@ def test_page_rank_equals_brute_force(spark):
     edges = {(f"h{a}", f"h{b}"): float(rng.integers(1, 5)) for a, b in rng.integers(0, 12, (40, 2)) if a != b}
     seeds = {"h1": 2.0, "h5": 1.0}
     df = spark.createDataFrame([(*k, w) for k, w in edges.items()], "src string, dst string, w double")
-    got = {r.host: r["rank"] for r in url_filter.page_rank(df, spark.createDataFrame(list(seeds.items()), "host string, weight double"), rounds=5).collect()}
-    want = brute_rank(edges, seeds, 5, url_filter.DAMPING)
-    assert got.keys() == want.keys() and all(abs(got[h] - want[h]) < 1e-12 for h in want)
+    got = {r.host: r["rank"] for r in url_filter.page_rank(df, spark.createDataFrame(list(seeds.items()), "host string, weight double"), rounds=120).collect()}
+    want = brute_rank(edges, seeds, 300, url_filter.DAMPING)
+    assert got.keys() == want.keys() and all(abs(got[h] - want[h]) < 1e-8 for h in want)
 
 
 def test_page_rank_converges(spark):
@@ -163,10 +166,36 @@ def test_page_rank_converges(spark):
     df = spark.createDataFrame([(*k, w) for k, w in edges.items()], "src string, dst string, w double")
     got = {r.host: r["rank"] for r in url_filter.page_rank(df, spark.createDataFrame(list(seeds.items()), "host string, weight double")).collect()}
     want = brute_rank(edges, seeds, 400, url_filter.DAMPING)
+    assert abs(sum(got.values()) - 1) < 1e-9 and abs(sum(want.values()) - 1) < 1e-9
     assert got.keys() == want.keys() and all(abs(got[h] - want[h]) <= 2 * url_filter.TOLERANCE * want[h] for h in want)
 
 
 def test_distrust_flows_along_a_chain_of_15_hosts(spark):
     rows = [(k, f"http://c{k}.test/", f'<a href="http://c{k + 1}.test/">', "", "") for k in range(15)] + [(99, "http://c15.test/", "", "", "")]
     got = url_filter.judge_pages(spark.createDataFrame(rows, PAGES), (Rule("c15.test", "/", False),)).collect()
-    assert {r.verdict for r in got} == {"block"} and all(abs(r.distrust - 0.15 * 0.85 ** (15 - int(r.host[1:-5]))) < 1e-9 for r in got)
+    whole = sum(0.85**k for k in range(16))
+    assert {r.verdict for r in got} == {"block"} and all(abs(r.distrust - 0.85 ** (15 - int(r.host[1:-5])) / whole) < 1e-9 for r in got)
+
+
+def test_verdicts_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    hosts = [f"h{k}.test" for k in range(16)]
+    links = {h: sorted({hosts[j] for j in rng.integers(0, 16, 2)} - {h}) if k % 4 else [] for k, h in enumerate(hosts)}
+    rows = [(k, f"http://{h}/", "".join(f'<a href="http://{x}/">' for x in links[h]), "", "") for k, h in enumerate(hosts)]
+    rules = (Rule("h1.test", "/", True), Rule("h2.test", "/", False), Rule("h3.test", "/", True), Rule("h6.test", "/", False))
+    seeds = {r.host: r.allow for r in rules}
+    forward = {(a, b): 1.0 for a in hosts for b in links[a]}
+    trust = brute_rank(forward, {h: 1.0 for h, allow in seeds.items() if allow}, 300, url_filter.DAMPING)
+    distrust = brute_rank({(b, a): 1.0 for a, b in forward}, {h: 1.0 for h, allow in seeds.items() if not allow}, 300, url_filter.DAMPING)
+    # links count backwards as they weigh forwards, each host's shares adding up to one
+    got = {r.host: r for r in url_filter.judge_pages(spark.createDataFrame(rows, PAGES), rules).collect()}
+    for h in hosts:
+        assert abs(got[h].trust - trust.get(h, 0) / 2) < 1e-4 and abs(got[h].distrust - distrust.get(h, 0) / 2) < 1e-4
+        want = seeds.get(h, distrust.get(h, 0) <= 2 * trust.get(h, 0))
+        assert got[h].verdict == ("allow" if want else "block")
+    assert {r.verdict for r in got.values() if r.host not in seeds} == {"allow", "block"}
+
+
+def test_hosts_under_public_suffixes_share_no_parent(spark):
+    pages = spark.createDataFrame([("a.co.uk", None), ("x.a.co.uk", None), ("b.co.uk", None)], "host string, html string")
+    assert {(r.src, r.dst) for r in url_filter.host_edges(pages).collect()} == {("x.a.co.uk", "a.co.uk"), ("a.co.uk", "x.a.co.uk")}
