@@ -116,10 +116,12 @@ voted AS (
     FROM f),
 patterns AS (SELECT v, count(*)::DOUBLE AS n FROM voted WHERE NOT base_failed GROUP BY v),
 em AS (
-    SELECT 0 AS round, {prior}::DOUBLE AS prior, {[bad] * len(VOTES)}::DOUBLE[] AS bad, {[good] * len(VOTES)}::DOUBLE[] AS good
+    SELECT 0 AS round, {prior}::DOUBLE AS prior, {[bad] * len(VOTES)}::DOUBLE[] AS bad, {[good] * len(VOTES)}::DOUBLE[] AS good, 1.0::DOUBLE AS moved
     UNION ALL
-    SELECT round + 1, {clamp("sum(g) / sum(n)", "1e-3")}, {rates("n - g")}, {rates("g")}
-    FROM (SELECT round, v, n, n / (1 + exp(-({odds}))) AS g FROM em, patterns WHERE round < {quality.ITERATIONS}) GROUP BY round),
+    SELECT round + 1, p, b, g, greatest(abs(p - prior), list_max(list_transform(b, lambda x, i: abs(x - bad[i]))), list_max(list_transform(g, lambda x, i: abs(x - good[i]))))
+    FROM (
+        SELECT round, any_value(prior) AS prior, any_value(bad) AS bad, any_value(good) AS good, {clamp("sum(g) / sum(n)", "1e-3")} AS p, {rates("n - g")} AS b, {rates("g")} AS g
+        FROM (SELECT em.*, v, n, n / (1 + exp(-({odds}))) AS g FROM em, patterns WHERE moved > {quality.TOLERANCE} AND round < {quality.MOST_ROUNDS}) GROUP BY round)),
 model AS (SELECT prior, bad, good FROM em ORDER BY round DESC LIMIT 1),
 told AS (SELECT voted.*, 1 / (1 + exp(-({odds}))) AS p FROM voted, model)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= {quality.KEEP_AT} AS kept, round(p, 6) AS p_good

@@ -3,7 +3,7 @@
 Each rule votes good (1) or bad (0) on a document or abstains (null). Documents are counted by their
 pattern of votes, at most three to the power of the number of rules; on that small table
 expectation-maximisation estimates, without labels, how often each rule votes bad on good and on bad
-documents and how common bad ones are. A document's posterior probability of being good replaces
+documents and how common bad ones are, until no rate moves by more than ``TOLERANCE``. A document's posterior probability of being good replaces
 the demand that every rule passes.
 
 Cases: null and blank texts have no words and fail the base rules; a null doc_id is kept; repeated rows
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from . import common
 
 SEPARATORS = " \t\n\x0b\f\r"
-ITERATIONS = 25
+#: Rounds end when no rate moved by more than this in one, and in any case after ``MOST_ROUNDS``.
+TOLERANCE = 1e-8
+MOST_ROUNDS = 2000
 KEEP_AT = 0.5
 
 #: Frequent function words of the languages in the corpus.
@@ -156,13 +158,24 @@ class Model:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-log_odds(F.lit(self.prior), rates, F.array(*(vote[k] for k in self.rates)))))
 
 
-def fit(voted: DataFrame, names: list[str], iterations: int = ITERATIONS) -> Model:
+def _moved(old: Column, new: Column) -> Column:
+    """The largest change of a rate."""
+    each = F.zip_with(old["rates"], new["rates"], lambda a, b: F.greatest(F.abs(a["bad"] - b["bad"]), F.abs(a["good"] - b["good"])))
+    return F.greatest(F.abs(old["prior"] - new["prior"]), F.array_max(each))
+
+
+def fit(voted: DataFrame, names: list[str], tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> Model:
     """EM over the vote columns ``names`` of all rows, in one query: rows are counted by pattern, and the patterns,
     at most 3 to the power of the rules, are folded in one row."""
     counts = voted.groupBy(F.array(*names).alias("votes")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    start = F.struct(F.lit(START[2]).alias("prior"), F.array_repeat(F.struct(F.lit(START[0]).alias("bad"), F.lit(START[1]).alias("good")), len(names)).alias("rates"))
+    start = F.struct(F.lit(START[2]).alias("prior"), F.array_repeat(F.struct(F.lit(START[0]).alias("bad"), F.lit(START[1]).alias("good")), len(names)).alias("rates"), F.lit(1.0).alias("moved"))
+
+    def one_round(model: Column, p: Column) -> Column:
+        after = lambda new: F.struct(new["prior"].alias("prior"), new["rates"].alias("rates"), _moved(model, new).alias("moved"))
+        return F.when(model["moved"] <= tolerance, model).otherwise(_let(_maximised(p, model, len(names)), after))
+
     patterns = F.sort_array(F.collect_list(F.struct("votes", "n")))
-    folded = lambda p: F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, lambda model, _: _maximised(p, model, len(names)))
+    folded = lambda p: F.aggregate(F.sequence(F.lit(1), F.lit(most_rounds)), start, lambda model, _: one_round(model, p))
     found = counts.agg(patterns.alias("p")).select(F.when(F.size("p") > 0, _let(F.col("p"), folded)).alias("m")).first().m
     if found is None:
         return Model(dict.fromkeys(names, START[:2]), START[2])
