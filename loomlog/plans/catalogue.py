@@ -21,7 +21,7 @@ from ..functions import text as T
 from ..functions import time as times
 from ..operators import catalog, export, pages, profile, quality, search
 from ..operators.search import SearchFilters
-from ..sources import container, datasource, encoder, files
+from ..sources import container, datasource, encoder, files, zips
 from ..sources.binxml import CHUNK_SIZE
 from ..streaming import ingest
 
@@ -656,3 +656,38 @@ def xml_documents(spark, sf_dir):
     number = F.when(record != "", record.cast("bigint"))
     ends = lambda text: F.count_if(F.col("value") == text).cast("int")
     return lines.groupBy("file").agg(F.count(number).alias("events"), F.sum(number).alias("ids"), ends("<Events>").alias("heads"), ends("</Events>").alias("tails"))
+
+
+def _zips(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of zip files, one for each archive of ``ev``, with its logs."""
+    path = shared.new_folder(spark, "zips")
+    logs = container.read_files(spark, _logs(spark, sf_dir))
+    members = logs.select(F.split(_file_id(), "::")[0].alias("archive"), F.regexp_extract("file", "[^/]*$", 0).alias("name"), "content")
+    zips.write_archives(members, path).write.format("noop").mode("overwrite").save()
+    return path
+
+
+@query(_ROUNDTRIP_SQL)
+def zip_logs(spark, sf_dir):
+    """Logs inside zip files, unpacked as streams of chunks."""
+    found = zips.log_chunks(spark, f"{_zips(spark, sf_dir)}/*.zip")
+    sound = found.withColumn("chunk", F.coalesce("chunk", F.raise_error(F.concat("file", F.lit(": "), "problem")).cast("binary")))
+    return container.events(container.decode(sound.drop("problem"), parts=["events"])).select(*_ROUNDTRIP)
+
+
+@query("SELECT archive_id AS archive, count(DISTINCT file_id) AS logs, true AS whole FROM ev GROUP BY archive_id")
+def zip_directory(spark, sf_dir):
+    """What the directories of zip files say, without their members."""
+    found = zips.directory(spark, f"{_zips(spark, sf_dir)}/*.zip").withColumn("file", F.concat_ws("::", "archive", "name"))
+    whole = (F.col("type") == "evtx") & F.col("problem").isNull() & (F.col("size") % CHUNK_SIZE == 4096)
+    return found.groupBy(F.regexp_extract("archive", r"([^/]*)\.zip$", 1).alias("archive")).agg(F.count_distinct(_file_id()).alias("logs"), F.every(whole).alias("whole"))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents")
+def zip_texts(spark, sf_dir):
+    """Documents as members of zip files of 500 ids each, unpacked and read as texts."""
+    path = shared.new_folder(spark, "zips")
+    members = table(spark, sf_dir, "documents").select(F.concat(F.lit("texts-"), F.expr("doc_id div 500")).alias("archive"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("content"))
+    zips.write_archives(members, path).write.format("noop").mode("overwrite").save()
+    texts = files.text_files(files.read_zip(spark, f"{path}/*.zip"))
+    return texts.select(F.split("name", "[.]")[0].cast("bigint").alias("doc_id"), F.md5("text").alias("digest"))

@@ -2,38 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_type
+from . import zips
 
 VIEWABLE = ("evtx", "json", "txt", "xml")
-MEMBERS = "archive string, name string, size bigint, compressed_size bigint, content binary, problem string"
-_KINDS = pa.schema([("archive", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("compressed_size", pa.int64()), ("content", pa.binary()), ("problem", pa.string())])
-
-
-def _zip_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            try:
-                archive = zipfile.ZipFile(io.BytesIO(content.as_py()))
-            except zipfile.BadZipFile as e:
-                yield pa.RecordBatch.from_pylist([{"archive": path, "problem": str(e)}], schema=_KINDS)
-                continue
-            for m in archive.infolist():
-                if m.is_dir() or not m.filename:
-                    continue
-                row = {"archive": path, "name": m.filename, "size": m.file_size, "compressed_size": m.compress_size}
-                try:
-                    row["content"] = archive.read(m)
-                except (zipfile.BadZipFile, NotImplementedError, RuntimeError, OSError) as e:
-                    row["problem"] = str(e)
-                yield pa.RecordBatch.from_pylist([row], schema=_KINDS)  # a member at a time bounds memory
 
 
 def read_zip(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -41,8 +16,7 @@ def read_zip(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     A member that cannot be extracted has no content and tells its problem.
     """
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_zip_members, MEMBERS)
-    return found.select("archive", "name", file_type(F.col("name")).alias("type"), "size", "compressed_size", "content", "problem")
+    return zips.read_members(spark, path).drop("place")
 
 
 def read_single(spark: SparkSession, path: str | list[str]) -> DataFrame:
