@@ -19,7 +19,7 @@ from .. import shared
 from ..functions import decode
 from ..functions import text as T
 from ..functions import time as times
-from ..operators import catalog, export, pages, profile, quality, search
+from ..operators import catalog, export, pages, profile, quality, search, textindex
 from ..operators.search import SearchFilters
 from ..sources import container, datasource, encoder, files, zips
 from ..sources.binxml import CHUNK_SIZE
@@ -691,3 +691,33 @@ def zip_texts(spark, sf_dir):
     zips.write_archives(members, path).write.format("noop").mode("overwrite").save()
     texts = files.text_files(files.read_zip(spark, f"{path}/*.zip"))
     return texts.select(F.split("name", "[.]")[0].cast("bigint").alias("doc_id"), F.md5("text").alias("digest"))
+
+
+_INDEXED_TEXTS: dict[tuple[str, str], textindex.TextIndex] = {}
+
+
+def _text_index(spark: SparkSession, sf_dir: str) -> textindex.TextIndex:
+    """``ev`` with filters of its blocks, in two parts, written once for each session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXED_TEXTS:
+        held = textindex.TextIndex(spark, shared.new_folder(spark, "texts"), block_rows=256)
+        rows = ev(spark, sf_dir)
+        for half in (F.col("level") > 3, F.col("level") <= 3):
+            held.append(rows.filter(half).orderBy("timestamp"))
+        _INDEXED_TEXTS[key] = held
+    return _INDEXED_TEXTS[key]
+
+
+_HOLDS = " OR ".join(f"contains(lower({c}), 'cents: 123')" for c in search.QUERY_COLUMNS)
+
+
+@query(f"{_HITS} WHERE {_HOLDS} {_TOP} 1000")
+def search_indexed(spark, sf_dir):
+    """A text that few blocks hold: the others stay unread."""
+    return _text_index(spark, sf_dir).search(SearchFilters(query="Cents: 123")).select(*_HIT)
+
+
+@query(f"{_HITS} WHERE level IN (1, 2, 5) AND (contains(lower(provider), 'view') OR contains(lower(provider), 'err')) AND contains(lower(computer), 'ost1') AND ({_HOLDS.replace('cents: 123', 'ts: 4')}) {_TOP} 100")
+def search_indexed_combined(spark, sf_dir):
+    """Texts in several columns and a list beside them."""
+    return _text_index(spark, sf_dir).search(SearchFilters(query="TS: 4", levels=(1, 2, 5), providers=("View", "ERR"), computers=("ost1",)), 100).select(*_HIT)

@@ -26,3 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path for a new table in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """(path, file system) of Hadoop."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no folder."""
+    found, fs = hadoop_path(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(found)) if fs.exists(found) else []
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    old, fs = hadoop_path(spark, source)
+    new, _ = hadoop_path(spark, target)
+    fs.mkdirs(new.getParent())
+    if not fs.rename(old, new):
+        raise OSError(f"cannot rename {source} to {target}")
