@@ -19,7 +19,7 @@ FUNCTIONS = {
         transform(filter(sequence(0, 255), i -> i < cast(conv(hex(substring(b, 2, 1)), 16, 10) AS INT) AND 12 + 4 * i <= length(b)), i -> {_LE32.format("8 + 4 * i")})), '-') END""",
     "filetime_ticks(b BINARY) RETURNS DECIMAL(20,0)": "CAST(conv(concat(" + ", ".join(f"hex(substring(b, {i}, 1))" for i in range(8, 0, -1)) + "), 16, 10) AS DECIMAL(20,0))",
     "filetime_iso(ticks BIGINT) RETURNS STRING": """CASE WHEN ticks = 0 THEN '' ELSE concat(date_format(timestamp_seconds(floor(ticks / 10000000BD) - 11644473600), "yyyy-MM-dd'T'HH:mm:ss."), lpad(CAST(pmod(ticks, 10000000) AS STRING), 7, '0'), 'Z') END""",
-    "hex32(n BIGINT) RETURNS STRING": "concat('0x', lower(lpad(hex(n), 8, '0')))",
+    "hex32(n BIGINT) RETURNS STRING": "concat('0x', lower(lpad(hex(n), greatest(length(hex(n)), 8), '0')))",
     "xml_escape(s STRING) RETURNS STRING": """replace(replace(replace(replace(replace(s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), "'", '&apos;')""",
     "event_data_kv(s STRING) RETURNS TABLE (label STRING, value STRING)": f"SELECT regexp_extract(x, {_KEY_VALUE}, 1), regexp_extract(x, {_KEY_VALUE}, 2) FROM (SELECT explode(transform(split(s, '\\n'), y -> trim(y))) AS x) WHERE x RLIKE {_KEY_VALUE}",
 }

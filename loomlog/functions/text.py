@@ -34,7 +34,9 @@ def trim(text: Column) -> Column:
 
 
 def hex32(n: Column) -> Column:
-    return F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(n), 8, "0")))
+    """At least eight digits; larger and negative numbers keep all of theirs."""
+    digits = F.lower(F.hex(n))
+    return F.concat(F.lit("0x"), F.lpad(digits, F.greatest(F.length(digits), F.lit(8)), F.lit("0")))
 
 
 def hex_dump(data: Column) -> Column:

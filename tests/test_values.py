@@ -44,3 +44,13 @@ def test_native_filetime_matches(spark):
     ticks = [0, 1, 116444736000000000, 133500000001234567, 2650467743999999999, 2650467744000000000, 2**63, 2**64 - 1, 9999999]
     rows = spark.createDataFrame([(str(t),) for t in ticks], "t string").select("t", filetime_iso(F.col("t").cast("decimal(20,0)")).alias("iso")).collect()
     assert {r.t: r.iso for r in rows} == {str(t): values.filetime_text(t) for t in ticks}
+
+
+def test_hex_keeps_all_digits(spark):
+    from loomlog.functions import register, text
+
+    register.register(spark)
+    numbers = [0, 60000, 2**32 - 1, 2**32, 7919 * 10**6, 2**63 - 1, -1, -5 * 7919, -(2**63), None]
+    wanted = [None if n is None else f"0x{n % 2**64:08x}" for n in numbers]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(numbers)], "i int, n bigint").orderBy("i")
+    assert [tuple(r) for r in rows.select(text.hex32(rows.n), "n").selectExpr("*", "hex32(n)").drop("n").collect()] == [(w, w) for w in wanted]
