@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from . import common
 
 KEEP_EVERY = 8
+#: Edges for each task of a round, where there are more than the cores take.
+EDGES_EACH = 250_000
 #: Ranks are final when none moved by more than this share of itself in ``KEEP_EVERY`` rounds.
 TOLERANCE = 1e-4
 DAMPING = 0.85
@@ -88,11 +90,14 @@ def page_rank(edges: DataFrame, seeds: DataFrame, *, rounds: int | None = None,
     total = seeds.agg(F.sum("weight")).first()[0] if total is None else total
     out = edges.groupBy("src").agg(F.sum("w").alias("all_w"))
     steps = common.checkpointed(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("all_w")).alias("share")))
-    start = seeds.select("host", (F.col("weight") / F.lit(float(total or 1))).alias("rank"))
+    # a round's tasks go by the size of the graph: each writes files for its shuffle, and rounds are many
+    tasks = max(seeds.sparkSession.sparkContext.defaultParallelism, -(-steps.count() // EDGES_EACH))
+    steps = steps.coalesce(tasks)
+    start = seeds.select("host", (F.col("weight") / F.lit(float(total or 1))).alias("rank")).coalesce(tasks)
     rank = kept = start
     for k in itertools.count() if rounds is None else range(rounds):
         moved = rank.withColumnRenamed("host", "src").join(steps, "src").select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        rank = moved.unionByName(start.select("host", (F.col("rank") * (1 - damping)).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
+        rank = moved.unionByName(start.select("host", (F.col("rank") * (1 - damping)).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank")).coalesce(tasks)
         if (k + 1) % KEEP_EVERY == 0:
             rank = common.checkpointed(rank)
             if rounds is None:

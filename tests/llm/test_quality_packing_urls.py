@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomlog.llm import packing, quality, url_filter
@@ -199,3 +200,19 @@ def test_verdicts_equal_brute_force(spark):
 def test_hosts_under_public_suffixes_share_no_parent(spark):
     pages = spark.createDataFrame([("a.co.uk", None), ("x.a.co.uk", None), ("b.co.uk", None)], "host string, html string")
     assert {(r.src, r.dst) for r in url_filter.host_edges(pages).collect()} == {("x.a.co.uk", "a.co.uk"), ("a.co.uk", "x.a.co.uk")}
+
+
+def test_rounds_take_tasks_by_the_graph(spark):
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    held = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(f"h{i}", f"h{(i * 7 + 1) % 40}", 1.0) for i in range(40)], "src string, dst string, w double")
+        seeds = spark.createDataFrame([("h0", 1.0), ("h5", 2.0)], "host string, weight double")
+        rank = url_filter.page_rank(edges, seeds, rounds=4)
+        assert rank.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism  # 64 before, and as many shuffle files in every round
+        assert abs(rank.agg(F.sum("rank")).first()[0] - 1) < 1e-9
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
