@@ -7,6 +7,7 @@ date range reach the scan; substring predicates are checked behind it.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -22,6 +23,9 @@ BOX_LIMIT = 100
 PAGE_SIZES = (50, 100, 250, 500)
 QUERY_COLUMNS = ("event_data", "provider", "event_id", "computer")
 VIEWER_COLUMNS = (*QUERY_COLUMNS, "channel")
+#: Rows that a top-n may hold to reach a page; deeper pages are narrowed down to so many first.
+NEAR_ROWS = 10_000
+_PIVOTS, _ROUNDS = 32, 20
 
 
 @dataclass(frozen=True)
@@ -159,10 +163,44 @@ class Page:
         return f"Page {self.index + 1} of {self.pages} ({self.start + 1}–{self.end} of {self.total})"
 
 
+def _around(events: DataFrame, key: Column, p: Page) -> tuple[DataFrame, int]:
+    """Rows of ``events`` around a page in the order of ``key``, all of it among them, and how many rows come before these.
+
+    Rounds draw keys at random, count the rows between them by partial aggregates and go on with those between the keys
+    around the page. The keys only say where to cut; counts are exact, and no rows are sorted or meet in one task.
+    """
+    kind, inside, before, held = events.select(key.alias("k")).schema["k"].dataType, events, 0, p.total
+    for _ in range(_ROUNDS):
+        if held <= NEAR_ROWS:
+            break
+        drawn = inside.select(key.alias("k")).orderBy(F.rand()).limit(_PIVOTS).distinct().orderBy("k").collect()
+        pivots = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r.k, kind, strict=True))) for r in drawn]
+        part = reduce(lambda a, b: a + b, [(key > x).cast("int") for x in pivots], F.lit(0))  # part i ends with pivot i
+        counts = {r.part: r["count"] for r in inside.groupBy(part.alias("part")).count().collect()}
+        ends = list(itertools.accumulate(counts.get(i, 0) for i in range(len(pivots) + 1)))
+        first, last = (next((i for i, end in enumerate(ends) if before + end > rank), len(pivots)) for rank in (p.start, p.end - 1))
+        inside = inside.filter(key > pivots[first - 1]) if first else inside
+        inside = inside.filter(key <= pivots[last]) if last < len(pivots) else inside
+        skipped = ends[first - 1] if first else 0
+        left = ends[last] - skipped
+        before += skipped
+        if left == held:
+            break  # equal keys
+        held = left
+    return inside, before
+
+
 def page(events: DataFrame, number: int, size: int = 100, order: Sequence[Column | str] | None = None, total: int | None = None) -> DataFrame:
-    """One page in natural order; numbers beyond the last page mean the last page."""
+    """One page in natural order, or by ``order``; numbers beyond the last page mean the last page.
+
+    A page that is far from the beginning is found by counts, so only rows around it are sorted. Rows with equal keys
+    at the page are sorted together, and all rows where ``order`` has columns with a direction (``desc()``).
+    """
     p = Page(number, size, events.count() if total is None else total)
-    return events.orderBy(*(order or natural())).offset(p.start).limit(p.size)
+    order = order or natural()
+    plain = not any(repr(c).endswith((" NULLS FIRST'>", " NULLS LAST'>")) for c in order)
+    rows, before = _around(events, F.struct(*order), p) if plain and p.end > NEAR_ROWS else (events, 0)
+    return rows.orderBy(*order).offset(p.start - before).limit(p.size)
 
 
 def page_info(events: DataFrame, number: int, size: int = 100) -> DataFrame:

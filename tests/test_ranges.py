@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomlog.operators import profile, quality
+from loomlog.operators import profile, quality, search
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -96,3 +96,19 @@ def test_pages_of_no_logs(spark, tmp_path):
     (tmp_path / "a.evtx").write_bytes(encoder.file_header())
     p = pages.LogPages(spark, str(tmp_path), str(tmp_path / "sums")).build()
     assert p.total() == 0 and p.page(3, 50).count() == 0
+
+
+def test_deep_pages_sort_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(search, "NEAR_ROWS", 300)
+    rows = [(i % 7 or None, f"t{i * 7919 % 5003:04d}", float("nan") if i % 11 == 0 else i / 3) for i in range(5003)]
+    df = spark.createDataFrame(rows, "a int, b string, c double").repartition(5)
+    wanted = [r.b for r in df.orderBy("a", "c", "b").collect()]
+    for number, size in [(0, 50), (7, 100), (23, 100), (10**6, 500), (99, 50)]:
+        found = search.page(df, number, size, ("a", "c", "b"))
+        at = min(number, -(-5003 // size) - 1) * size
+        assert [r.b for r in found.collect()] == wanted[at : at + size]
+    inside, before = search._around(df, F.struct("a", "c", "b"), search.Page(10**6, 500, 5003))
+    assert inside.count() <= 500 and before + inside.count() == 5003  # all rows went to one task before
+    assert search.page(df.withColumn("a", F.lit(1)), 30, 100, ("a",)).count() == 100  # equal keys
+    assert search.page(df, 60, 50, (F.desc("b"),)).first().b == "t2002"
+    assert search.page(df.limit(0), 3, 50, ("b",)).count() == 0
