@@ -35,7 +35,9 @@ records array<struct<{", ".join(x.replace(" ", ":", 1) for x in _RECORD.split(",
 events array<struct<{", ".join(x.replace(" ", ":", 1) for x in _EVENT.split(", "))}>>,
 template_defs array<struct<def_data_offset:bigint, guid:string, data_size:bigint, first_seen_record:decimal(20,0)>>,
 reference_count bigint, missing_refs array<struct<record_id:decimal(20,0), guid:string, def_data_offset:bigint>>,
-parse_errors array<struct<record_id:decimal(20,0), error:string>>"""
+parse_errors array<struct<record_id:decimal(20,0), error:string>>, record_count bigint"""
+#: Parts for which the binary XML of the records is read.
+_READ = frozenset(("events", "template_defs", "reference_count", "missing_refs", "parse_errors"))
 
 
 def little_endian(data: Column, at: int, width: int) -> Column:
@@ -90,19 +92,27 @@ def walk(chunk: bytes) -> Iterator[tuple[int, int, int, int, int]]:
         at += size
 
 
-def decode_chunk(chunk: bytes) -> dict:
-    """All that one chunk tells, as a row of ``DECODED`` without its place; nested rows are tuples in the order of their fields."""
+def decode_chunk(chunk: bytes, parts: Sequence[str] | None = None) -> dict:
+    """All that one chunk tells, as a row of ``DECODED`` without its place; nested rows are tuples in the order of their fields.
+
+    Of other parts than ``parts`` only what costs nothing is told.
+    """
+    asked = _READ | {"records"} if parts is None else frozenset(parts)
     numbers = struct.unpack_from("<QQQQIIII", chunk, 8)
     xml = ChunkXml(chunk)
     heads = struct.unpack_from("<32I", chunk, 384)
     xml.preload(heads)
-    records, events = [], []
+    records, events, seq = [], [], -1
+    with_records, with_events, reading = "records" in asked, "events" in asked, bool(asked & _READ)
     for seq, (at, size, record, ticks, copy) in enumerate(walk(chunk)):
         begin, end = at + 24, at + size - 4
-        records.append((seq, at, record, ticks, size, copy, size - RECORD_FRAME, chunk[begin] if end > begin else None, chunk[begin:end]))
-        text, _ = xml.event(record, begin, end)
-        event_id, level, *rest = xml.fields(text)
-        events.append((seq, record, ticks, text, level, event_id, *rest))
+        if with_records:
+            records.append((seq, at, record, ticks, size, copy, size - RECORD_FRAME, chunk[begin] if end > begin else None, chunk[begin:end]))
+        if reading:
+            text, _ = xml.event(record, begin, end)
+        if with_events:
+            event_id, level, *rest = xml.fields(text)
+            events.append((seq, record, ticks, text, level, event_id, *rest))
     flags, checksum = struct.unpack_from("<II", chunk, 120)
     audit = xml.audit
     return {
@@ -113,6 +123,7 @@ def decode_chunk(chunk: bytes) -> dict:
         "reference_count": audit.references,
         "missing_refs": audit.missing,
         "parse_errors": audit.errors,
+        "record_count": seq + 1,
     }
 
 
@@ -128,10 +139,10 @@ def _column(found: Sequence, kind: pa.DataType) -> pa.Array:
     return pa.array(found, kind)
 
 
-def decode(cut: DataFrame, *, parallelism: int | None = None, parts: Sequence[str] | None = None) -> DataFrame:
+def decode(cut: DataFrame, *, parallelism: int | None = None, parts: Sequence[str] | None = None, spread: bool = True) -> DataFrame:
     """One row ``DECODED`` for each chunk of ``cut`` (file, chunk_index, chunk_start, chunk), or only its columns ``parts`` besides the place.
 
-    Chunks of one file come from one input row, so they are spread before decoding.
+    Chunks of one file come from one input row, so they are spread before decoding; without ``spread`` they are decoded where they are.
     """
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
@@ -144,13 +155,14 @@ def decode(cut: DataFrame, *, parallelism: int | None = None, parts: Sequence[st
         for b in batches:
             for i in range(0, b.num_rows, 16):  # some MB of nested rows at a time
                 part = b.slice(i, 16)
-                rows = [decode_chunk(c.as_py()) for c in part.column(3)]
+                rows = [decode_chunk(c.as_py(), parts) for c in part.column(3)]
                 columns = [part.column(k).cast(kinds.field(k).type) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([*columns, *(_column([r[f.name] for r in rows], f.type) for f in list(kinds)[3:])], schema=kinds)
 
     spark = cut.sparkSession
     n = parallelism or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return cut.select("file", "chunk_index", "chunk_start", "chunk").repartition(n, "file", "chunk_index").mapInArrow(run, schema)
+    cut = cut.select("file", "chunk_index", "chunk_start", "chunk")
+    return (cut.repartition(n, "file", "chunk_index") if spread else cut).mapInArrow(run, schema)
 
 
 def events(decoded: DataFrame) -> DataFrame:
@@ -188,16 +200,16 @@ def template_defs(decoded: DataFrame) -> DataFrame:
 
 
 def file_summary(decoded: DataFrame) -> DataFrame:
-    """Totals of each file; a definition counts once a file by its GUID."""
-    guids = decoded.select("file", F.explode("template_defs.guid").alias("guid")).groupBy("file").agg(F.count_distinct("guid").alias("definition_count"))
-    totals = decoded.groupBy("file").agg(
-        F.count(F.lit(1)).alias("num_chunks"),
-        F.sum(F.size("events")).cast("bigint").alias("total_records"),
-        F.sum("reference_count").alias("reference_count"),
-        F.sum(F.size("missing_refs")).cast("bigint").alias("missing_count"),
-        F.sum(F.size("parse_errors")).cast("bigint").alias("parse_error_count"),
-    )
-    return totals.join(guids, "file", "left").select("file", "num_chunks", "total_records", F.coalesce("definition_count", F.lit(0)).cast("bigint").alias("definition_count"), "reference_count", "missing_count", "parse_error_count")
+    """Totals of each file; a definition counts once a file by its GUID.
+
+    Numbers and GUIDs of a chunk are rows of one pass, so chunks are decoded once.
+    """
+    of_chunk = {"num_chunks": F.lit(1), "total_records": F.col("record_count"), "reference_count": F.col("reference_count"), "missing_count": F.size("missing_refs"), "parse_error_count": F.size("parse_errors")}
+    row = lambda guid, numbers: F.struct(guid.cast("string").alias("guid"), *(c.cast("bigint").alias(n) for n, c in numbers.items()))
+    rows = F.concat(F.array(row(F.lit(None), of_chunk)), F.transform(F.array_distinct("template_defs.guid"), lambda g: row(g, dict.fromkeys(of_chunk, F.lit(0)))))
+    sums = [F.sum(n).alias(n) for n in of_chunk]
+    found = decoded.select("file", F.inline(rows)).groupBy("file", "guid").agg(*sums).groupBy("file").agg(*sums, F.count("guid").alias("definition_count"))
+    return found.select("file", "num_chunks", "total_records", "definition_count", "reference_count", "missing_count", "parse_error_count")
 
 
 def first_seen(decoded: DataFrame) -> DataFrame:

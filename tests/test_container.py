@@ -266,3 +266,12 @@ def test_upper_middle_of_samples(spark):
     rows = [("a", 3.0), ("a", 1.0), ("a", 2.0), ("a", 2.0), ("b", None), (None, 5.0)]
     got = {r.k: (r.min, r.max, r.median) for r in profile.sample_statistics(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
     assert got == {"a": (1.0, 3.0, 2.0), "b": (None, None, None), None: (5.0, 5.0, 5.0)}
+
+
+def test_summary_decodes_once_and_no_events(spark):
+    from loomlog.plans import catalogue
+
+    found = catalogue.template_stats(spark, "/root/testdata/sf0.001")
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted").split("(1)")[0]
+    assert plan.count("MapInArrow") == 1 and "events" not in container.decode(catalogue._chunks(spark, "/root/testdata/sf0.001"), parts=["record_count"]).columns
+    assert sum(r.total_records for r in found.collect()) == 1000
