@@ -14,7 +14,7 @@ import hashlib
 import uuid
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import container, files
@@ -166,8 +166,10 @@ class Catalog:
         n = marks.count()
         if n:
             taken = self.table("files").join(marks.select(F.col("file_id").alias("id"), "archive_id"), ["id", "archive_id"], "left_semi")
-            parsed = container.events(container.decode(container.chunks(taken.select(F.col("id").alias("file"), F.col("blob").alias("content")))))
-            rows = index_rows(parsed.withColumnRenamed("file", "file_id"), taken, self.table("archives"))
+            copies = self._copies(taken, staged)
+            own = taken.join(copies.filter("file_id = file").select(F.col("file_id").alias("id")), "id", "left_semi")
+            parsed = container.events(container.decode(container.chunks(own.select(F.col("id").alias("file"), F.col("blob").alias("content"))), parts=["events"]))
+            rows = index_rows(parsed.join(copies, "file").drop("file"), taken, self.table("archives"))
             self._write_events(rows, staged, target)
             if not self.table("marks").join(marks, "file_id", "left_semi").isEmpty():
                 raise RuntimeError("another commit has indexed some of these files")
@@ -175,6 +177,13 @@ class Catalog:
         self._remove(staged)
         return n
 
+    def _copies(self, taken: DataFrame, staged: str) -> DataFrame:
+        """(file_id, file): of each file that is taken the first of those with the same content, which is decoded for all of them."""
+        told = taken.select(F.col("id").alias("file_id"), F.sha2("blob", 256).alias("content"))
+        first = F.min("file_id").over(Window.partitionBy("content"))  # ids and hashes only
+        told.select("file_id", first.alias("file")).write.parquet(f"{staged}/copies")
+        return self.spark.read.schema("file_id string, file string").parquet(f"{staged}/copies")
+
     def _write_events(self, rows: DataFrame, staged: str, target: str) -> None:
         """Events are decoded once; a second pass over ids and places alone tells whether any come again."""
         rows.write.partitionBy("archive_id").parquet(f"{staged}/events")

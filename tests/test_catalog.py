@@ -115,3 +115,17 @@ def test_cached_parses_are_updated(spark):
     assert cache.update("a", spark.range(5)).count() == 5 == cache.get("a", lambda: spark.range(1)).count()
     assert cache.stats() == {"logs": 1, "others": 0}
     cache.clear()
+
+
+def test_files_of_equal_content_are_decoded_once(spark, tmp_path, monkeypatch):
+    rows = lambda n: [{"record_id": i, "ticks": 133500000000000000 + i, "provider": "P", "event_id": "1", "level": 4, "channel": "C", "computer": "H", "event_data": f"d{i}"} for i in range(1, n)]
+    same, other = (bytearray(b"".join(encoder.encode(rows(n)))) for n in (20, 30))
+    members = spark.createDataFrame([("x.evtx", same), ("y.evtx", other)], "name string, content binary").selectExpr("name", "'evtx' as type", "length(content) + 0L as size", "content")
+    held, cuts, decode = catalog.Catalog(spark, str(tmp_path / "c")), [], catalog.container.decode
+    for name in ("a", "b"):
+        held.store(members, name, datetime(2024, 1, 1, tzinfo=UTC))
+    monkeypatch.setattr(catalog.container, "decode", lambda cut, **more: (cuts.append(cut.count()), decode(cut, **more))[1])
+    assert held.index() == 4 and cuts == [2]  # 4 before
+    found = {r.file_id: r["count"] for r in held.events().groupBy("file_id").count().collect()}
+    assert found == {f"{k}_1704067200000::{f}": n for k in "ab" for f, n in (("x.evtx", 19), ("y.evtx", 29))}
+    assert held.events().select("id").distinct().count() == 96 and held.unindexed().count() == 0
