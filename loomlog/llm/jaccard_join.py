@@ -4,13 +4,15 @@
    more) and a key of the set. Equal sets are one class; one representative of each class is compared.
 2. Two sets that overlap enough share one of their first few shingles in any fixed order. Frequent shingles
    come last in that order, so common passages do not bring unlike documents together. Shingle by shingle
-   the documents meet in tiles, banded by size: only sizes that allow the threshold are paired.
+   the documents meet in tiles, banded by size: only sizes that allow the threshold are paired, and only where
+   enough of both sets lies behind the shingle, which holds at the first one that two such sets share.
 3. In a small tile pairs are listed once, and the bit counts of their bitmaps bound the overlap from above.
-   What passes forms groups around the least document that it leads to. A larger tile is a group by its
-   least document, so that the tiles of one cluster meet in one; where it has more than ``BLOCK`` documents
-   it is cut into blocks by size, and each pair of blocks is a group. A group is compared where its bitmaps
+   What passes forms groups around the least document that it leads to. To a larger tile each document sends its
+   bitmap, and what these leave connected is a group by its least document, so that the tiles of one cluster meet
+   in one; so documents of one common passage cost a bitmap each and no pairs. A tile of more than ``BLOCK``
+   documents is cut into blocks by size, and each pair of blocks is compared. A group is compared where its bitmaps
    and sorted arrays are: pairs that are connected already are skipped, then bounded by bit counts, then
-   intersected exactly. It returns a spanning forest, never all pairs.
+   intersected exactly. It returns a spanning forest, never all pairs. Only texts that a group asks for are sent.
    Shingles that, by the counts of all documents, more than ``BLOCK`` documents have are crowded and never meet in
    one task. Representatives that share one follow the least document of it. They are compared in hashed blocks,
    each with the least document of its band of sizes, which connects a cluster of near copies in linear work. Only what
@@ -38,7 +40,7 @@ from . import common, repeats
 
 SHINGLE = 4
 PERCENT = 85
-SMALL_TILE = 128
+SMALL_TILE = 8
 BLOCK = 4096
 HOT_LOCAL = 3
 HOT_LEAST = 24
@@ -46,12 +48,15 @@ HOT_SHARE = 1e-4
 HUB = 10_000
 HUB_SHARE = 1e-4
 FLUSH_TOKENS = 200_000
+PAGE_BITS = 1 << 19
+FILTER_BITS = 1 << 28
 
-_TOKEN = np.dtype([("token", "<u8"), ("doc", "<i8"), ("check", "<u4"), ("n", "<i4")])
+_TOKEN = np.dtype([("token", "<u8"), ("doc", "<i8"), ("check", "<u4"), ("n", "<i4"), ("at", "<i4")])
 _PAIR = np.dtype([("doc", "<i8"), ("check", "<u4"), ("doc2", "<i8"), ("check2", "<u4")])
-_ASK = np.dtype([("doc", "<i8"), ("check", "<u4"), ("start", "<i4"), ("group", "<u8"), ("side", "u1")])
 _HEAD = np.dtype([("group", "<u8"), ("doc", "<i8"), ("check", "<u4"), ("n", "<i4"), ("side", "u1")])
 TOKENS, PAIRS, ASKED, ARRAYS, CROWDED = 0, 1, 2, 3, 4
+#: What tiles give. The last two are place and check of the other document, group and side, or token and size.
+TILED = "kind int, place bigint, check bigint, x bigint, y bigint"
 LINKS = "doc bigint, check bigint, doc2 bigint, check2 bigint"
 _SHORT = np.uint64((1 << 48) - 1)
 LEFT, RIGHT, ALL = 0, 1, 2
@@ -101,6 +106,53 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -((-percent * n) // 100) + 1
 
 
+class _Filter:
+    """A bit for the hash of each document of ``found`` (place, check); documents without a bit are surely not among them.
+
+    Sixteen bits a document, up to ``FILTER_BITS``: a larger table only lets more documents pass that are none of it.
+    """
+
+    def __init__(self, found: DataFrame) -> None:
+        count = found.count()
+        self.bits = min(FILTER_BITS, max(PAGE_BITS, 1 << (16 * count).bit_length()))
+        slot = F.pmod(self.hashed(), F.lit(self.bits))
+        slots = found.select(F.shiftright(slot, PAGE_BITS.bit_length() - 1).cast("int").alias("page"), slot.bitwiseAND(PAGE_BITS - 1).cast("int").alias("at"))
+        self.held = np.zeros(self.bits // 8, dtype=np.uint8)
+        size = PAGE_BITS // 8
+        for r in slots.repartition("page").mapInArrow(self._pages, "page int, held binary").toLocalIterator():
+            self.held[r.page * size : (r.page + 1) * size] = np.frombuffer(r.held, dtype=np.uint8)
+        self.shared = found.sparkSession.sparkContext.broadcast((self.bits, self.held))
+
+    @staticmethod
+    def hashed() -> Column:
+        return F.xxhash64("place", "check")
+
+    @staticmethod
+    def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            page, at = (np.asarray(b.column(i)) for i in (0, 1))
+            for p in np.unique(page).tolist():
+                held.setdefault(p, np.zeros(PAGE_BITS, dtype=bool))[at[page == p]] = True
+        for p, on in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], names=["page", "held"])
+
+    @staticmethod
+    def passed(shared, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows that may be among the documents; their last column is ``hashed``."""
+        bits, held = shared.value
+        slot = np.asarray(batch.column(batch.num_columns - 1)).view(np.uint64) & np.uint64(bits - 1)
+        return batch.filter(pa.array(held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1))
+
+
+def _passing(shared) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _Filter.passed(shared, b).select(["place", "check", "text"])
+
+    return common.trimmed(run)
+
+
 def _describe(k: int) -> Callable:
     """(doc_id, place, check, text) to sizes, set keys and bitmaps."""
 
@@ -164,8 +216,8 @@ class Order:
         return np.concatenate((rare, s[mine[np.argsort(self.rank[at[mine]])][: m - len(rare)]]))
 
 
-def _prefixes(order, k: int, percent: int, buckets: int) -> Callable:
-    """(place, check, text) to blobs of prefix shingles; of equal sets in a flush only the first is sent."""
+def _prefixes(order, reps, k: int, percent: int, buckets: int) -> Callable:
+    """(place, check, text, hash) to blobs of prefix shingles of what passes the filter ``reps``; of equal sets in a flush only the first is sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks: Order = order.value
@@ -181,6 +233,7 @@ def _prefixes(order, k: int, percent: int, buckets: int) -> Callable:
             return out.take()
 
         for b in batches:
+            b = _Filter.passed(reps, b)
             place, check = (np.asarray(b.column(i)) for i in (0, 1))
             for d, s in shingle_sets(b.column(2), k):
                 key = set_key(s)
@@ -189,7 +242,7 @@ def _prefixes(order, k: int, percent: int, buckets: int) -> Callable:
                 seen.add(key)
                 first = ranks.first(s, prefix_length(len(s), percent))
                 rows = np.empty(len(first), dtype=_TOKEN)
-                rows["token"], rows["doc"], rows["check"], rows["n"] = first & _SHORT, place[d], check[d], len(s)
+                rows["token"], rows["doc"], rows["check"], rows["n"], rows["at"] = first & _SHORT, place[d], check[d], len(s), np.arange(len(first))
                 held.append(rows)
                 count += len(rows)
                 if count >= FLUSH_TOKENS:
@@ -201,19 +254,33 @@ def _prefixes(order, k: int, percent: int, buckets: int) -> Callable:
     return common.trimmed(run)
 
 
-def _tiles(percent: int, buckets: int, small: int, block: int) -> Callable:
-    """Blobs of prefix shingles to listed pairs of small tiles and to memberships in block pairs of larger ones."""
+def has_partner(n: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """Of members of a tile, ordered by size, with the places of its shingle in them: whether enough of the set lies behind that for any other member."""
+    low = np.searchsorted(100 * n, percent * n)  # the smallest set that is large enough, and if that is the set itself, the next one
+    i = np.arange(len(n))
+    other = np.where(low < i, low, np.minimum(i + 1, len(n) - 1))
+    return (other != i) & (percent * n[other] <= 100 * n) & (n - at >= needed(n, n[other], percent))
+
+
+def _rows(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of ``TILED``."""
+    for i in range(0, len(columns[0]), 100_000):
+        part = [np.ascontiguousarray(c[i : i + 100_000]).astype(np.int64, copy=False) for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, dtype=np.int32)), *map(pa.array, part)], names=["kind", "place", "check", "x", "y"])
+
+
+def _tiles(percent: int, small: int, block: int) -> Callable:
+    """Blobs of prefix shingles to listed pairs of small tiles and to memberships in larger ones or in pairs of their blocks (``TILED``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = repeats._Outbox(buckets), []
+        held = []
         for b in batches:
-            for bucket, kind, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for kind, body in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                rows = repeats.unpack(body.as_py(), _TOKEN)
                 if kind == TOKENS:
-                    held.append(repeats.unpack(body.as_py(), _TOKEN))
+                    held.append(rows)
                 else:
-                    out.rows.append((bucket, kind, body.as_py()))
-            if out.rows:
-                yield out.take()
+                    yield from _rows(CROWDED, rows["doc"], rows["check"], rows["token"], rows["n"])
         if not held:
             return
         rows = np.concatenate(held)
@@ -223,9 +290,10 @@ def _tiles(percent: int, buckets: int, small: int, block: int) -> Callable:
         same[1:] = rows["token"][1:] == rows["token"][:-1]
         same[:-1] |= same[1:].copy()
         rows = rows[same]
-        rows = rows[np.lexsort((rows["check"], rows["doc"], rows["n"], rows["token"]))]
+        rows = rows[np.lexsort((rows["at"], rows["check"], rows["doc"], rows["n"], rows["token"]))]
         if not len(rows):
             return
+        rows = rows[np.concatenate(([True], rows[1:] != rows[:-1]))]  # repeated rows
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(rows["token"]) != 0) + 1, [len(rows)]))
         pairs, asked = [], []
         # small tiles: neighbours at each distance, all tiles at once
@@ -238,26 +306,25 @@ def _tiles(percent: int, buckets: int, small: int, block: int) -> Callable:
             at = at[percent * rows["n"][at + step].astype(np.int64) <= 100 * rows["n"][at].astype(np.int64)]  # ordered by size: further ones are larger
             if not len(at):
                 break
-            p = np.empty(len(at), dtype=_PAIR)
-            for n, m in (("doc", "doc"), ("check", "check")):
-                p[n], p[f"{n}2"] = rows[m][at], rows[m][at + step]
+            x, y = rows[at], rows[at + step]
+            met = np.minimum(x["n"] - x["at"], y["n"] - y["at"]) >= needed(x["n"].astype(np.int64), y["n"].astype(np.int64), percent)
+            x, y = x[met], y[met]
+            p = np.empty(len(x), dtype=_PAIR)
+            for n in ("doc", "check"):
+                p[n], p[f"{n}2"] = x[n], y[n]
             swap = (p["doc"] > p["doc2"]) | ((p["doc"] == p["doc2"]) & (p["check"] > p["check2"]))
             p[swap] = np.rec.fromarrays([p["doc2"][swap], p["check2"][swap], p["doc"][swap], p["check"][swap]], dtype=_PAIR)
             pairs.append(p)
         if pairs:
             p = np.unique(np.concatenate(pairs))
             p = p[(p["doc"] != p["doc2"]) | (p["check"] != p["check2"])]
-            out.put(PAIRS, p["doc"].astype(np.uint64) ^ common.mix(p["doc2"].astype(np.uint64)), p)
+            yield from _rows(PAIRS, *(p[n] for n in _PAIR.names))
         for t in np.flatnonzero(size > small):
             tile = rows[cuts[t] : cuts[t + 1]]
-            number = np.arange(len(tile)) // block
-            if len(tile) <= block:
-                first = np.lexsort((tile["check"], tile["doc"]))[:1]
-                a = np.zeros(len(tile), dtype=_ASK)
-                a["doc"], a["check"], a["side"] = tile["doc"], tile["check"], ALL
-                a["group"] = around(tile["doc"][first], tile["check"][first])
-                asked.append(a)
+            tile = tile[has_partner(tile["n"].astype(np.int64), tile["at"], percent)]
+            if len(tile) < 2:
                 continue
+            number = np.arange(len(tile)) // block
             token = int(tile["token"][0])
             for i in range(int(number[-1]) + 1):
                 for j in range(i, int(number[-1]) + 1):
@@ -266,32 +333,13 @@ def _tiles(percent: int, buckets: int, small: int, block: int) -> Callable:
                         break
                     group = int(common.mix(np.array([token ^ (i << 52) ^ (j << 40)], dtype=np.uint64))[0])
                     for side, part in ((ALL, low),) if i == j else ((LEFT, low), (RIGHT, high)):
-                        a = np.zeros(len(part), dtype=_ASK)
-                        a["doc"], a["check"], a["group"], a["side"] = part["doc"], part["check"], group, side
-                        asked.append(a)
+                        asked.append((part["doc"], part["check"], np.full(len(part), group, dtype=np.uint64).view(np.int64), np.full(len(part), side)))
         if asked:
-            a = np.unique(np.concatenate(asked))
-            out.put(ASKED, repeats.by_document(a), a)
-        if out.rows:
-            yield out.take()
+            yield from _rows(ASKED, *map(np.concatenate, zip(*asked, strict=True)))
 
     return common.trimmed(run)
 
 
-def around(doc: np.ndarray, check: np.ndarray) -> np.ndarray:
-    """The group around a document."""
-    return common.mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + check.astype(np.uint64))
-
-
-def _list_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [repeats.unpack(x.as_py(), _PAIR) for b in batches for x in b.column(2)]
-    if held:
-        p = np.unique(np.concatenate(held))
-        for i in range(0, len(p), 100_000):
-            q = p[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(q[n]).astype(np.int64)) for n in _PAIR.names], names=list(_PAIR.names))
-
-
 def _bounded(percent: int) -> Callable:
     """Pairs with both bitmaps to those that the bit counts allow."""
 
@@ -310,64 +358,93 @@ def _bounded(percent: int) -> Callable:
     return common.trimmed(run)
 
 
-def _ask_groups(buckets: int) -> Callable:
-    """(place, check, group, side), or (place, check, place and check of the least document of the group), to memberships."""
+class _Shipment:
+    """Arrays of documents on their way to groups."""
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets, self.held, self.size = buckets, [], 0
+
+    def add(self, asked: pa.ListScalar, doc: int, check: int, n: int, array: np.ndarray) -> bool:
+        """One document's array for its memberships (group, side); whether it is time to ``take``."""
+        group, side = asked.values.flatten()
+        heads = np.empty(len(group), dtype=_HEAD)
+        heads["group"], heads["side"], heads["doc"], heads["check"], heads["n"] = np.asarray(group).view(np.uint64), np.asarray(side), doc, check, n
+        self.held.append((heads, array))
+        self.size += array.nbytes + heads.nbytes
+        return self.size >= 4 << 20
+
+    def take(self) -> pa.RecordBatch:
+        out = repeats._Outbox(self.buckets)
+        by: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for heads, s in self.held:
+            bucket = (common.mix(heads["group"].copy()) % np.uint64(self.buckets)).astype(np.int64)
+            for b in np.unique(bucket).tolist():
+                by.setdefault(b, []).append((heads[bucket == b], s))
+        for b, parts in by.items():  # an array once for each bucket, however many of its groups are there
+            heads = np.concatenate([h for h, _ in parts])
+            which = np.repeat(np.arange(len(parts), dtype=np.int32), [len(h) for h, _ in parts])
+            sizes = np.array([len(s) for _, s in parts], dtype=np.int32)
+            body = [repeats.pack(heads), repeats.zstandard.compress(which.tobytes(), 1), repeats.zstandard.compress(sizes.tobytes(), 1), repeats.zstandard.compress(b"".join(s.tobytes() for _, s in parts), 1)]
+            out.rows.append((b, ARRAYS, b"".join(len(x).to_bytes(4, "little") + x for x in body)))
+        self.held, self.size = [], 0
+        return out.take()
+
+
+def _arrived(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """The groups of a shipment, each with its members' heads, ordered by size, and their arrays."""
+    heads, places, arrays = [], [], []
+    for b in batches:
+        for x in b.column(2):
+            body, at, parts = x.as_py(), 0, []
+            for _ in range(4):
+                size = int.from_bytes(body[at : at + 4], "little")
+                parts.append(body[at + 4 : at + 4 + size])
+                at += 4 + size
+            h = repeats.unpack(parts[0], _HEAD)
+            which, sizes = (np.frombuffer(repeats.zstandard.decompress(p), dtype="<i4") for p in parts[1:3])
+            flat = np.frombuffer(repeats.zstandard.decompress(parts[3]), dtype="<u8")
+            heads.append(h)
+            places.append(which + len(arrays))
+            arrays += np.split(flat, np.cumsum(sizes)[:-1])
+    if not heads:
+        return
+    h, at = np.concatenate(heads), np.concatenate(places)
+    order = np.lexsort((h["side"], h["check"], h["doc"], h["n"], h["group"]))
+    h, at = h[order], at[order]
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(h["group"]) != 0) + 1, [len(h)]))
+    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if z - a > 1:
+            yield h[a:z], [arrays[x] for x in at[a:z]]
+
+
+def _bitmaps(buckets: int) -> Callable:
+    """(place, check, n, bits, memberships) to the bitmaps for each tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = repeats._Outbox(buckets)
+        sent = _Shipment(buckets)
         for b in batches:
-            place, check, x, y = (np.asarray(b.column(i)) for i in range(4))
-            a = np.zeros(b.num_rows, dtype=_ASK)
-            a["doc"], a["check"] = place, check
-            a["group"], a["side"] = (x.view(np.uint64), y) if b.schema.names[2] == "group" else (around(x, y), ALL)
-            out.put(ASKED, repeats.by_document(a), a)
-            if out.rows:
-                yield out.take()
+            place, check, n = (np.asarray(b.column(i)) for i in range(3))
+            for d in range(b.num_rows):
+                if sent.add(b.column(4)[d], place[d], check[d], n[d], np.frombuffer(b.column(3)[d].as_py(), dtype="<u8")):
+                    yield sent.take()
+        if sent.held:
+            yield sent.take()
 
     return common.trimmed(run)
 
 
-def _crowd_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for x in b.column(2):
-            rows = repeats.unpack(x.as_py(), _TOKEN)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[n]).astype(np.int64)) for n in _TOKEN.names], names=list(_TOKEN.names))
-
-
 def _arrays(k: int, buckets: int) -> Callable:
-    """(place, check, text, body of memberships) to the shingle arrays for each group."""
+    """(place, check, text, memberships) to the shingle arrays for each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held, size = repeats._Outbox(buckets), [], 0
-
-        def flush() -> None:
-            by: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-            for heads, s in held:
-                bucket = (common.mix(heads["group"].copy()) % np.uint64(buckets)).astype(np.int64)
-                for b in np.unique(bucket).tolist():
-                    by.setdefault(b, []).append((heads[bucket == b], s))
-            for b, parts in by.items():  # an array once for each bucket, however many of its groups are there
-                heads = np.concatenate([h for h, _ in parts])
-                which = np.repeat(np.arange(len(parts), dtype=np.int32), [len(h) for h, _ in parts])
-                sizes = np.array([len(s) for _, s in parts], dtype=np.int32)
-                body = [repeats.pack(heads), repeats.zstandard.compress(which.tobytes(), 1), repeats.zstandard.compress(sizes.tobytes(), 1), repeats.zstandard.compress(b"".join(s.tobytes() for _, s in parts), 1)]
-                out.rows.append((b, ARRAYS, b"".join(len(x).to_bytes(4, "little") + x for x in body)))
-
+        sent = _Shipment(buckets)
         for b in batches:
             place, check = (np.asarray(b.column(i)) for i in (0, 1))
             for d, s in shingle_sets(b.column(2), k):
-                asked = np.unique(np.frombuffer(b.column(3)[d].as_py(), dtype=_ASK))
-                heads = np.empty(len(asked), dtype=_HEAD)
-                heads["group"], heads["side"], heads["doc"], heads["check"], heads["n"] = asked["group"], asked["side"], place[d], check[d], len(s)
-                held.append((heads, s))
-                size += s.nbytes
-                if size >= 4 << 20:
-                    flush()
-                    held, size = [], 0
-                    yield out.take()
-        if held:
-            flush()
-            yield out.take()
+                if sent.add(b.column(3)[d], place[d], check[d], len(s), s):
+                    yield sent.take()
+        if sent.held:
+            yield sent.take()
 
     return common.trimmed(run)
 
@@ -402,37 +479,53 @@ def linked_in_tile(n: np.ndarray, sets: list[np.ndarray], side: np.ndarray, perc
                 label[label == label[j]] = label[i]
 
 
+def alike(n: np.ndarray, bits: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
+    """Labels of members, ordered by size: one for all that pairs connect whose bit counts allow the threshold; with two sides only across them."""
+    n, label, width = n.astype(np.int64), np.arange(len(n)), np.array([len(b) for b in bits])
+    ends = np.searchsorted(percent * n, 100 * n, "right")  # behind the largest set that is small enough
+    for w in np.unique(width).tolist():  # these grow with the sizes
+        a, m = np.searchsorted(width, w), np.searchsorted(width, w, "right")
+        flat = np.stack([folded(b, w) for b in bits[a : ends[m - 1]]])
+        for i in range(a, m):
+            other = i + 1 + np.flatnonzero(label[i + 1 : ends[i]] != label[i])
+            if side[i] != ALL:
+                other = other[side[other] != side[i]]
+            if len(other):
+                differ = np.bitwise_count(flat[other - a] ^ flat[i - a]).sum(axis=1, dtype=np.int64)
+                other = other[(n[other] + n[i] - differ) // 2 >= needed(n[other], n[i], percent)]
+            if len(other):
+                label[np.isin(label, label[other])] = label[i]
+    return label
+
+
+def _near(percent: int) -> Callable:
+    """Bitmaps by tile to documents and the least ones (x, y) of those that they leave connected with them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for h, bits in _arrived(batches):
+            label = alike(h["n"], bits, h["side"], percent)
+            order = np.lexsort((h["check"], h["doc"], label))
+            h, label = h[order], label[order]
+            opens = np.concatenate(([True], label[1:] != label[:-1]))
+            least = np.flatnonzero(opens)[np.cumsum(opens) - 1]
+            joined = np.bincount(label)[label] > 1
+            found.append([c[joined] for c in (h["doc"], h["check"], h["doc"][least], h["check"][least])])
+        if found:
+            yield from _rows(ASKED, *map(np.concatenate, zip(*found, strict=True)))
+
+    return common.trimmed(run)
+
+
 def _verify(percent: int) -> Callable:
     """Arrays by group to exact links (place, check, place2, check2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, places, arrays = [], [], []
-        for b in batches:
-            for x in b.column(2):
-                body, at, parts = x.as_py(), 0, []
-                for _ in range(4):
-                    size = int.from_bytes(body[at : at + 4], "little")
-                    parts.append(body[at + 4 : at + 4 + size])
-                    at += 4 + size
-                h = repeats.unpack(parts[0], _HEAD)
-                which, sizes = (np.frombuffer(repeats.zstandard.decompress(p), dtype="<i4") for p in parts[1:3])
-                flat = np.frombuffer(repeats.zstandard.decompress(parts[3]), dtype="<u8")
-                heads.append(h)
-                places.append(which + len(arrays))
-                arrays += np.split(flat, np.cumsum(sizes)[:-1])
-        if not heads:
-            return
-        h, at = np.concatenate(heads), np.concatenate(places)
-        order = np.lexsort((h["check"], h["doc"], h["n"], h["side"], h["group"]))
-        h, at = h[order], at[order]
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(h["group"]) != 0) + 1, [len(h)]))
-        links: list[tuple[int, int]] = []
-        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if z - a > 1:
-                links += [(a + i, a + j) for i, j in linked_in_tile(h["n"][a:z], [arrays[x] for x in at[a:z]], h["side"][a:z], percent)]
-        if links:
-            i, j = np.array(links).T
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.int64)) for c in (h["doc"][i], h["check"][i], h["doc"][j], h["check"][j])], names=list(_PAIR.names))
+        for h, arrays in _arrived(batches):
+            links = list(linked_in_tile(h["n"], arrays, h["side"], percent))
+            if links:
+                i, j = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.int64)) for c in (h["doc"][i], h["check"][i], h["doc"][j], h["check"][j])], names=list(_PAIR.names))
 
     return common.trimmed(run)
 
@@ -474,18 +567,31 @@ def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
 
 
+def around(members: DataFrame) -> DataFrame:
+    """Memberships of documents (place, check) in the groups around others (x, y)."""
+    return members.select("place", "check", F.xxhash64("x", "y").alias("group"), F.lit(ALL).alias("side"))
+
+
 class _Comparison:
-    """Exact comparison in groups: memberships (see ``_ask_groups``) to links."""
+    """Exact comparison in groups: memberships (place, check, group, side) to links."""
 
     def __init__(self, rows: DataFrame, shingle: int, percent: int, parts: int) -> None:
         self.rows, self.shingle, self.percent, self.parts = rows, shingle, percent, parts
 
-    def blobs(self, asked: DataFrame) -> DataFrame:
-        return asked.mapInArrow(_ask_groups(self.parts), repeats.BLOB_SCHEMA)
-
-    def links(self, blobs: DataFrame) -> DataFrame:
-        gathered = blobs.repartition(self.parts, "bucket").mapInArrow(repeats._gather({ASKED: _ASK}), "place bigint, check bigint, body binary")
-        arrays = self.rows.select("place", "check", "text").join(gathered, ["place", "check"]).select("place", "check", "text", "body").mapInArrow(_arrays(self.shingle, self.parts), repeats.BLOB_SCHEMA)
+    @staticmethod
+    def gathered(asked: DataFrame) -> DataFrame:
+        """Memberships by document."""
+        return asked.groupBy("place", "check").agg(F.collect_set(F.struct("group", "side")).alias("asked"))
+
+    def near(self, asked: DataFrame, sized: DataFrame) -> DataFrame:
+        """Memberships in tiles, with the bitmaps of ``sized`` (place, check, n, bits), to memberships around documents."""
+        sent = sized.join(self.gathered(asked), ["place", "check"]).select("place", "check", "n", "bits", "asked").mapInArrow(_bitmaps(self.parts), repeats.BLOB_SCHEMA)
+        return around(sent.repartition(self.parts, "bucket").mapInArrow(_near(self.percent), TILED))
+
+    def links(self, asked: DataFrame) -> DataFrame:
+        gathered = common.checkpointed(self.gathered(asked))
+        texts = self.rows.select("place", "check", "text", _Filter.hashed()).mapInArrow(_passing(_Filter(gathered).shared), "place bigint, check bigint, text string")
+        arrays = texts.join(gathered, ["place", "check"]).select("place", "check", "text", "asked").mapInArrow(_arrays(self.shingle, self.parts), repeats.BLOB_SCHEMA)
         return arrays.repartition(self.parts, "bucket").mapInArrow(_verify(self.percent), LINKS)
 
 
@@ -558,18 +664,19 @@ def join_documents(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PE
     least = max(HOT_LEAST, HOT_SHARE * told.count())
     frequent = rows.select("text").mapInArrow(_frequent(shingle), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     order = spark.sparkContext.broadcast(Order([(r.shingle, r.n) for r in frequent.collect()], block))  # at most shingles a document / HOT_SHARE
-    cut = rows.select("place", "check", "text").mapInArrow(_prefixes(order, shingle, percent, parts), repeats.BLOB_SCHEMA)
-    tiled = common.checkpointed(cut.repartition(parts, "bucket").mapInArrow(_tiles(percent, parts, small_tile, block), repeats.BLOB_SCHEMA))
-    pairs = tiled.filter(F.col("kind") == PAIRS).repartition(parts, "bucket").mapInArrow(_list_pairs, LINKS)
+    reps = _Filter(classes.select("rep.place", "rep.check"))
+    cut = rows.select("place", "check", "text", _Filter.hashed()).mapInArrow(_prefixes(order, reps.shared, shingle, percent, parts), repeats.BLOB_SCHEMA)
+    tiled = common.checkpointed(cut.repartition(parts, "bucket").mapInArrow(_tiles(percent, small_tile, block), TILED))
+    pairs = tiled.filter(F.col("kind") == PAIRS).select(F.col("place").alias("doc"), "check", F.col("x").alias("doc2"), F.col("y").alias("check2")).distinct()
     # representatives and bitmaps of both sides
     named = told.filter("n > 0").join(classes, "key")
     rep_of = named.select(F.col("place"), F.col("check"), "rep").distinct()
     of = lambda a, b, c, d: rep_of.select(F.col("place").alias(a), F.col("check").alias(b), F.col("rep.place").alias(c), F.col("rep.check").alias(d))
-    reps = pairs.join(of("doc", "check", "r", "rc"), ["doc", "check"]).join(of("doc2", "check2", "r2", "rc2"), ["doc2", "check2"])
-    reps = reps.select(F.least(F.struct("r", "rc"), F.struct(F.col("r2").alias("r"), F.col("rc2").alias("rc"))).alias("a"), F.greatest(F.struct("r", "rc"), F.struct(F.col("r2").alias("r"), F.col("rc2").alias("rc"))).alias("b")).filter("a <> b").distinct()
+    paired = pairs.join(of("doc", "check", "r", "rc"), ["doc", "check"]).join(of("doc2", "check2", "r2", "rc2"), ["doc2", "check2"])
+    paired = paired.select(F.least(F.struct("r", "rc"), F.struct(F.col("r2").alias("r"), F.col("rc2").alias("rc"))).alias("a"), F.greatest(F.struct("r", "rc"), F.struct(F.col("r2").alias("r"), F.col("rc2").alias("rc"))).alias("b")).filter("a <> b").distinct()
     sized = told.filter("n > 0").select("place", "check", "n", "bits").dropDuplicates(["place", "check"])
     bits = lambda *names: sized.select(*(F.col(c).alias(x) for c, x in zip(("place", "check", "n", "bits"), names, strict=True)))
-    with_bits = reps.select(F.col("a.r").alias("doc"), F.col("a.rc").alias("check"), F.col("b.r").alias("doc2"), F.col("b.rc").alias("check2")).join(bits("doc", "check", "n", "bits"), ["doc", "check"]).join(bits("doc2", "check2", "n2", "bits2"), ["doc2", "check2"])
+    with_bits = paired.select(F.col("a.r").alias("doc"), F.col("a.rc").alias("check"), F.col("b.r").alias("doc2"), F.col("b.rc").alias("check2")).join(bits("doc", "check", "n", "bits"), ["doc", "check"]).join(bits("doc2", "check2", "n2", "bits2"), ["doc2", "check2"])
     left = with_bits.mapInArrow(_bounded(percent), LINKS)
     left = common.checkpointed(left.select(F.struct(F.col("doc").alias("place"), "check").alias("a"), F.struct(F.col("doc2").alias("place"), F.col("check2").alias("check")).alias("b")))
     # exact comparison: both documents of a pair go to the least document that the first is paired with
@@ -577,20 +684,20 @@ def join_documents(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PE
     members = left.join(least_of, "a")
     members = members.select(F.col("a").alias("m"), "to").unionByName(members.select(F.col("b").alias("m"), "to")).distinct()
     compare = _Comparison(rows, shingle, percent, parts)
-    asked = compare.blobs(members.select("m.place", "m.check", F.col("to.place").alias("to"), F.col("to.check").alias("to_check")))
-    asked = asked.unionByName(tiled.filter(F.col("kind") == ASKED))
+    asked = around(members.select("m.place", "m.check", F.col("to.place").alias("x"), F.col("to.check").alias("y")))
+    asked = asked.unionByName(compare.near(tiled.filter(F.col("kind") == ASKED).select("place", "check", F.col("x").alias("group"), F.col("y").cast("int").alias("side")), sized))
     crowd = None
     if len(order.value.crowded):
-        shared = tiled.filter(F.col("kind") == CROWDED).mapInArrow(_crowd_rows, "token bigint, doc bigint, check bigint, n bigint")
+        shared = tiled.filter(F.col("kind") == CROWDED).select(F.col("x").alias("token"), F.col("place").alias("doc"), "check", F.col("y").alias("n"))
         shared = shared.join(of("doc", "check", "r", "rc"), ["doc", "check"]).select("token", F.col("r").alias("place"), F.col("rc").alias("check"), "n").distinct()
         crowd = _Crowd(shared, percent, block)
-        asked = asked.unionByName(compare.blobs(crowd.blocks()))
+        asked = asked.unionByName(crowd.blocks())
     # components over representatives, so that copies add no links; members of larger tiles are named by theirs
     at = lambda a, b: F.struct(F.col(a).alias("place"), F.col(b).alias("check"))
     edges = lambda links: links.join(of("doc", "check", "r", "rc"), ["doc", "check"]).join(of("doc2", "check2", "r2", "rc2"), ["doc2", "check2"]).select(at("r", "rc").alias("u"), at("r2", "rc2").alias("v"))
     linked = components(edges(compare.links(asked)))
     if crowd and (rest := crowd.rest(linked)) is not None:
-        linked = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(edges(compare.links(compare.blobs(rest)))))
+        linked = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(edges(compare.links(rest))))
     rooted = classes.join(linked, classes["rep"] == linked["node"], "left").select("key", F.coalesce("root", "rep").alias("root"))
     found = told.join(rooted, "key", "left")
     root = F.coalesce("root", node)

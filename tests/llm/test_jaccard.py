@@ -142,3 +142,45 @@ def test_crowded_shingles_equal_all_pairs(spark, docs_of, block):
     finally:
         monkey.undo()
     assert calls and (block == 40 or calls[0] is not None)
+
+
+def test_partners_and_bit_counts_lose_no_link():
+    """Against all pairs of random sets: their first common element passes the rule of places, and their bitmaps leave them connected."""
+    rng = np.random.default_rng(7)
+    order = rng.permutation(5000).argsort()
+    for percent in (80, 85):
+        sets = []
+        for _ in range(60):
+            base = rng.choice(5000, int(rng.integers(3, 150)), replace=False)
+            sets += [np.unique(base[int(rng.integers(0, len(base) // 4 + 1)) :]) for _ in range(3)]
+        sets.sort(key=len)
+        n = np.array([len(s) for s in sets])
+        hashes = [np.sort(J.common.mix(s.astype(np.uint64))) for s in sets]
+        label = J.alike(n, [J.bitmap(h) for h in hashes], np.full(len(n), J.ALL), percent)
+        ranked = [sorted(s.tolist(), key=lambda x: order[x]) for s in sets]
+        linked = 0
+        for i in range(len(sets)):
+            for j in range(i + 1, len(sets)):
+                both = np.intersect1d(sets[i], sets[j])
+                if len(both) and 100 * len(both) >= percent * len(np.union1d(sets[i], sets[j])):
+                    linked += 1
+                    first = min(both.tolist(), key=lambda x: order[x])
+                    at = np.array([ranked[i].index(first), ranked[j].index(first)])
+                    assert label[i] == label[j] and (at < [J.prefix_length(n[i], percent), J.prefix_length(n[j], percent)]).all()
+                    assert min(n[i] - at[0], n[j] - at[1]) >= J.needed(n[i], n[j], percent) and J.has_partner(n[[i, j]], at, percent).all()
+        assert linked > 30 and len(set(label.tolist())) > 20
+
+
+def test_common_passages_and_copies_send_no_texts(spark, docs_of, monkeypatch):
+    """Documents of one passage that no count of shingles tells as frequent: their bitmaps part them. Copies are not paired with each other."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    text = lambda i: f"{passage} " + " ".join(f"d{i}x{j}" for j in range(120))
+    rows = [(i, text(i)) for i in range(300)] + [(1000 + i, text(7)) for i in range(6)]
+    monkeypatch.setattr(J, "HOT_LEAST", 10**6)
+    sent, kept, links, checkpointed = [], [], J._Comparison.links, J.common.checkpointed
+    monkeypatch.setattr(J._Comparison, "links", lambda self, blobs: sent.append(blobs.count()) or links(self, blobs))
+    monkeypatch.setattr(J.common, "checkpointed", lambda df: kept.append(checkpointed(df)) or kept[-1])
+    found = {r.doc_id: r.component_id for r in J.join_documents(docs_of(rows).repartition(8)).collect()}
+    assert found == {i: 7 if i >= 1000 else i for i, _ in rows}
+    tiled = next(df for df in kept if "kind" in df.columns)
+    assert sent == [0] and tiled.filter(f"kind = {J.PAIRS}").count() == 0
