@@ -6,6 +6,9 @@ Indexing is one commit: the marks of the files that it takes are staged first, w
 folder of the commit's own, which no reader looks at yet; then one rename puts the marks into the manifest. Readers follow the
 manifest, so a crash at any point leaves nothing half indexed, and no events that are held already are read. ``vacuum`` removes
 what broken commits have left. The parse of a file that is kept with it is replaced in the same way.
+
+Single files are stored in pieces of some MiB of whole chunks, in a table of their own, and their row has no blob; so neither storing nor
+indexing a large log holds it in a row. Members of zip files are stored as blobs.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from ..sources import container, files
 TABLES = {
     "archives": "id string, name string, uploaded_at timestamp, total_size bigint, file_count int, files array<string>, archive_id string",
     "files": "id string, name string, type string, size bigint, blob binary, archive_id string",
+    "pieces": "id string, name string, type string, size bigint, start bigint, skip int, content binary, archive_id string",
     "marks": "file_id string, indexed_at timestamp, commit string, archive_id string",
     "events": "id string, archive_name string, file_id string, file_name string, record_id bigint, event_id string, provider string, level int, level_text string, computer string, channel string, timestamp string, event_data string, task string, opcode string, keywords string, xml string, archive_id string",
 }
@@ -116,8 +120,12 @@ class Catalog:
         columns = [x.strip().split(" ")[0] for x in TABLES[name].split(", ")]
         return self.spark.read.schema(TABLES[name]).option("basePath", self._path(name)).parquet(*paths).select(*columns)
 
-    def _append(self, df: DataFrame, name: str) -> None:
-        df.write.mode("append").partitionBy("archive_id").parquet(self._path(name))
+    def _append(self, df: DataFrame, name: str, archive_id: str) -> None:
+        """Rows of one archive into its folder, without the sort of a partitioned write."""
+        w = df.drop("archive_id").write.mode("append")
+        if name in ("files", "pieces"):  # else a hundred blobs are buffered before their size is looked at
+            w = w.options(**{"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1})
+        w.parquet(f"{self._path(name)}/archive_id={self._escaped(archive_id)}")
 
     def archives(self) -> DataFrame:
         return self.table("archives").orderBy(F.desc("uploaded_at"))
@@ -133,25 +141,33 @@ class Catalog:
         return self.table("files").filter(F.col("id") == file_id)
 
     def blob(self, file_id: str) -> DataFrame:
-        return self.file(file_id).select("blob")
+        """The bytes of a file: one row, or its pieces in order."""
+        pieces = self.table("pieces").filter(F.col("id") == file_id).select("start", F.col("content").alias("blob"))
+        return pieces.unionByName(self.file(file_id).filter("blob is not null").select(F.lit(0).cast("bigint").alias("start"), "blob")).orderBy("start").select("blob")
 
     def events(self) -> DataFrame:
         return self.table("events")
 
     def ingest(self, path: str, at: datetime | None = None) -> str:
         """Store a zip, or a single log, text, JSON or XML file, as an archive; its id."""
-        members = files.read_zip(self.spark, path) if path.lower().endswith("zip") else files.read_single(self.spark, path)
+        members = files.read_zip(self.spark, path) if path.lower().endswith("zip") else files.read_pieces(self.spark, path)
         return self.store(files.check_viewable(members), path.rstrip("/").rsplit("/", 1)[-1], at)
 
     def store(self, members: DataFrame, name: str, at: datetime | None = None) -> str:
-        """Store ``members`` (name, type, size, content) as an archive; its id."""
+        """Store ``members`` (name, type, size, content), or pieces of them (start and skip besides), as an archive; its id."""
         at = at or datetime.now(UTC)
         key = archive_key(name, at)
-        stored = members.filter("content is not null").select(F.concat_ws("::", F.lit(key), "name").alias("id"), "name", "type", "size", F.col("content").alias("blob"), F.lit(key).alias("archive_id"))
-        self._append(stored, "files")
+        own = F.concat_ws("::", F.lit(key), "name").alias("id")
+        if "start" in members.columns:
+            self._append(members.select(own, "name", "type", "size", "start", "skip", "content", F.lit(key).alias("archive_id")), "pieces", key)
+            told = self.table("pieces").filter((F.col("archive_id") == key) & (F.col("start") == 0))
+            stored = told.select("id", "name", "type", "size", F.lit(None).cast("binary").alias("blob"), "archive_id")
+        else:
+            stored = members.filter("content is not null").select(own, "name", "type", "size", F.col("content").alias("blob"), F.lit(key).alias("archive_id"))
+        self._append(stored, "files", key)
         own = self.table("files").filter(F.col("archive_id") == key)
         told = own.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("total_size"), F.count(F.lit(1)).cast("int").alias("file_count"), F.sort_array(F.collect_list("id")).alias("files"))
-        self._append(told.select(F.lit(key).alias("id"), F.lit(name).alias("name"), F.lit(at).cast("timestamp").alias("uploaded_at"), "total_size", "file_count", "files", F.lit(key).alias("archive_id")), "archives")
+        self._append(told.select(F.lit(key).alias("id"), F.lit(name).alias("name"), F.lit(at).cast("timestamp").alias("uploaded_at"), "total_size", "file_count", "files", F.lit(key).alias("archive_id")), "archives", key)
         return key
 
     def unindexed(self, archive_id: str | None = None) -> DataFrame:
@@ -166,9 +182,13 @@ class Catalog:
         n = marks.count()
         if n:
             taken = self.table("files").join(marks.select(F.col("file_id").alias("id"), "archive_id"), ["id", "archive_id"], "left_semi")
-            copies = self._copies(taken, staged)
-            own = taken.join(copies.filter("file_id = file").select(F.col("file_id").alias("id")), "id", "left_semi")
-            parsed = container.events(container.decode(container.chunks(own.select(F.col("id").alias("file"), F.col("blob").alias("content"))), parts=["events"]))
+            pieces = self.table("pieces").join(marks.select(F.col("file_id").alias("id"), "archive_id"), ["id", "archive_id"], "left_semi")
+            copies = self._copies(taken, pieces, staged)
+            own = copies.filter("file_id = file").select(F.col("file_id").alias("id"))
+            whole = taken.filter("blob is not null").join(own, "id", "left_semi").select(F.col("id").alias("file"), F.col("blob").alias("content"))
+            cut = pieces.join(own, "id", "left_semi").select(F.col("id").alias("file"), "start", "skip", "content")
+            cut = container.chunks(whole).unionByName(container.piece_chunks(cut))
+            parsed = container.events(container.decode(cut, parts=["events"]))
             rows = index_rows(parsed.join(copies, "file").drop("file"), taken, self.table("archives"))
             self._write_events(rows, staged, target)
             if not self.table("marks").join(marks, "file_id", "left_semi").isEmpty():
@@ -177,9 +197,11 @@ class Catalog:
         self._remove(staged)
         return n
 
-    def _copies(self, taken: DataFrame, staged: str) -> DataFrame:
+    def _copies(self, taken: DataFrame, pieces: DataFrame, staged: str) -> DataFrame:
         """(file_id, file): of each file that is taken the first of those with the same content, which is decoded for all of them."""
-        told = taken.select(F.col("id").alias("file_id"), F.sha2("blob", 256).alias("content"))
+        told = taken.filter("blob is not null").select(F.col("id").alias("file_id"), F.sha2("blob", 256).alias("content"))
+        hashes = F.sort_array(F.collect_list(F.struct("start", F.sha2("content", 256).alias("hash"))))  # a row of some bytes for each piece
+        told = told.unionByName(pieces.groupBy(F.col("id").alias("file_id")).agg(F.to_json(hashes).alias("content")))
         first = F.min("file_id").over(Window.partitionBy("content"))  # ids and hashes only
         told.select("file_id", first.alias("file")).write.parquet(f"{staged}/copies")
         return self.spark.read.schema("file_id string, file string").parquet(f"{staged}/copies")
@@ -228,7 +250,7 @@ class Catalog:
         """Events, marks, parses, files and the archive itself; nothing where there is none."""
         own = f"archive_id={self._escaped(archive_id)}"
         own = "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in own)  # a name, not a pattern
-        for place in ("events/commit=*", "marks/commit=*", "parsed", "files", "archives"):
+        for place in ("events/commit=*", "marks/commit=*", "parsed", "files", "pieces", "archives"):
             self._remove(f"{self.root}/{place}/{own}")
 
     def clear(self) -> None:

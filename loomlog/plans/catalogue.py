@@ -623,7 +623,7 @@ def page_of_logs(spark, sf_dir):
 def _indexed(spark: SparkSession, sf_dir: str, *names: str) -> catalog.Catalog:
     """A new catalog that holds the logs of ``ev`` as an archive of each name, indexed."""
     held = catalog.Catalog(spark, shared.new_folder(spark, "catalog"))
-    members = files.read_single(spark, [_logs(spark, sf_dir)])
+    members = files.read_pieces(spark, [_logs(spark, sf_dir)])
     for k, name in enumerate(names):
         held.store(members, name, datetime(2024, 1, 1 + k, tzinfo=UTC))
     held.index()

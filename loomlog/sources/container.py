@@ -81,6 +81,20 @@ def chunks(files: DataFrame) -> DataFrame:
     return files.select("file", F.posexplode(cut).alias("chunk_index", "c")).select("file", "chunk_index", "c.chunk_start", "c.chunk")
 
 
+def piece_chunks(pieces: DataFrame) -> DataFrame:
+    """``chunks`` of ``pieces`` (file, start, skip, content) as ``files.read_pieces`` cuts them; a chunk's index is its place in the file."""
+
+    def found(content: Column) -> Column:
+        last = F.length(content) - CHUNK_SIZE
+        places = F.when(last >= F.col("skip"), F.sequence(F.col("skip"), last, F.lit(CHUNK_SIZE))).otherwise(F.array().cast("array<int>"))
+        checked = F.coalesce(F.when(F.col("skip").isNotNull(), places), F.raise_error(F.concat(F.lit("not a binary log: "), F.col("file"))).cast("array<int>"))
+        starts = F.filter(checked, lambda at: F.substring(content, at + 1, F.lit(len(CHUNK_MAGIC))) == F.lit(CHUNK_MAGIC))
+        return F.transform(starts, lambda at: F.struct((F.col("start") + at).alias("chunk_start"), F.substring(content, at + 1, F.lit(CHUNK_SIZE)).alias("chunk")))
+
+    cut = F.element_at(F.transform(F.array("content"), found), 1)
+    return pieces.select("file", F.explode(cut).alias("c")).select("file", F.floor(F.col("c.chunk_start") / CHUNK_SIZE).cast("int").alias("chunk_index"), "c.chunk_start", "c.chunk")
+
+
 def walk(chunk: bytes) -> Iterator[tuple[int, int, int, int, int]]:
     """(offset, size, record id, ticks, size copy) of the records; the first that is not valid ends the chunk."""
     at, free = RECORDS_START, struct.unpack_from("<I", chunk, 48)[0]

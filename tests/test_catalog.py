@@ -129,3 +129,29 @@ def test_files_of_equal_content_are_decoded_once(spark, tmp_path, monkeypatch):
     found = {r.file_id: r["count"] for r in held.events().groupBy("file_id").count().collect()}
     assert found == {f"{k}_1704067200000::{f}": n for k in "ab" for f, n in (("x.evtx", 19), ("y.evtx", 29))}
     assert held.events().select("id").distinct().count() == 96 and held.unindexed().count() == 0
+
+
+def test_no_row_holds_a_large_log(spark, tmp_path, monkeypatch):
+    rows = lambda n: [{"record_id": i, "ticks": 133500000000000000 + i, "provider": "P", "event_id": "1", "level": 4, "channel": "C", "computer": "H", "event_data": f"d{i}" * 40} for i in range(n)]
+    whole = {n: b"".join(encoder.encode(rows(k))) for n, k in (("x.evtx", 2000), ("y.evtx", 2000), ("z.evtx", 10))}
+    whole["n.txt"] = b"t" * 200_000
+    (tmp_path / "in").mkdir()
+    for name, content in whole.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    monkeypatch.setattr(catalog.files.read_pieces, "__defaults__", (1,))
+    c = catalog.Catalog(spark, str(tmp_path / "c"))
+    key = c.ingest(str(tmp_path / "in"), datetime(2024, 1, 1, tzinfo=UTC))
+    size = {r.name: (r.size, r.blob) for r in c.files().collect()}
+    assert size == {n: (len(x), None) for n, x in whole.items()}  # blobs of whole files before
+    assert c.table("pieces").selectExpr("max(length(content)) as n").first().n == 4096 + 65536
+    assert all(b"".join(bytes(r.blob) for r in c.blob(f"{key}::{n}").collect()) == x for n, x in whole.items())
+    cuts, decode = [], catalog.container.decode
+    monkeypatch.setattr(catalog.container, "decode", lambda cut, **more: (cuts.append(cut.count()), decode(cut, **more))[1])
+    assert c.index() == 3 and cuts == [(len(whole["x.evtx"]) + len(whole["z.evtx"]) - 8192) // 65536]
+    assert {(r.file_name, r.n, r.s) for r in c.events().groupBy("file_name").agg({"record_id": "sum", "*": "count"}).toDF("file_name", "s", "n").collect()} == {("x.evtx", 2000, 1999000), ("y.evtx", 2000, 1999000), ("z.evtx", 10, 45)}
+    (tmp_path / "bad.evtx").write_bytes(b"no log" * 20_000)
+    c.ingest(str(tmp_path / "bad.evtx"))
+    with pytest.raises(Exception, match="not a binary log"):
+        c.index()
+    c.delete_archive(key)
+    assert c.table("pieces").select("name").distinct().count() == 1
